@@ -1,6 +1,7 @@
 """Named queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-Every query reads the driver tables (through the activity adapter) in full.
+Every query reads the driver tables (through the activity adapter) in full;
+none runs on a sample, an id subset or fixed input.
 """
 
 from __future__ import annotations
@@ -8,31 +9,240 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retentia.operators import features as feat
+from retentia.functions.columns import event_date, state_of
+from retentia.operators import category, features as feat, label, profile, rows
+from retentia.session import scratch_path
+from retentia.sources import io
 from retentia.sources.activity import activity_log, activity_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+LOG_ORDER = ["ts", "userId", "page", "level", "gender", "location"]
+HEAD_N = 20
+TAIL_N = 2
+TOP_K, TOP_SKIP = 10, 1
 
-def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: facts reduced per (user, day) then per user; profile joined per user."""
+
+# -- inputs ------------------------------------------------------------------
+
+def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, users = activity_parts(spark, sf_dir)
     return feat.feature_table(facts, users=users)
 
 
-def q_feature_table_rowlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.drop_blank_users(activity_log(spark, sf_dir))
+
+
+# -- feature table -------------------------------------------------------------
+
+def q_feature_table(spark, sf_dir):
+    """Flagship: facts reduced per (user, day) then per user; profile joined per user."""
+    return features_of(spark, sf_dir)
+
+
+def q_feature_table_rowlog(spark, sf_dir):
     """Same table from the row-level log (profile columns on every event)."""
     return feat.feature_table(activity_log(spark, sf_dir))
 
 
-def q_feature_table_joinform(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_feature_table_joinform(spark, sf_dir):
     return feat.feature_table_joinform(activity_log(spark, sf_dir))
 
 
+# -- sources and sinks ---------------------------------------------------------
+
+def q_activity_scan(spark, sf_dir):
+    return activity_log(spark, sf_dir)
+
+
+def q_events_json_scan(spark, sf_dir):
+    """Log written as JSON lines, read back with the declared EVENT schema."""
+    path = scratch_path(spark, "events-json")
+    io.write_events(activity_log(spark, sf_dir), path, fmt="json")
+    return io.read_events(spark, path, fmt="json")
+
+
+def q_feature_csv_roundtrip(spark, sf_dir):
+    """Headerless CSV sink (several part files), read back as a directory by position."""
+    path = scratch_path(spark, "features-csv")
+    io.write_features(features_of(spark, sf_dir).repartition(4), path, header=False)
+    return io.read_features(spark, path, header=False)
+
+
+def q_feature_csv_header_scan(spark, sf_dir):
+    path = scratch_path(spark, "features-csv-header")
+    io.write_features(features_of(spark, sf_dir).repartition(3), path, header=True)
+    return io.read_features(spark, path, header=True)
+
+
+def q_request_log_append(spark, sf_dir):
+    """Two request batches appended to one parquet log, read back whole."""
+    path = scratch_path(spark, "requests")
+    ft = features_of(spark, sf_dir)
+    io.append_requests(ft.where(F.col("churn") == 0), path)
+    io.append_requests(ft.where(F.col("churn") != 0), path)
+    return io.read_requests(spark, path)
+
+
+# -- profiling -----------------------------------------------------------------
+
+def q_row_count(spark, sf_dir):
+    return profile.row_count(activity_log(spark, sf_dir))
+
+
+def q_row_count_clean(spark, sf_dir):
+    return profile.row_count(clean_log(spark, sf_dir))
+
+
+def q_missing_audit(spark, sf_dir):
+    return profile.missing_audit(activity_log(spark, sf_dir))
+
+
+def q_missing_audit_clean(spark, sf_dir):
+    return profile.missing_audit(clean_log(spark, sf_dir))
+
+
+def q_numeric_describe(spark, sf_dir):
+    return profile.numeric_describe(features_of(spark, sf_dir))
+
+
+def q_head_n(spark, sf_dir):
+    return profile.head(activity_log(spark, sf_dir), HEAD_N, LOG_ORDER)
+
+
+def q_tail_n(spark, sf_dir):
+    return profile.tail(activity_log(spark, sf_dir), TAIL_N, LOG_ORDER)
+
+
+# -- filters, labels, row forms -------------------------------------------------
+
+def q_drop_blank_users(spark, sf_dir):
+    return clean_log(spark, sf_dir)
+
+
+def q_churn_event_flag(spark, sf_dir):
+    return label.churn_event_flag(clean_log(spark, sf_dir)).select("userId", "page", "ts", "churn")
+
+
+def q_churn_users(spark, sf_dir):
+    return label.churn_users(activity_log(spark, sf_dir))
+
+
+def q_churn_label_rows(spark, sf_dir):
+    return label.churn_label_rows(activity_log(spark, sf_dir)).select("userId", "page", "ts", "churn")
+
+
+def q_event_date(spark, sf_dir):
+    return activity_log(spark, sf_dir).select("userId", "ts", event_date("ts").alias("date"))
+
+
+def q_state_extract(spark, sf_dir):
+    return activity_log(spark, sf_dir).select("userId", "ts", "location", state_of("location").alias("state"))
+
+
+def _marked(spark, sf_dir):
+    ev = rows.with_event_columns(clean_log(spark, sf_dir))
+    return rows.mark_last_rows(ev, columns=("level", "state"))
+
+
+def q_last_level_rows(spark, sf_dir):
+    return _marked(spark, sf_dir).select("userId", "ts", "page", "level", "state", "last_level", "last_state")
+
+
+def q_drop_null_rows(spark, sf_dir):
+    """Projection (user, gender, churn, last_level, days_active, last_state) without NULLs, distinct."""
+    log = activity_log(spark, sf_dir)
+    last = rows.drop_null_rows(_marked(spark, sf_dir).select("userId", "gender", "last_level", "last_state"))
+    per_user = (label.churn_users(log)
+                .join(feat.user_first_last(log).select("userId", "days_active"), "userId"))
+    return rows.distinct_rows(last.join(per_user, "userId").select(
+        "userId", "gender", "churn", "last_level", "days_active", "last_state"))
+
+
+def q_distinct_rows(spark, sf_dir):
+    return rows.distinct_rows(activity_log(spark, sf_dir).select("userId", "level", "gender"))
+
+
+# -- windows as aggregates, single features --------------------------------------
+
+def q_user_first_last(spark, sf_dir):
+    return feat.user_first_last(activity_log(spark, sf_dir))
+
+
+def q_songs_per_day(spark, sf_dir):
+    return feat.songs_per_day(activity_log(spark, sf_dir))
+
+
+def q_events_per_day(spark, sf_dir):
+    return feat.events_per_day(activity_log(spark, sf_dir))
+
+
+def q_avg_songs(spark, sf_dir):
+    return feat.avg_songs(activity_log(spark, sf_dir))
+
+
+def q_avg_events(spark, sf_dir):
+    return feat.avg_events(activity_log(spark, sf_dir))
+
+
+def q_thumbs_up(spark, sf_dir):
+    return feat.thumbs_up(activity_log(spark, sf_dir))
+
+
+def q_thumbs_down(spark, sf_dir):
+    return feat.thumbs_down(activity_log(spark, sf_dir))
+
+
+def q_add_friend(spark, sf_dir):
+    return feat.add_friend(activity_log(spark, sf_dir))
+
+
+def q_days_active(spark, sf_dir):
+    return feat.user_first_last(activity_log(spark, sf_dir)).select("userId", "days_active")
+
+
+def q_last_level(spark, sf_dir):
+    return feat.last_profile(activity_log(spark, sf_dir)).select("userId", "last_level")
+
+
+def q_last_state(spark, sf_dir):
+    return feat.last_profile(activity_log(spark, sf_dir)).select("userId", "last_state")
+
+
+# -- joins ----------------------------------------------------------------------
+
+def q_join_songs_inner(spark, sf_dir):
+    log = activity_log(spark, sf_dir)
+    return feat.join_songs_inner(feat.user_base(log), log)
+
+
+def q_join_events_inner(spark, sf_dir):
+    log = activity_log(spark, sf_dir)
+    return feat.join_events_inner(feat.user_base(log), log)
+
+
+def q_join_counts_left(spark, sf_dir):
+    log = activity_log(spark, sf_dir)
+    return feat.join_counts_left(feat.user_base(log), log)
+
+
+# -- categories -------------------------------------------------------------------
+
+def q_state_counts(spark, sf_dir):
+    return category.category_counts(features_of(spark, sf_dir), "last_state")
+
+
+def q_top_states(spark, sf_dir):
+    return category.top_categories(features_of(spark, sf_dir), "last_state", TOP_K, TOP_SKIP)
+
+
+def q_collapse_rare_states(spark, sf_dir):
+    ft = features_of(spark, sf_dir)
+    return category.collapse_rare(ft, "last_state", category.top_categories(ft, "last_state", TOP_K, TOP_SKIP))
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "feature_table": q_feature_table,
-        "feature_table_rowlog": q_feature_table_rowlog,
-        "feature_table_joinform": q_feature_table_joinform,
-    }
+    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

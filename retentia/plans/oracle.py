@@ -22,7 +22,7 @@ activity AS (
          WHEN e.event_type = 'view' THEN 'Thumbs Up'
          WHEN e.event_type = 'purchase' THEN 'Thumbs Down'
          WHEN e.event_type = 'signup' THEN 'Add Friend' END AS page,
-    CAST(epoch_ms(e.ts) AS BIGINT) AS ts,
+    CAST(epoch_us(e.ts) // 1000 AS BIGINT) AS ts,
     CASE WHEN e.value >= 35 THEN 'paid' ELSE 'free' END AS level,
     CASE WHEN c.c_custkey % 2 = 0 THEN 'F' WHEN c.c_custkey % 2 = 1 THEN 'M' END AS gender,
     'Metro-' || n.n_name || ', ' || CASE WHEN n.n_nationkey % 5 = 0 THEN 'ZZ-' ELSE '' END
@@ -114,9 +114,124 @@ FEATURE_COLS = ("userId, gender, churn, last_level, days_active, last_state, avg
                 "thumbs_up, thumbs_down, addfriend")
 
 
+TEXT_COLS = ("userId", "page", "level", "gender", "location")
+
+
+def _missing(c: str, text: bool) -> str:
+    if text:
+        return (f"count(*) FILTER (WHERE contains({c}, 'None') OR contains({c}, 'NULL') OR {c} = '' "
+                f"OR {c} IS NULL) AS {c}")
+    return f"count(*) FILTER (WHERE {c} IS NULL) AS {c}"
+
+
+AUDIT = ", ".join(_missing(c, c in TEXT_COLS) for c in ("userId", "page", "ts", "level", "gender", "location"))
+LOG_COLS = "userId, page, ts, level, gender, location"
+ORDER_ASC = ", ".join(f"{c} ASC NULLS FIRST" for c in ("ts", "userId", "page", "level", "gender", "location"))
+ORDER_DESC = ", ".join(f"{c} DESC NULLS LAST" for c in ("ts", "userId", "page", "level", "gender", "location"))
+NUMERIC = ("churn", "days_active", "avg_songs", "avg_events", "thumbs_up", "thumbs_down", "addfriend")
+
+# Base of the join form: complete rows at the user's last ts, greatest one kept.
+BASE = """
+base AS (
+  SELECT u.userId AS userId, l.gender AS gender, CAST(u.churn AS INTEGER) AS churn,
+         l.level AS last_level, CAST(date_diff('day', u.first_d, u.last_d) AS INTEGER) AS days_active,
+         l.state AS last_state
+  FROM users u JOIN lastrow l ON u.userId = l.userId
+)"""
+
+TOP = """
+counts AS (SELECT last_state, count(*) AS cnt FROM features GROUP BY last_state),
+ranked AS (SELECT last_state, cnt, row_number() OVER (ORDER BY cnt DESC, last_state ASC NULLS FIRST) AS rnk
+           FROM counts)"""
+
+
 def sql_queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["feature_table"] = f"{FEATURE_CTES}\nSELECT {FEATURE_COLS} FROM features"
+    act = with_ctes(ACTIVITY)
+    cln = with_ctes(ACTIVITY, CLEAN)
+    ft = FEATURE_CTES
+    q["feature_table"] = f"{ft}\nSELECT {FEATURE_COLS} FROM features"
     q["feature_table_rowlog"] = q["feature_table"]
     q["feature_table_joinform"] = q["feature_table"]
+
+    # sources and sinks
+    q["activity_scan"] = f"{act}\nSELECT {LOG_COLS} FROM activity"
+    q["events_json_scan"] = q["activity_scan"]
+    q["feature_csv_roundtrip"] = q["feature_table"]
+    q["feature_csv_header_scan"] = q["feature_table"]
+    q["request_log_append"] = q["feature_table"]
+
+    # profiling
+    q["row_count"] = f"{act}\nSELECT count(*) AS n_rows FROM activity"
+    q["row_count_clean"] = f"{act}\nSELECT count(*) AS n_rows FROM activity WHERE userId <> ''"
+    q["missing_audit"] = f"{act}\nSELECT {AUDIT} FROM activity"
+    q["missing_audit_clean"] = f"{act}\nSELECT {AUDIT} FROM activity WHERE userId <> ''"
+    q["numeric_describe"] = ft + "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, "
+        f"round(stddev_samp({c}), 4) AS stddev, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
+        f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM features" for c in NUMERIC)
+    q["head_n"] = f"{act}\nSELECT {LOG_COLS} FROM activity ORDER BY {ORDER_ASC} LIMIT 20"
+    q["tail_n"] = f"{act}\nSELECT {LOG_COLS} FROM activity ORDER BY {ORDER_DESC} LIMIT 2"
+
+    # filters, labels, row forms
+    q["drop_blank_users"] = f"{act}\nSELECT {LOG_COLS} FROM activity WHERE userId <> ''"
+    q["churn_event_flag"] = f"{cln}\nSELECT userId, page, ts, flag AS churn FROM clean"
+    q["churn_users"] = f"{cln}\nSELECT userId, max(flag) AS churn FROM clean GROUP BY userId"
+    q["churn_label_rows"] = (f"{cln}\nSELECT c.userId, c.page, c.ts, u.churn FROM clean c "
+                             f"JOIN (SELECT userId, max(flag) AS churn FROM clean GROUP BY userId) u "
+                             f"ON c.userId = u.userId")
+    q["event_date"] = f"{act}\nSELECT userId, ts, {date_sql('ts')} AS date FROM activity"
+    q["state_extract"] = f"{act}\nSELECT userId, ts, location, {state_sql('location')} AS state FROM activity"
+    q["last_level_rows"] = (
+        f"{cln},\nlasts AS (SELECT userId, max(ts) AS last_ts FROM clean GROUP BY userId)\n"
+        f"SELECT c.userId, c.ts, c.page, c.level, c.state, "
+        f"CASE WHEN l.userId IS NOT NULL THEN c.level END AS last_level, "
+        f"CASE WHEN l.userId IS NOT NULL THEN c.state END AS last_state "
+        f"FROM clean c LEFT JOIN lasts l ON c.userId = l.userId AND c.ts = l.last_ts")
+    q["drop_null_rows"] = (
+        f"{ft}\nSELECT DISTINCT c.userId, c.gender, CAST(u.churn AS INTEGER) AS churn, c.level AS last_level, "
+        f"CAST(date_diff('day', u.first_d, u.last_d) AS INTEGER) AS days_active, c.state AS last_state "
+        f"FROM clean c JOIN users u ON c.userId = u.userId AND c.ts = u.last_ts "
+        f"WHERE c.gender IS NOT NULL AND c.level IS NOT NULL AND c.state IS NOT NULL")
+    q["distinct_rows"] = f"{act}\nSELECT DISTINCT userId, level, gender FROM activity"
+
+    # windows as aggregates, single features
+    q["user_first_last"] = (
+        f"{cln}\nSELECT userId, min(ts) AS first_ts, max(ts) AS last_ts, min(d) AS first_date, "
+        f"max(d) AS last_date, CAST(date_diff('day', min(d), max(d)) AS INTEGER) AS days_active "
+        f"FROM clean GROUP BY userId")
+    q["songs_per_day"] = (f"{cln}\nSELECT userId, d AS date, count(*) AS n_songs FROM clean "
+                          f"WHERE page = 'NextSong' GROUP BY userId, d")
+    q["events_per_day"] = f"{cln}\nSELECT userId, d AS date, count(*) AS n_events FROM clean GROUP BY userId, d"
+    q["avg_songs"] = f"{ft}\nSELECT userId, avg_songs FROM songs"
+    q["avg_events"] = f"{ft}\nSELECT userId, avg_events FROM evs"
+    q["thumbs_up"] = f"{ft}\nSELECT userId, n AS thumbs_up FROM ups"
+    q["thumbs_down"] = f"{ft}\nSELECT userId, n AS thumbs_down FROM downs"
+    q["add_friend"] = f"{ft}\nSELECT userId, n AS addfriend FROM friends"
+    q["days_active"] = (f"{ft}\nSELECT userId, CAST(date_diff('day', first_d, last_d) AS INTEGER) AS days_active "
+                        f"FROM users")
+    q["last_level"] = f"{ft}\nSELECT userId, level AS last_level FROM lastrow"
+    q["last_state"] = f"{ft}\nSELECT userId, state AS last_state FROM lastrow"
+
+    # joins
+    base = f"{ft},{BASE}"
+    bcols = "b.userId, b.gender, b.churn, b.last_level, b.days_active, b.last_state"
+    q["join_songs_inner"] = f"{base}\nSELECT {bcols}, s.avg_songs FROM base b JOIN songs s ON b.userId = s.userId"
+    q["join_events_inner"] = f"{base}\nSELECT {bcols}, e.avg_events FROM base b JOIN evs e ON b.userId = e.userId"
+    q["join_counts_left"] = (
+        f"{base}\nSELECT {bcols}, CAST(coalesce(a.n, 0) AS BIGINT) AS thumbs_up, "
+        f"CAST(coalesce(x.n, 0) AS BIGINT) AS thumbs_down, CAST(coalesce(f.n, 0) AS BIGINT) AS addfriend "
+        f"FROM base b LEFT JOIN ups a ON b.userId = a.userId LEFT JOIN downs x ON b.userId = x.userId "
+        f"LEFT JOIN friends f ON b.userId = f.userId")
+
+    # categories
+    top = f"{ft},{TOP}"
+    q["state_counts"] = f"{ft}\nSELECT last_state, count(*) AS count FROM features GROUP BY last_state"
+    q["top_states"] = (f"{top}\nSELECT last_state, cnt AS count, CAST(rnk AS INTEGER) AS rank FROM ranked "
+                       f"WHERE rnk BETWEEN 2 AND 11")
+    q["collapse_rare_states"] = (
+        f"{top}\nSELECT userId, gender, churn, last_level, days_active, "
+        f"CASE WHEN last_state IN (SELECT last_state FROM ranked WHERE rnk BETWEEN 2 AND 11) "
+        f"THEN last_state ELSE 'OTHER' END AS last_state, avg_songs, avg_events, thumbs_up, thumbs_down, addfriend "
+        f"FROM features")
     return q
