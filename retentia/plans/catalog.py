@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import event_date, state_of
-from retentia.operators import category, features as feat, label, profile, rows
-from retentia.session import scratch_path
+from retentia.operators import category, encode, evaluate, label, profile, rows, score, train
+from retentia.operators import features as feat
+from retentia.session import materialize, scratch_path
 from retentia.sources import io
 from retentia.sources.activity import activity_log, activity_parts
 
@@ -244,5 +245,128 @@ def q_collapse_rare_states(spark, sf_dir):
     return category.collapse_rare(ft, "last_state", category.top_categories(ft, "last_state", TOP_K, TOP_SKIP))
 
 
+# -- encoding (deterministic, SQL-checked) -----------------------------------------
+
+def labelled_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled feature table with split and fold, checkpointed (lineage cut)."""
+    return materialize(encode.labelled(features_of(spark, sf_dir)))
+
+
+def q_split_assign(spark, sf_dir):
+    return encode.split_assign(features_of(spark, sf_dir)).select("userId", "bucket", "split")
+
+
+def q_fold_assign(spark, sf_dir):
+    return encode.fold_assign(features_of(spark, sf_dir)).select("userId", "fold")
+
+
+def q_string_index(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    model = encode.indexer("skip").fit(train.train_split(data))
+    return model.transform(data).select("userId", *encode.INDEX_OUT)
+
+
+def q_one_hot(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    prep = encode.fit_preprocess(train.train_split(data), refined=False)
+    enc = prep.transform(data)
+    parts = [encode.vector_entries(enc, v).select("userId", F.lit(v).alias("vector"), "i", "v")
+             for v in encode.VEC_OUT]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_assemble_vector(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    prep = encode.fit_preprocess(train.train_split(data), refined=False)
+    return encode.vector_entries(prep.transform(data), encode.FEATURES)
+
+
+def q_l1_normalize(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    prep = encode.fit_preprocess(train.train_split(data), refined=True)
+    return encode.vector_entries(prep.transform(data), encode.FEATURES, digits=9)
+
+
+# -- metrics on a rule prediction (SQL-checked) ----------------------------------------
+
+def rule_predictions(spark, sf_dir):
+    """label = churn; prediction = 1 when thumbs down outnumber thumbs up."""
+    ft = features_of(spark, sf_dir)
+    return ft.select(F.col("churn").cast("double").alias("label"),
+                     F.when(F.col("thumbs_down") > F.col("thumbs_up"), 1.0).otherwise(0.0).alias("prediction"))
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(rule_predictions(spark, sf_dir))
+
+
+def q_weighted_f1(spark, sf_dir):
+    return evaluate.weighted_f1(rule_predictions(spark, sf_dir))
+
+
+# -- learners, comparison, tuning, scoring (rows-checked) ------------------------------
+
+def _scored(model, data):
+    return model.transform(data).select("userId", "split", "label", "prediction")
+
+
+def q_rf_score(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    return _scored(train.fit_model(data, "Random Forest", refined=True), data)
+
+
+def q_lr_score(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    return _scored(train.fit_model(data, "Logistic Regression", refined=True), data)
+
+
+def q_gbt_score(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    return _scored(train.fit_model(data, "Gradient-boosted Tree", refined=True), data)
+
+
+def q_nb_score(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    return _scored(train.fit_model(data, "Naive Bayes", refined=True), data)
+
+
+def q_model_compare(spark, sf_dir):
+    return train.compare(labelled_of(spark, sf_dir))
+
+
+def q_cv_results(spark, sf_dir):
+    _, results = train.cv_tune(labelled_of(spark, sf_dir))
+    return results
+
+
+def q_tuned_eval(spark, sf_dir):
+    """Best cross-validated model scored on train, test and valid: F1 per split."""
+    data = labelled_of(spark, sf_dir)
+    model, _ = train.cv_tune(data)
+    return evaluate.weighted_f1(model.bestModel.transform(data), keys=("split",))
+
+
+def q_rf_tuned_score(spark, sf_dir):
+    data = labelled_of(spark, sf_dir)
+    return _scored(train.fit_tuned_forest(data), data)
+
+
+def q_model_save_load(spark, sf_dir):
+    """Fitted pipeline saved to the shared folder, loaded back and applied."""
+    data = labelled_of(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    score.save_model(score.fit_scoring_model(data), path)
+    return _scored(score.load_model(path), data)
+
+
+def q_batch_score(spark, sf_dir):
+    """Every user of the feature table scored as a request by the saved pipeline."""
+    data = labelled_of(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    score.save_model(score.fit_scoring_model(data), path)
+    requests = features_of(spark, sf_dir).drop("churn")
+    return score.batch_score(score.load_model(path), requests)
+
+
 def queries() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

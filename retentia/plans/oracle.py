@@ -234,4 +234,75 @@ def sql_queries() -> dict[str, str]:
         f"CASE WHEN last_state IN (SELECT last_state FROM ranked WHERE rnk BETWEEN 2 AND 11) "
         f"THEN last_state ELSE 'OTHER' END AS last_state, avg_songs, avg_events, thumbs_up, thumbs_down, addfriend "
         f"FROM features")
+
+    # encoding
+    for k, v in encoding_sql().items():
+        q[k] = v
+    return q
+
+
+def _bucket(expr: str, n: int) -> str:
+    return f"CAST(CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT) % {n} AS INTEGER)"
+
+
+def _index_ctes(src: str, prefix: str = "") -> str:
+    parts = []
+    for name, col in (("ig", "gender"), ("il", "last_level"), ("ist", "last_state")):
+        parts.append(f"{prefix}{name} AS (SELECT {col} AS val, CAST(row_number() OVER (ORDER BY count(*) DESC, "
+                     f"{col} ASC) - 1 AS DOUBLE) AS idx FROM {src} GROUP BY {col})")
+    return ",\n".join(parts)
+
+
+def _entries(enc: str, p: str = "") -> str:
+    ng, nl, ns = (f"(SELECT count(*) FROM {p}ig)", f"(SELECT count(*) FROM {p}il)", f"(SELECT count(*) FROM {p}ist)")
+    rows = [f"SELECT userId, CAST(gi AS INTEGER) AS i, 1.0 AS v FROM {enc}",
+            f"SELECT userId, CAST({ng} + li AS INTEGER) AS i, 1.0 AS v FROM {enc}",
+            f"SELECT userId, CAST({ng} + {nl} + si AS INTEGER) AS i, 1.0 AS v FROM {enc}"]
+    for j, c in enumerate(NUMERIC[1:]):
+        rows.append(f"SELECT userId, CAST({ng} + {nl} + {ns} + {j} AS INTEGER) AS i, CAST({c} AS DOUBLE) AS v "
+                    f"FROM {enc} WHERE {c} <> 0")
+    return "\nUNION ALL\n".join(rows)
+
+
+def encoding_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    fold_key = "userId || '#fold'"
+    lab = (f"{FEATURE_CTES},\nlab AS (SELECT *, {_bucket('userId', 10)} AS bucket, "
+           f"{_bucket(fold_key, 3)} AS fold FROM features),\n"
+           f"train AS (SELECT * FROM lab WHERE bucket < 6)")
+    q["split_assign"] = (f"{lab}\nSELECT userId, bucket, CASE WHEN bucket < 6 THEN 'train' WHEN bucket < 8 "
+                         f"THEN 'test' ELSE 'valid' END AS split FROM lab")
+    q["fold_assign"] = f"{lab}\nSELECT userId, fold FROM lab"
+    idx = f"{lab},\n{_index_ctes('train')},\n" + (
+        "enc AS (SELECT l.*, ig.idx AS gi, il.idx AS li, ist.idx AS si FROM lab l "
+        "JOIN ig ON l.gender = ig.val JOIN il ON l.last_level = il.val JOIN ist ON l.last_state = ist.val)")
+    q["string_index"] = f"{idx}\nSELECT userId, gi AS genderIndex, li AS levelIndex, si AS stateIndex FROM enc"
+    q["one_hot"] = (f"{idx}\nSELECT userId, 'genderVec' AS vector, CAST(gi AS INTEGER) AS i, 1.0 AS v FROM enc\n"
+                    f"UNION ALL SELECT userId, 'levelVec', CAST(li AS INTEGER), 1.0 FROM enc\n"
+                    f"UNION ALL SELECT userId, 'stateVec', CAST(si AS INTEGER), 1.0 FROM enc")
+    q["assemble_vector"] = f"{idx}\n{_entries('enc')}"
+    refined = (f"{lab},\nrk AS (SELECT last_state AS val, row_number() OVER (ORDER BY count(*) DESC, "
+               f"last_state ASC) AS rnk FROM train GROUP BY last_state),\n"
+               f"lab2 AS (SELECT * REPLACE (CASE WHEN last_state IN (SELECT val FROM rk WHERE rnk BETWEEN 2 AND 11) "
+               f"THEN last_state ELSE 'OTHER' END AS last_state) FROM lab),\n"
+               f"train2 AS (SELECT * FROM lab2 WHERE bucket < 6),\n{_index_ctes('train2', 'r')},\n"
+               "enc2 AS (SELECT l.*, ig.idx AS gi, il.idx AS li, ist.idx AS si FROM lab2 l "
+               "JOIN rig ig ON l.gender = ig.val JOIN ril il ON l.last_level = il.val "
+               "JOIN rist ist ON l.last_state = ist.val),\n"
+               f"e AS ({_entries('enc2', 'r')})")
+    q["l1_normalize"] = (f"{refined}\nSELECT userId, i, round(v / sum(abs(v)) OVER (PARTITION BY userId), 9) AS v "
+                         f"FROM e")
+    pred = (f"{FEATURE_CTES},\npred AS (SELECT CAST(churn AS DOUBLE) AS label, CASE WHEN thumbs_down > thumbs_up "
+            f"THEN 1.0 ELSE 0.0 END AS prediction FROM features),\n"
+            f"cm AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction)")
+    q["confusion_matrix"] = f"{pred}\nSELECT label, prediction, n FROM cm"
+    q["weighted_f1"] = (
+        f"{pred},\nsup AS (SELECT label, sum(n) AS support FROM cm GROUP BY label),\n"
+        f"prd AS (SELECT prediction AS label, sum(n) AS predicted FROM cm GROUP BY prediction),\n"
+        f"tp AS (SELECT label, n AS tp FROM cm WHERE label = prediction),\n"
+        f"m AS (SELECT s.support AS support, CASE WHEN coalesce(p.predicted, 0) > 0 THEN coalesce(t.tp, 0) / "
+        f"p.predicted ELSE 0.0 END AS pr, coalesce(t.tp, 0) / s.support AS rc FROM sup s "
+        f"LEFT JOIN tp t ON s.label = t.label LEFT JOIN prd p ON s.label = p.label)\n"
+        f"SELECT round(sum(support * CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END) "
+        f"/ sum(support), 9) AS weighted_f1 FROM m")
     return q

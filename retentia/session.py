@@ -55,3 +55,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused directory below the shared checkpoint root."""
     return f"{ensure_checkpoint_dir(spark)}/retentia-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage with a reliable checkpoint below ``spark.checkpoint.dir``.
+
+    Used before iterative work (learners, cross-validation) so that every pass
+    re-reads the small checkpointed table instead of re-running the scan of
+    the event log, and a lost executor recomputes from the checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
