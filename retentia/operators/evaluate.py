@@ -20,18 +20,27 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def per_class(cm: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys..., label, support, precision, recall, f1) for each class present as a label."""
-    on = [*keys, "label"]
-    support = cm.groupBy(*on).agg(F.sum("n").alias("support"))
-    predicted = cm.groupBy(*keys, F.col("prediction").alias("label")).agg(F.sum("n").alias("predicted"))
-    tp = cm.where(F.col("label") == F.col("prediction")).select(*on, F.col("n").alias("tp"))
-    j = support.join(tp, on, "left").join(predicted, on, "left").na.fill(0, ["tp", "predicted"])
+    """(keys..., label, support, precision, recall, f1) for each class present as a label.
+
+    Each confusion cell contributes (support, tp) to its label's class and
+    ``predicted`` to its prediction's class; one aggregate sums them.
+    """
+    zero = F.lit(0).cast("bigint")
+    cell = F.inline(F.array(
+        F.struct(F.col("label").alias("cls"), F.col("n").alias("support"),
+                 F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(zero).alias("tp"),
+                 zero.alias("predicted")),
+        F.struct(F.col("prediction").alias("cls"), zero.alias("support"), zero.alias("tp"),
+                 F.col("n").alias("predicted"))))
+    j = (cm.select(*keys, cell).groupBy(*keys, F.col("cls").alias("label"))
+         .agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"))
+         .where(F.col("support") > 0))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.col("tp") / F.col("support")
     j = j.withColumns({"precision": p, "recall": r})
     pr = F.col("precision") + F.col("recall")
     f1 = F.when(pr > 0, 2 * F.col("precision") * F.col("recall") / pr).otherwise(F.lit(0.0))
-    return j.withColumn("f1", f1).select(*on, "support", "precision", "recall", "f1")
+    return j.withColumn("f1", f1).select(*keys, "label", "support", "precision", "recall", "f1")
 
 
 def weighted_f1(pred: DataFrame, label: str = "label", prediction: str = "prediction",

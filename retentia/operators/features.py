@@ -1,19 +1,24 @@
 """Per-user behavioural features of an activity log.
 
-Physical design of ``feature_table`` (one scan, two exchanges, no join on
-events):
-
-1. project: UTC date, state, cancel flag; drop rows without a user;
-2. ``groupBy(user, date)``: event and page counters, cancel flag and the
-   "last row" struct -- partial aggregation runs map-side, so what is shuffled
-   is at most one row per (user, day) per map task, and a user with a huge
-   share of all rows is spread over partitions by day;
-3. ``groupBy(user)``: averages over days, sums, first/last day, last row;
-4. keep users with at least one song day and a complete last row.
-
-The "last row" is the greatest ``struct(ts, complete, level, state, gender)``:
-the latest event, preferring a row whose level, state and gender are all
-present, ties broken by the greater values -- exactly one row per user.
+Physical design of ``feature_table`` (one scan of the log, no join on events):
+
+1. project: UTC day, state, cancel flag; drop rows without a user;
+2. ``groupBy(user, day, level, state, gender)`` -- a hash aggregate over the
+   raw rows (fixed-width buffers: counters, cancel flag, max ts), partial
+   per map task, so at most one row per group and task is shuffled;
+3. ``groupBy(user, day)``: sums of the counters and the day's last row,
+   picked as the greatest ``struct(ts, complete, level, state, gender)``.  The
+   struct holds strings, which forces a sort-based aggregate -- here it only
+   sees the rows left after step 2, never the raw log;
+4. ``groupBy(user)``: averages over days, sums, first/last day, last row;
+5. keep users with at least one song day and a complete last row.
+
+A user holding a large share of all rows is spread over partitions by day in
+steps 2-3 and arrives at step 4 as at most one row per day.
+
+The "last row" is the latest event, preferring a row whose level, state and
+gender are all present, ties broken by the greater values -- exactly one row
+per user.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ def _is(spec: FeatureSpec, page: str) -> Column:
 
 
 def _last_struct(spec: FeatureSpec, with_profile: bool) -> Column:
+    """Row-level last-row struct (used where the raw rows are few)."""
     if not with_profile:
         return F.struct(F.col(spec.ts).alias("ts"), F.col(spec.level).alias("level"))
     state = state_of(spec.location)
@@ -40,16 +46,29 @@ def _last_struct(spec: FeatureSpec, with_profile: bool) -> Column:
 
 
 def daily_activity(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, with_profile: bool = True) -> DataFrame:
-    """Stage 1: one row per (user, UTC day) with counters and the day's last row."""
+    """One row per (user, UTC day): counters, cancel flag and the day's last row."""
     ev = drop_blank_users(events, spec)
-    return ev.groupBy(F.col(spec.user), event_date(spec.ts).alias("date")).agg(
+    attrs = [F.col(spec.level).alias("level")]
+    if with_profile:
+        attrs += [state_of(spec.location).alias("state"), F.col(spec.gender).alias("gender")]
+    per_value = ev.groupBy(F.col(spec.user), event_date(spec.ts).alias("date"), *attrs).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(_is(spec, spec.song_page)).alias("n_songs"),
         F.count_if(_is(spec, spec.thumbs_up_page)).alias("n_up"),
         F.count_if(_is(spec, spec.thumbs_down_page)).alias("n_down"),
         F.count_if(_is(spec, spec.add_friend_page)).alias("n_friend"),
         F.max(flag_page(spec.page, spec.cancel_page)).alias("churn"),
-        F.max(_last_struct(spec, with_profile)).alias("last"),
+        F.max(spec.ts).alias("ts"),
+    )
+    if with_profile:
+        complete = F.col("level").isNotNull() & F.col("gender").isNotNull() & F.col("state").isNotNull()
+        last = F.struct("ts", complete.alias("complete"), "level", "state", "gender")
+    else:
+        last = F.struct("ts", "level")
+    return per_value.groupBy(spec.user, "date").agg(
+        *[F.sum(c).alias(c) for c in ("n_events", "n_songs", "n_up", "n_down", "n_friend")],
+        F.max("churn").alias("churn"),
+        F.max(last).alias("last"),
     )
 
 

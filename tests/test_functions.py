@@ -49,3 +49,20 @@ def test_no_python_udf_in_feature_plan(spark, unit_log):
     plan = feature_table(unit_log)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     _ = F  # keep import used
+
+
+def test_activity_ts_is_zone_independent(spark):
+    from pyspark.sql import functions as F
+    from retentia.sources.activity import event_facts
+    old = spark.conf.get("spark.sql.session.timeZone")
+    sums = []
+    try:
+        for zone in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            sums.append(event_facts(spark, "/root/testdata/sf0.001").agg(F.sum("ts")).first()[0])
+        lit = spark.sql("select timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                        "TIMESTAMP_NTZ'2024-07-01 12:00:00.123456') a").first()["a"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert sums[0] == sums[1]
+    assert lit == 1719835200123
