@@ -45,13 +45,18 @@ def _last_struct(spec: FeatureSpec, with_profile: bool) -> Column:
                     state.alias("state"), F.col(spec.gender).alias("gender"))
 
 
-def daily_activity(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, with_profile: bool = True) -> DataFrame:
-    """One row per (user, UTC day): counters, cancel flag and the day's last row."""
+def value_partials(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, with_profile: bool = True) -> DataFrame:
+    """Stage 1: one row per (user, day, level[, state, gender]) -- hash aggregate.
+
+    Every column is combinable (counts, max flag, max ts), so partials of
+    disjoint slices of the log (e.g. stream micro-batches) can simply be
+    unioned and fed to ``days_from_partials``.
+    """
     ev = drop_blank_users(events, spec)
     attrs = [F.col(spec.level).alias("level")]
     if with_profile:
         attrs += [state_of(spec.location).alias("state"), F.col(spec.gender).alias("gender")]
-    per_value = ev.groupBy(F.col(spec.user), event_date(spec.ts).alias("date"), *attrs).agg(
+    return ev.groupBy(F.col(spec.user).alias("userId"), event_date(spec.ts).alias("date"), *attrs).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(_is(spec, spec.song_page)).alias("n_songs"),
         F.count_if(_is(spec, spec.thumbs_up_page)).alias("n_up"),
@@ -60,21 +65,30 @@ def daily_activity(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, with_pro
         F.max(flag_page(spec.page, spec.cancel_page)).alias("churn"),
         F.max(spec.ts).alias("ts"),
     )
-    if with_profile:
+
+
+def days_from_partials(partials: DataFrame) -> DataFrame:
+    """Stage 2: one row per (user, day): summed counters and the day's last row."""
+    if "state" in partials.columns:
         complete = F.col("level").isNotNull() & F.col("gender").isNotNull() & F.col("state").isNotNull()
         last = F.struct("ts", complete.alias("complete"), "level", "state", "gender")
     else:
         last = F.struct("ts", "level")
-    return per_value.groupBy(spec.user, "date").agg(
+    return partials.groupBy("userId", "date").agg(
         *[F.sum(c).alias(c) for c in ("n_events", "n_songs", "n_up", "n_down", "n_friend")],
         F.max("churn").alias("churn"),
         F.max(last).alias("last"),
     )
 
 
-def user_activity(daily: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
-    """Stage 2: one row per user from the daily rows."""
-    return daily.groupBy(spec.user).agg(
+def daily_activity(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, with_profile: bool = True) -> DataFrame:
+    """One row per (user, UTC day): counters, cancel flag and the day's last row."""
+    return days_from_partials(value_partials(events, spec, with_profile))
+
+
+def user_activity(daily: DataFrame) -> DataFrame:
+    """Stage 3: one row per user from the daily rows."""
+    return daily.groupBy("userId").agg(
         F.round(F.avg(F.when(F.col("n_songs") > 0, F.col("n_songs"))), 2).alias("avg_songs"),
         F.round(F.avg("n_events"), 2).alias("avg_events"),
         F.sum("n_up").alias("thumbs_up"),
@@ -95,19 +109,24 @@ def feature_table(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: Da
     star schema, where joining the profile onto every event would shuffle the
     whole log.
     """
-    u = user_activity(daily_activity(events, spec, with_profile=users is None), spec)
-    u = u.where(F.col("avg_songs").isNotNull())
+    return features_from_days(daily_activity(events, spec, with_profile=users is None), spec, users)
+
+
+def features_from_days(daily: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None
+                       ) -> DataFrame:
+    """Per-user stage and final projection from (user, day) rows."""
+    u = user_activity(daily).where(F.col("avg_songs").isNotNull())
     if users is None:
         u = u.where(F.col("last.complete"))
         gender, state = F.col("last.gender"), F.col("last.state")
     else:
         prof = users.select(F.col(spec.user).alias("_u"), F.col(spec.gender).alias("_gender"),
                             state_of(spec.location).alias("_state"))
-        u = (u.join(prof, F.col(spec.user) == F.col("_u"), "inner")
+        u = (u.join(prof, F.col("userId") == F.col("_u"), "inner")
              .where(F.col("last.level").isNotNull() & F.col("_gender").isNotNull() & F.col("_state").isNotNull()))
         gender, state = F.col("_gender"), F.col("_state")
     return u.select(
-        F.col(spec.user).alias("userId"),
+        F.col("userId"),
         gender.alias("gender"),
         F.col("churn"),
         F.col("last.level").alias("last_level"),

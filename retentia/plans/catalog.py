@@ -53,6 +53,19 @@ def q_feature_table_joinform(spark, sf_dir):
     return feat.feature_table_joinform(activity_log(spark, sf_dir))
 
 
+def q_stream_feature_table(spark, sf_dir):
+    """Log files replayed as a stream (one file per micro-batch); table from the partials."""
+    from retentia.streaming import features_from_partials, start_partials_stream
+    facts, users = activity_parts(spark, sf_dir)
+    source = scratch_path(spark, "stream-source")
+    facts.repartition(4).write.parquet(source)
+    sink, ckpt = scratch_path(spark, "stream-partials"), scratch_path(spark, "stream-checkpoint")
+    query = start_partials_stream(spark, source, sink, ckpt, schema=facts.schema, with_profile=False,
+                                  max_files_per_trigger=1)
+    query.awaitTermination()
+    return features_from_partials(spark, sink, users=users)
+
+
 # -- sources and sinks ---------------------------------------------------------
 
 def q_activity_scan(spark, sf_dir):

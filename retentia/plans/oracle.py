@@ -153,6 +153,7 @@ def sql_queries() -> dict[str, str]:
     q["feature_table"] = f"{ft}\nSELECT {FEATURE_COLS} FROM features"
     q["feature_table_rowlog"] = q["feature_table"]
     q["feature_table_joinform"] = q["feature_table"]
+    q["stream_feature_table"] = q["feature_table"]
 
     # sources and sinks
     q["activity_scan"] = f"{act}\nSELECT {LOG_COLS} FROM activity"
