@@ -256,9 +256,9 @@ def _index_ctes(src: str, prefix: str = "") -> str:
 
 def _entries(enc: str, p: str = "") -> str:
     ng, nl, ns = (f"(SELECT count(*) FROM {p}ig)", f"(SELECT count(*) FROM {p}il)", f"(SELECT count(*) FROM {p}ist)")
-    rows = [f"SELECT userId, CAST(gi AS INTEGER) AS i, 1.0 AS v FROM {enc}",
-            f"SELECT userId, CAST({ng} + li AS INTEGER) AS i, 1.0 AS v FROM {enc}",
-            f"SELECT userId, CAST({ng} + {nl} + si AS INTEGER) AS i, 1.0 AS v FROM {enc}"]
+    rows = [f"SELECT userId, CAST(gi AS INTEGER) AS i, CAST(1.0 AS DOUBLE) AS v FROM {enc}",
+            f"SELECT userId, CAST({ng} + li AS INTEGER) AS i, CAST(1.0 AS DOUBLE) AS v FROM {enc}",
+            f"SELECT userId, CAST({ng} + {nl} + si AS INTEGER) AS i, CAST(1.0 AS DOUBLE) AS v FROM {enc}"]
     for j, c in enumerate(NUMERIC[1:]):
         rows.append(f"SELECT userId, CAST({ng} + {nl} + {ns} + {j} AS INTEGER) AS i, CAST({c} AS DOUBLE) AS v "
                     f"FROM {enc} WHERE {c} <> 0")
@@ -278,9 +278,9 @@ def encoding_sql() -> dict[str, str]:
         "enc AS (SELECT l.*, ig.idx AS gi, il.idx AS li, ist.idx AS si FROM lab l "
         "JOIN ig ON l.gender = ig.val JOIN il ON l.last_level = il.val JOIN ist ON l.last_state = ist.val)")
     q["string_index"] = f"{idx}\nSELECT userId, gi AS genderIndex, li AS levelIndex, si AS stateIndex FROM enc"
-    q["one_hot"] = (f"{idx}\nSELECT userId, 'genderVec' AS vector, CAST(gi AS INTEGER) AS i, 1.0 AS v FROM enc\n"
-                    f"UNION ALL SELECT userId, 'levelVec', CAST(li AS INTEGER), 1.0 FROM enc\n"
-                    f"UNION ALL SELECT userId, 'stateVec', CAST(si AS INTEGER), 1.0 FROM enc")
+    q["one_hot"] = (f"{idx}\nSELECT userId, 'genderVec' AS vector, CAST(gi AS INTEGER) AS i, CAST(1.0 AS DOUBLE) AS v FROM enc\n"
+                    f"UNION ALL SELECT userId, 'levelVec', CAST(li AS INTEGER), CAST(1.0 AS DOUBLE) FROM enc\n"
+                    f"UNION ALL SELECT userId, 'stateVec', CAST(si AS INTEGER), CAST(1.0 AS DOUBLE) FROM enc")
     q["assemble_vector"] = f"{idx}\n{_entries('enc')}"
     refined = (f"{lab},\nrk AS (SELECT last_state AS val, row_number() OVER (ORDER BY count(*) DESC, "
                f"last_state ASC) AS rnk FROM train GROUP BY last_state),\n"
@@ -294,7 +294,7 @@ def encoding_sql() -> dict[str, str]:
     q["l1_normalize"] = (f"{refined}\nSELECT userId, i, round(v / sum(abs(v)) OVER (PARTITION BY userId), 9) AS v "
                          f"FROM e")
     pred = (f"{FEATURE_CTES},\npred AS (SELECT CAST(churn AS DOUBLE) AS label, CASE WHEN thumbs_down > thumbs_up "
-            f"THEN 1.0 ELSE 0.0 END AS prediction FROM features),\n"
+            f"THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS prediction FROM features),\n"
             f"cm AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction)")
     q["confusion_matrix"] = f"{pred}\nSELECT label, prediction, n FROM cm"
     q["weighted_f1"] = (
