@@ -61,21 +61,26 @@ def l1_normalizer(input_col: str = RAW_FEATURES, output: str = FEATURES) -> Norm
 
 
 def preprocess_stages(train: DataFrame | None, refined: bool, handle_invalid: str = "skip",
-                      k: int = 10, skip: int = 1) -> list:
+                      k: int = 10, skip: int = 1, collapse_on: DataFrame | None = None) -> list:
     """Stages up to the feature vector.
 
     raw:     index -> one-hot -> assemble into ``features``
-    refined: collapse rare states (top list fitted on ``train``) -> index ->
-             one-hot -> assemble into ``rawFeatures`` -> L1-normalise into ``features``
+    refined: collapse rare states -> index -> one-hot -> assemble into
+             ``rawFeatures`` -> L1-normalise into ``features``.  The top list
+             is fitted on ``train`` unless ``collapse_on`` is given (pass all
+             rows to reproduce a list computed before the split).
     """
     if not refined:
         return [indexer(handle_invalid), one_hot(), assembler(FEATURES)]
-    return [collapse_stage(train, "last_state", k, skip), indexer(handle_invalid), one_hot(),
+    top_source = collapse_on if collapse_on is not None else train
+    return [collapse_stage(top_source, "last_state", k, skip), indexer(handle_invalid), one_hot(),
             assembler(RAW_FEATURES), l1_normalizer()]
 
 
-def fit_preprocess(train: DataFrame, refined: bool, handle_invalid: str = "skip"):
-    return Pipeline(stages=preprocess_stages(train, refined, handle_invalid)).fit(train)
+def fit_preprocess(train: DataFrame, refined: bool, handle_invalid: str = "skip",
+                   collapse_on: DataFrame | None = None):
+    stages = preprocess_stages(train, refined, handle_invalid, collapse_on=collapse_on)
+    return Pipeline(stages=stages).fit(train)
 
 
 def vector_entries(df: DataFrame, vec: str, key: str = "userId", digits: int | None = None) -> DataFrame:

@@ -54,14 +54,13 @@ def q_feature_table_joinform(spark, sf_dir):
 
 
 def q_stream_feature_table(spark, sf_dir):
-    """Log files replayed as a stream (one file per micro-batch); table from the partials."""
+    """Log files (as written by their tasks) replayed as a stream; table from the partials."""
     from retentia.streaming import features_from_partials, start_partials_stream
     facts, users = activity_parts(spark, sf_dir)
     source = scratch_path(spark, "stream-source")
-    facts.repartition(4).write.parquet(source)
+    facts.write.parquet(source)
     sink, ckpt = scratch_path(spark, "stream-partials"), scratch_path(spark, "stream-checkpoint")
-    query = start_partials_stream(spark, source, sink, ckpt, schema=facts.schema, with_profile=False,
-                                  max_files_per_trigger=1)
+    query = start_partials_stream(spark, source, sink, ckpt, schema=facts.schema, with_profile=False)
     query.awaitTermination()
     return features_from_partials(spark, sink, users=users)
 
@@ -80,15 +79,15 @@ def q_events_json_scan(spark, sf_dir):
 
 
 def q_feature_csv_roundtrip(spark, sf_dir):
-    """Headerless CSV sink (several part files), read back as a directory by position."""
+    """Headerless CSV sink (one part file per task), read back as a directory by position."""
     path = scratch_path(spark, "features-csv")
-    io.write_features(features_of(spark, sf_dir).repartition(4), path, header=False)
+    io.write_features(features_of(spark, sf_dir), path, header=False)
     return io.read_features(spark, path, header=False)
 
 
 def q_feature_csv_header_scan(spark, sf_dir):
     path = scratch_path(spark, "features-csv-header")
-    io.write_features(features_of(spark, sf_dir).repartition(3), path, header=True)
+    io.write_features(features_of(spark, sf_dir), path, header=True)
     return io.read_features(spark, path, header=True)
 
 

@@ -99,3 +99,21 @@ def test_cv_small_grid(data):
     model, results = train.cv_tune(data, grid=grid, parallelism=2)
     assert results.count() == 2
     assert len(model.avgMetrics) == 2
+
+
+def test_index_policies_skip_keep_error(spark, data):
+    tr = train.train_split(data)
+    unseen = data.limit(2).withColumn("gender", F.lit("X"))
+    assert encode.indexer("skip").fit(tr).transform(unseen).count() == 0
+    kept = encode.indexer("keep").fit(tr).transform(unseen).collect()
+    n_gender = tr.select("gender").distinct().count()
+    assert len(kept) == 2 and all(r.genderIndex == n_gender for r in kept)
+    with pytest.raises(Exception):
+        encode.indexer("error").fit(tr).transform(unseen).collect()
+
+
+def test_top_list_fitted_on_all_rows_option(data):
+    tr = train.train_split(data)
+    on_train = encode.fit_preprocess(tr, refined=True).stages[0].getStatement()
+    on_all = encode.fit_preprocess(tr, refined=True, collapse_on=data).stages[0].getStatement()
+    assert "OTHER" in on_train and "OTHER" in on_all
