@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import flag_page
 from retentia.operators.rows import drop_blank_users
+from retentia.operators.skew import HOT_ROWS, SALTS, salted_join
 from retentia.schema import DEFAULT_SPEC, FeatureSpec
 
 
@@ -25,12 +26,15 @@ def churn_users(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFram
             .agg(F.max(flag_page(spec.page, spec.cancel_page)).alias("churn")))
 
 
-def churn_label_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+def churn_label_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, salts: int = SALTS,
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Row form: every row of a user carries the user's label.
 
-    The per-user label (one row per key) is joined back on the user; AQE's
-    skew-join handling splits the partition of a user with very many rows.
+    The per-user label and row count come from one hash aggregate; the label
+    is joined back with ``salted_join``, so a user with very many rows is
+    spread over many join tasks instead of one.
     """
     clean = drop_blank_users(events, spec)
-    labels = churn_users(clean, spec).withColumnRenamed(spec.user, "_u")
-    return (clean.join(labels, F.col(spec.user) == F.col("_u"), "inner").drop("_u"))
+    labels = (clean.groupBy(spec.user)
+              .agg(F.max(flag_page(spec.page, spec.cancel_page)).alias("churn"), F.count(F.lit(1)).alias("_n")))
+    return salted_join(clean, labels, spec.user, "_n", salts=salts, hot_rows=hot_rows)

@@ -73,3 +73,24 @@ def test_user_extremes(unit_log):
     r = {x.userId: x for x in user_first_last(unit_log).collect()}
     assert r["1"].days_active == 3 and r["2"].days_active == 0
     _ = F
+
+
+def test_salted_label_spread_equals_plain_join(spark):
+    from retentia.sources.activity import activity_log
+    log = activity_log(spark, "/root/testdata/sf0.001")
+    hot = log.where("userId <> ''").withColumn("userId", F.lit("777"))
+    skewed = log.unionByName(hot).unionByName(hot)
+    plain = rows_of(label.churn_label_rows(skewed, hot_rows=10**12))
+    salted_df = label.churn_label_rows(skewed, salts=8, hot_rows=100)
+    assert rows_of(salted_df) == plain
+    plan = salted_df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_salted_label_spread_spreads_hot_user(spark):
+    from retentia.sources.activity import activity_log
+    log = activity_log(spark, "/root/testdata/sf0.001")
+    hot = log.where("userId <> ''").withColumn("userId", F.lit("777"))
+    out = label.churn_label_rows(log.unionByName(hot), salts=8, hot_rows=100)
+    parts = out.where("userId = '777'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
