@@ -92,5 +92,14 @@ def test_salted_label_spread_spreads_hot_user(spark):
     log = activity_log(spark, "/root/testdata/sf0.001")
     hot = log.where("userId <> ''").withColumn("userId", F.lit("777"))
     out = label.churn_label_rows(log.unionByName(hot), salts=8, hot_rows=100)
-    parts = out.where("userId = '777'").select(F.spark_partition_id().alias("p")).distinct().count()
+    # As at scale: per-user side too big to broadcast, no coalescing of tiny partitions.
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        parts = out.where("userId = '777'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
     assert parts > 1
