@@ -278,7 +278,8 @@ def encoding_sql() -> dict[str, str]:
         "enc AS (SELECT l.*, ig.idx AS gi, il.idx AS li, ist.idx AS si FROM lab l "
         "JOIN ig ON l.gender = ig.val JOIN il ON l.last_level = il.val JOIN ist ON l.last_state = ist.val)")
     q["string_index"] = f"{idx}\nSELECT userId, gi AS genderIndex, li AS levelIndex, si AS stateIndex FROM enc"
-    q["one_hot"] = (f"{idx}\nSELECT userId, 'genderVec' AS vector, CAST(gi AS INTEGER) AS i, CAST(1.0 AS DOUBLE) AS v FROM enc\n"
+    q["one_hot"] = (f"{idx}\nSELECT userId, 'genderVec' AS vector, CAST(gi AS INTEGER) AS i, "
+                    f"CAST(1.0 AS DOUBLE) AS v FROM enc\n"
                     f"UNION ALL SELECT userId, 'levelVec', CAST(li AS INTEGER), CAST(1.0 AS DOUBLE) FROM enc\n"
                     f"UNION ALL SELECT userId, 'stateVec', CAST(si AS INTEGER), CAST(1.0 AS DOUBLE) FROM enc")
     q["assemble_vector"] = f"{idx}\n{_entries('enc')}"

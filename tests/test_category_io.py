@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from retentia.operators import category
 from retentia.plans.catalog import features_of
 from retentia.schema import FEATURE_COLUMNS
@@ -77,4 +75,3 @@ def test_request_frame_level_lowercased_label_optional(spark):
                                    "thumbs_down": 0, "addfriend": 0}])
     r = df.first()
     assert r.last_level == "paid" and r.churn is None
-    _ = F

@@ -48,11 +48,9 @@ def test_no_python_udf_in_feature_plan(spark, unit_log):
     from retentia.operators.features import feature_table
     plan = feature_table(unit_log)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    _ = F  # keep import used
 
 
 def test_activity_ts_is_zone_independent(spark):
-    from pyspark.sql import functions as F
     from retentia.sources.activity import event_facts
     old = spark.conf.get("spark.sql.session.timeZone")
     sums = []

@@ -72,7 +72,6 @@ def test_user_extremes(unit_log):
     from retentia.operators.features import user_first_last
     r = {x.userId: x for x in user_first_last(unit_log).collect()}
     assert r["1"].days_active == 3 and r["2"].days_active == 0
-    _ = F
 
 
 def test_salted_label_spread_equals_plain_join(spark):
