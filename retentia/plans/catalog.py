@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import event_date, state_of
 from retentia.operators import category, encode, evaluate, label, profile, rows, score, train
 from retentia.operators import features as feat
+from retentia.schema import FEATURE_COLUMNS
 from retentia.session import materialize, scratch_path
 from retentia.sources import io
 from retentia.sources.activity import activity_log, activity_parts
@@ -94,7 +95,7 @@ def q_feature_csv_header_scan(spark, sf_dir):
 def q_request_log_append(spark, sf_dir):
     """Two request batches appended to one parquet log, read back whole."""
     path = scratch_path(spark, "requests")
-    ft = features_of(spark, sf_dir)
+    ft = materialize(features_of(spark, sf_dir))  # one feature job for both batches
     io.append_requests(ft.where(F.col("churn") == 0), path)
     io.append_requests(ft.where(F.col("churn") != 0), path)
     return io.read_requests(spark, path)
@@ -167,12 +168,7 @@ def q_last_level_rows(spark, sf_dir):
 
 def q_drop_null_rows(spark, sf_dir):
     """Projection (user, gender, churn, last_level, days_active, last_state) without NULLs, distinct."""
-    log = activity_log(spark, sf_dir)
-    last = rows.drop_null_rows(_marked(spark, sf_dir).select("userId", "gender", "last_level", "last_state"))
-    per_user = (label.churn_users(log)
-                .join(feat.user_first_last(log).select("userId", "days_active"), "userId"))
-    return rows.distinct_rows(last.join(per_user, "userId").select(
-        "userId", "gender", "churn", "last_level", "days_active", "last_state"))
+    return feat.user_rows(activity_log(spark, sf_dir), distinct_only=True)
 
 
 def q_distinct_rows(spark, sf_dir):
@@ -376,7 +372,7 @@ def q_batch_score(spark, sf_dir):
     data = labelled_of(spark, sf_dir)
     path = scratch_path(spark, "model")
     score.save_model(score.fit_scoring_model(data), path)
-    requests = features_of(spark, sf_dir).drop("churn")
+    requests = data.select(*[c for c in FEATURE_COLUMNS if c != "churn"])  # same checkpointed feature rows
     return score.batch_score(score.load_model(path), requests)
 
 
