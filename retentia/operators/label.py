@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import flag_page
 from retentia.operators.rows import drop_blank_users
 from retentia.operators.skew import HOT_ROWS, SALTS, salted_join
+from retentia.session import materialize
 from retentia.schema import DEFAULT_SPEC, FeatureSpec
 
 
@@ -30,11 +31,14 @@ def churn_label_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, salts:
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Row form: every row of a user carries the user's label.
 
-    The per-user label and row count come from one hash aggregate; the label
-    is joined back with ``salted_join``, so a user with very many rows is
-    spread over many join tasks instead of one.
+    The per-user label and row count come from one hash aggregate, which is
+    checkpointed (one row per user) so that the label side and the hot-user
+    list both read it instead of re-scanning the log; the label is joined
+    back with ``salted_join``, so a user with very many rows is spread over
+    many join tasks instead of one.  Runs the label job when called.
     """
     clean = drop_blank_users(events, spec)
-    labels = (clean.groupBy(spec.user)
-              .agg(F.max(flag_page(spec.page, spec.cancel_page)).alias("churn"), F.count(F.lit(1)).alias("_n")))
+    labels = materialize(clean.groupBy(spec.user)
+                         .agg(F.max(flag_page(spec.page, spec.cancel_page)).alias("churn"),
+                              F.count(F.lit(1)).alias("_n")))
     return salted_join(clean, labels, spec.user, "_n", salts=salts, hot_rows=hot_rows)
