@@ -209,27 +209,30 @@ def last_profile(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFra
 def user_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, distinct_only: bool = False) -> DataFrame:
     """(user, gender, churn, last_level, days_active, last_state) from complete rows at the last ts.
 
-    One aggregate gives churn, first and last ts per user; the rows at the
-    last ts are found by an equi-join on (user, ts), so a heavy user is spread
-    by ts.  ``distinct_only`` keeps every distinct complete row (several per
-    user when they tie at the last ts); otherwise the greatest one is kept.
+    One aggregate gives churn, first and last ts per user; it is joined to
+    the rows on (user, ts = last ts) -- an equi-join that spreads a heavy user
+    by ts -- and carries churn and days_active along, so the log is scanned
+    twice in all.  ``distinct_only`` keeps every distinct complete row
+    (several per user when they tie at the last ts); otherwise the greatest
+    one is kept.
     """
     ev = drop_blank_users(events, spec).withColumn("state", state_of(spec.location))
     ext = (ev.groupBy(spec.user).agg(
         F.max(flag_page(spec.page, spec.cancel_page)).cast("int").alias("churn"),
-        F.min(spec.ts).alias("first_ts"), F.max(spec.ts).alias("last_ts")))
-    lastrows = (ev.join(ext.select(F.col(spec.user).alias("_u"), F.col("last_ts").alias("_t")),
-                        (F.col(spec.user) == F.col("_u")) & (F.col(spec.ts) == F.col("_t")), "inner")
-                .select(F.col(spec.user), F.col(spec.gender).alias("gender"),
-                        F.col(spec.level).alias("last_level"), F.col("state").alias("last_state"))
-                .na.drop().distinct())
+        F.min(spec.ts).alias("first_ts"), F.max(spec.ts).alias("last_ts"))
+        .select(F.col(spec.user).alias("_u"), F.col("last_ts").alias("_t"), "churn",
+                F.datediff(event_date("last_ts"), event_date("first_ts")).alias("days_active")))
+    cols = ["gender", "churn", "last_level", "days_active", "last_state"]
+    out = (ev.join(ext, (F.col(spec.user) == F.col("_u")) & (F.col(spec.ts) == F.col("_t")), "inner")
+           .select(F.col(spec.user), F.col(spec.gender).alias("gender"), "churn",
+                   F.col(spec.level).alias("last_level"), "days_active", F.col("state").alias("last_state"))
+           .na.drop().distinct())
     if not distinct_only:
-        lastrows = (lastrows.groupBy(spec.user)
-                    .agg(F.max(F.struct("last_level", "last_state", "gender")).alias("p"))
-                    .select(spec.user, "p.gender", "p.last_level", "p.last_state"))
-    days = F.datediff(event_date("last_ts"), event_date("first_ts")).alias("days_active")
-    return (lastrows.join(ext.select(spec.user, "churn", days), spec.user, "inner")
-            .select(spec.user, "gender", "churn", "last_level", "days_active", "last_state"))
+        out = (out.groupBy(spec.user)
+               .agg(F.max(F.struct("last_level", "last_state", "gender")).alias("p"),
+                    F.max("churn").alias("churn"), F.max("days_active").alias("days_active"))
+               .select(spec.user, "p.gender", "churn", "p.last_level", "days_active", "p.last_state"))
+    return out.select(spec.user, *cols)
 
 
 def user_base(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
