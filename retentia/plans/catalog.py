@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -334,8 +335,12 @@ def q_gbt_score(spark, sf_dir):
 
 
 def q_nb_score(spark, sf_dir):
+    """Naive Bayes predictions plus the score margin (raw class-1 minus class-0 log score)."""
     data = labelled_of(spark, sf_dir)
-    return _scored(train.fit_model(data, "Naive Bayes", refined=True), data)
+    scored = train.fit_model(data, "Naive Bayes", refined=True).transform(data)
+    raw = vector_to_array("rawPrediction")
+    return scored.select("userId", "split", "label", "prediction",
+                         F.round(raw[1] - raw[0], 6).alias("margin"))
 
 
 def q_model_compare(spark, sf_dir):

@@ -294,6 +294,30 @@ def encoding_sql() -> dict[str, str]:
                f"e AS ({_entries('enc2', 'r')})")
     q["l1_normalize"] = (f"{refined}\nSELECT userId, i, round(v / sum(abs(v)) OVER (PARTITION BY userId), 9) AS v "
                          f"FROM e")
+    # Multinomial naive Bayes (smoothing 1) on the refined, L1-normalised vectors of the train
+    # split: log prior ln(n_c + 1) - ln(N + classes), log likelihood ln(tf_cj + 1) - ln(tf_c + F),
+    # prediction = class with the greater score (ties -> 0), margin = score_1 - score_0.  Labels are 0/1.
+    nfeat = "((SELECT count(*) FROM rig) + (SELECT count(*) FROM ril) + (SELECT count(*) FROM rist) + 6)"
+    q["nb_score"] = (
+        f"{refined},\n"
+        f"x AS (SELECT userId, i, v / sum(abs(v)) OVER (PARTITION BY userId) AS v FROM e),\n"
+        f"trx AS (SELECT CAST(m.churn AS DOUBLE) AS label, x.i, x.v FROM x JOIN enc2 m ON x.userId = m.userId "
+        f"WHERE m.bucket < 6),\n"
+        f"cls AS (SELECT CAST(churn AS DOUBLE) AS label, count(*) AS n FROM enc2 WHERE bucket < 6 GROUP BY 1),\n"
+        f"pri AS (SELECT label, ln(n + 1.0) - ln((SELECT sum(n) FROM cls) + (SELECT count(*) FROM cls)) AS p "
+        f"FROM cls),\n"
+        f"tf AS (SELECT label, i, sum(v) AS s FROM trx GROUP BY label, i),\n"
+        f"tot AS (SELECT label, ln(sum(s) + {nfeat}) AS d FROM tf GROUP BY label),\n"
+        f"raw AS (SELECT x.userId,\n"
+        f"  (SELECT p FROM pri WHERE label = 0.0) + sum(x.v * (ln(coalesce(t0.s, 0) + 1.0) "
+        f"- (SELECT d FROM tot WHERE label = 0.0))) AS r0,\n"
+        f"  (SELECT p FROM pri WHERE label = 1.0) + sum(x.v * (ln(coalesce(t1.s, 0) + 1.0) "
+        f"- (SELECT d FROM tot WHERE label = 1.0))) AS r1\n"
+        f"  FROM x LEFT JOIN tf t0 ON t0.label = 0.0 AND t0.i = x.i LEFT JOIN tf t1 ON t1.label = 1.0 AND t1.i = x.i\n"
+        f"  GROUP BY x.userId)\n"
+        f"SELECT m.userId, CASE WHEN m.bucket < 6 THEN 'train' WHEN m.bucket < 8 THEN 'test' ELSE 'valid' END AS split, "
+        f"CAST(m.churn AS DOUBLE) AS label, CASE WHEN r.r1 > r.r0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END "
+        f"AS prediction, round(r.r1 - r.r0, 6) AS margin FROM enc2 m JOIN raw r ON m.userId = r.userId")
     pred = (f"{FEATURE_CTES},\npred AS (SELECT CAST(churn AS DOUBLE) AS label, CASE WHEN thumbs_down > thumbs_up "
             f"THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS prediction FROM features),\n"
             f"cm AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction)")
