@@ -124,6 +124,11 @@ def q_numeric_describe(spark, sf_dir):
     return profile.numeric_describe(features_of(spark, sf_dir))
 
 
+def q_activity_describe(spark, sf_dir):
+    """Numeric summary of the raw log (epoch-ms ts), in whole milliseconds."""
+    return profile.numeric_describe(activity_log(spark, sf_dir), digits=0)
+
+
 def q_head_n(spark, sf_dir):
     return profile.head(activity_log(spark, sf_dir), HEAD_N, LOG_ORDER)
 

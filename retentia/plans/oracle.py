@@ -171,6 +171,10 @@ def sql_queries() -> dict[str, str]:
         f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, "
         f"round(stddev_samp({c}), 4) AS stddev, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
         f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM features" for c in NUMERIC)
+    q["activity_describe"] = (
+        f"{act}\nSELECT 'ts' AS \"column\", count(ts) AS count, round(avg(ts), 0) AS mean, "
+        f"round(stddev_samp(ts), 0) AS stddev, round(CAST(min(ts) AS DOUBLE), 0) AS min, "
+        f"round(CAST(max(ts) AS DOUBLE), 0) AS max FROM activity")
     q["head_n"] = f"{act}\nSELECT {LOG_COLS} FROM activity ORDER BY {ORDER_ASC} LIMIT 20"
     q["tail_n"] = f"{act}\nSELECT {LOG_COLS} FROM activity ORDER BY {ORDER_DESC} LIMIT 2"
 
