@@ -35,16 +35,6 @@ def _is(spec: FeatureSpec, page: str) -> Column:
     return F.col(spec.page) == F.lit(page)
 
 
-def _last_struct(spec: FeatureSpec, with_profile: bool) -> Column:
-    """Row-level last-row struct (used where the raw rows are few)."""
-    if not with_profile:
-        return F.struct(F.col(spec.ts).alias("ts"), F.col(spec.level).alias("level"))
-    state = state_of(spec.location)
-    complete = F.col(spec.level).isNotNull() & F.col(spec.gender).isNotNull() & state.isNotNull()
-    return F.struct(F.col(spec.ts).alias("ts"), complete.alias("complete"), F.col(spec.level).alias("level"),
-                    state.alias("state"), F.col(spec.gender).alias("gender"))
-
-
 def value_partials(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, with_profile: bool = True) -> DataFrame:
     """Stage 1: one row per (user, day, level[, state, gender]) -- hash aggregate.
 
@@ -137,8 +127,8 @@ def features_from_days(daily: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users
 
 
 # --------------------------------------------------------------------------
-# Single features (each a projection of the two stages; the optimizer prunes
-# the aggregates a projection does not use).
+# Single features: each its own hash aggregate over the log (partial per
+# task), as a separate query would compute it.
 # --------------------------------------------------------------------------
 
 def user_first_last(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
@@ -191,11 +181,14 @@ def add_friend(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame
 
 
 def last_profile(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
-    """(user, last_level, last_state, gender) from the user's last complete row."""
-    ev = drop_blank_users(events, spec)
-    last = ev.groupBy(spec.user).agg(F.max(_last_struct(spec, True)).alias("last"))
+    """(userId, last_level, last_state, gender) from the user's last complete row.
+
+    Same path as the feature table: hash aggregate per (user, day, values)
+    over the raw rows, the string-bearing last-row pick only on reduced rows.
+    """
+    last = daily_activity(events, spec).groupBy("userId").agg(F.max("last").alias("last"))
     return (last.where(F.col("last.complete"))
-            .select(F.col(spec.user), F.col("last.level").alias("last_level"),
+            .select("userId", F.col("last.level").alias("last_level"),
                     F.col("last.state").alias("last_state"), F.col("last.gender").alias("gender")))
 
 
