@@ -42,3 +42,25 @@ def test_top_k_is_bounded(spark):
 def test_metrics_do_not_use_python(spark):
     plan = _plan(catalog.q_weighted_f1(spark, SF_SMALL))
     assert "Python" not in plan
+
+
+def test_aqe_splits_hot_key_in_scan_to_scan_join(spark):
+    from pyspark.sql import functions as F
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+        skewed = ev.unionByName(ev.withColumn("user_id", F.lit(7).cast("bigint")))
+        cust = spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
+        out = skewed.join(cust, skewed.user_id == cust.c_custkey, "left")
+        out.collect()
+        assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
