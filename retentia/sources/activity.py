@@ -49,6 +49,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def _per_session(fn):
+    """Reuse the adapter's DataFrames (plans, not data) per session and directory."""
+    memo: dict[tuple[int, str], object] = {}
+
+    def wrapper(spark: SparkSession, sf_dir: str):
+        key = (id(spark), sf_dir.rstrip("/"))
+        hit = memo.get(key)
+        first = hit[0] if isinstance(hit, tuple) else hit
+        if hit is None or first.sparkSession is not spark:
+            hit = memo[key] = fn(spark, sf_dir)
+        return hit
+
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__name__ = fn.__name__
+    wrapper.__wrapped__ = fn  # uncached builder (e.g. to re-analyse under another session time zone)
+    return wrapper
+
+
 def _page() -> F.Column:
     et = F.col("event_type")
     expr = F.when(et == "error", F.when(F.col("value") > CANCEL_VALUE, F.lit("Cancellation Confirmation"))
@@ -65,6 +83,7 @@ def _user_id() -> F.Column:
             .otherwise(F.col("user_id").cast("string")))
 
 
+@_per_session
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, userId, page, ts, level): one row per event."""
     ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
@@ -77,6 +96,7 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_per_session
 def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, gender, location) per customer."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -92,6 +112,7 @@ def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", gender.alias("gender"), location.alias("location")))
 
 
+@_per_session
 def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole row-level event log with the EVENT schema."""
     facts = event_facts(spark, sf_dir)
@@ -100,6 +121,7 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("userId", "page", "ts", "level", "gender", "location"))
 
 
+@_per_session
 def activity_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(facts, users): facts (userId, page, ts, level); users (userId, gender, location)."""
     facts = event_facts(spark, sf_dir).select("userId", "page", "ts", "level")
