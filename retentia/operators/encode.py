@@ -52,8 +52,9 @@ def one_hot() -> OneHotEncoder:
     return OneHotEncoder(inputCols=INDEX_OUT, outputCols=VEC_OUT, handleInvalid="keep")
 
 
-def assembler(output: str = FEATURES) -> VectorAssembler:
-    return VectorAssembler(inputCols=VEC_OUT + NUMERIC, outputCol=output)
+def assembler(output: str = FEATURES, handle_invalid: str = "error") -> VectorAssembler:
+    """handle_invalid='keep' puts NaN for a NULL number instead of failing the job (used for scoring)."""
+    return VectorAssembler(inputCols=VEC_OUT + NUMERIC, outputCol=output, handleInvalid=handle_invalid)
 
 
 def l1_normalizer(input_col: str = RAW_FEATURES, output: str = FEATURES) -> Normalizer:
@@ -61,7 +62,8 @@ def l1_normalizer(input_col: str = RAW_FEATURES, output: str = FEATURES) -> Norm
 
 
 def preprocess_stages(train: DataFrame | None, refined: bool, handle_invalid: str = "skip",
-                      k: int = 10, skip: int = 1, collapse_on: DataFrame | None = None) -> list:
+                      k: int = 10, skip: int = 1, collapse_on: DataFrame | None = None,
+                      assemble_invalid: str = "error") -> list:
     """Stages up to the feature vector.
 
     raw:     index -> one-hot -> assemble into ``features``
@@ -71,15 +73,16 @@ def preprocess_stages(train: DataFrame | None, refined: bool, handle_invalid: st
              rows to reproduce a list computed before the split).
     """
     if not refined:
-        return [indexer(handle_invalid), one_hot(), assembler(FEATURES)]
+        return [indexer(handle_invalid), one_hot(), assembler(FEATURES, assemble_invalid)]
     top_source = collapse_on if collapse_on is not None else train
     return [collapse_stage(top_source, "last_state", k, skip), indexer(handle_invalid), one_hot(),
-            assembler(RAW_FEATURES), l1_normalizer()]
+            assembler(RAW_FEATURES, assemble_invalid), l1_normalizer()]
 
 
 def fit_preprocess(train: DataFrame, refined: bool, handle_invalid: str = "skip",
-                   collapse_on: DataFrame | None = None):
-    stages = preprocess_stages(train, refined, handle_invalid, collapse_on=collapse_on)
+                   collapse_on: DataFrame | None = None, assemble_invalid: str = "error"):
+    stages = preprocess_stages(train, refined, handle_invalid, collapse_on=collapse_on,
+                               assemble_invalid=assemble_invalid)
     return Pipeline(stages=stages).fit(train)
 
 

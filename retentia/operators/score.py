@@ -13,10 +13,11 @@ from retentia.operators.train import fit_model
 def fit_scoring_model(data: DataFrame, name: str = "Random Forest", refined: bool = True) -> PipelineModel:
     """Whole train-to-serve pipeline: collapse, index ('keep'), encode, normalise, learner.
 
-    Indexers keep unseen values (one-hot gives them an all-zero slot), so no
-    request row is dropped at scoring time.
+    Indexers keep unseen values (one-hot gives them an all-zero slot) and the
+    assembler keeps a NULL number as NaN, so no request row is dropped and one
+    bad row cannot fail a scoring job over millions of users.
     """
-    return fit_model(data, name, refined=refined, handle_invalid="keep")
+    return fit_model(data, name, refined=refined, handle_invalid="keep", assemble_invalid="keep")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

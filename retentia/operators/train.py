@@ -52,10 +52,11 @@ def train_split(data: DataFrame) -> DataFrame:
     return data.where(F.col("split") == "train")
 
 
-def fit_model(data: DataFrame, name: str, refined: bool = False, handle_invalid: str = "skip") -> PipelineModel:
+def fit_model(data: DataFrame, name: str, refined: bool = False, handle_invalid: str = "skip",
+              assemble_invalid: str = "error") -> PipelineModel:
     """Preprocessing fitted on the train split + one learner, as one PipelineModel."""
     train = train_split(data)
-    prep = fit_preprocess(train, refined, handle_invalid)
+    prep = fit_preprocess(train, refined, handle_invalid, assemble_invalid=assemble_invalid)
     encoded = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = learner(name, refined).fit(encoded)

@@ -117,3 +117,10 @@ def test_top_list_fitted_on_all_rows_option(data):
     on_train = encode.fit_preprocess(tr, refined=True).stages[0].getStatement()
     on_all = encode.fit_preprocess(tr, refined=True, collapse_on=data).stages[0].getStatement()
     assert "OTHER" in on_train and "OTHER" in on_all
+
+
+def test_scoring_keeps_rows_with_null_numbers(spark, data):
+    model = score.fit_scoring_model(data)
+    bad = data.limit(2).withColumn("avg_songs", F.lit(None).cast("double"))
+    out = score.batch_score(model, bad).collect()
+    assert len(out) == 2 and all(r.decision in ("churn", "stay") for r in out)
