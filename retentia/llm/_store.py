@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from retentia.session import scratch_path
 
@@ -18,3 +19,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def shuffle_width(spark) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key) on ``key``, each key spread over SALTS tasks.
+
+    The salt of a row is a hash of its ``spread`` columns, so a key that a
+    third of all rows share is split, and a task that runs again salts alike.
+    """
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return salted.join(many, [key, "_salt"], how).drop("_salt")

@@ -9,7 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from retentia.llm import lm_scoring, packing, quality_classifier, quality_rules, sharding
+from retentia.llm import (embedding_dedup, lm_scoring, ngram_jaccard, packing, quality_classifier, quality_rules,
+                          sharding)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,6 +26,10 @@ def op1_quality_classifier(spark, sf_dir):
             .select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     annotated = quality_rules.stored(quality_rules.annotate(docs, quality_rules.fit(docs)).drop("text"), "rules")
@@ -41,6 +46,11 @@ def op8_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op10_sharding(spark, sf_dir):
     placed, _ = sharding.shard(table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -48,8 +58,8 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_quality_rules, op6_packing, op8_lm_scoring,
-                                    op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_embedding_dedup, op4_quality_rules, op6_packing,
+                                    op8_lm_scoring, op9_ngram_jaccard, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
