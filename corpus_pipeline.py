@@ -1,10 +1,54 @@
-"""Corpus pipeline: documents to packed training sequences, one operator of ``retentia.llm`` per stage."""
+"""Corpus pipeline: documents to packed training sequences, one operator of ``retentia.llm`` per stage.
+
+Each stage gets all rows that the one before it kept, and its decisions take
+effect: rejected documents and further members of near-duplicate groups are
+gone, repeated passages are cut out of the texts.  All stages but the last
+return the columns of documents.
+
+The rules stage judges the corpus it is given, so its language bands come from
+the documents that the classifier kept.
+"""
 
 from __future__ import annotations
 
+from retentia.llm import ngram_jaccard, packing, quality_classifier, quality_rules, suffix_dedup
 from retentia.llm._store import stored
+from retentia.llm.queries import WORD_TOKENIZER, table
+
+
+def classify(spark, docs, sf_dir):
+    """Documents that the quality classifier accepts."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def rules(spark, docs, sf_dir):
+    """Documents that pass the quality rules and lie in the perplexity band of their language."""
+    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates."""
+    return ngram_jaccard.keep_one(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """The documents without passages that also occur elsewhere."""
+    return suffix_dedup.clean(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the tokenised documents with their sequence and offset."""
+    return packing.pack(docs, WORD_TOKENIZER)
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", classify),
+    ("quality_rules", rules),
+    ("ngram_jaccard", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("packing", pack),
+]
 
 #: SQL cannot express the classifier, the Kneser-Ney model or the packing; tests compare with brute force.
 ORACLE_SQL = None

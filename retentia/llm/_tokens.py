@@ -16,10 +16,14 @@ CACHE_WORDS = 500_000
 
 
 class WordTokens:
-    """Flat ids of the words seen so far; ``encode`` maps a list of words to a list of id lists."""
+    """Flat ids of the words seen so far.
 
-    def __init__(self, encode):
-        self._encode = encode
+    ``encode`` maps a list of words (bytes) to a list of id lists; ``split``
+    maps a chunk to (bytes, word starts, word ends, word rows).
+    """
+
+    def __init__(self, encode, split=lambda data, offs: (data, *_text.words(data, offs))):
+        self._encode, self._split = encode, split
         self._clear()
 
     def _clear(self):
@@ -52,7 +56,7 @@ class WordTokens:
     def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in order, ids per row) of a chunk."""
         n = len(offs) - 1
-        start, end, row = _text.words(data, offs)
+        data, start, end, row = self._split(data, offs)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
         h = _text.RollingHash(data).spans(start, end)
@@ -62,14 +66,14 @@ class WordTokens:
         new = np.flatnonzero(at < 0)
         if len(new):
             raw = data.tobytes()
-            texts = [raw[start[i]: end[i]].decode("utf-8", "replace") for i in first[new].tolist()]
+            texts = [raw[start[i]: end[i]] for i in first[new].tolist()]
             fresh = [keys[i] for i in new.tolist()]
             kept = len(self._index)
             self._add(fresh, texts)
             if len(self._index) < kept + len(fresh):   # the cache was emptied: the others are tokenised again
                 old = np.flatnonzero(at >= 0)
                 self._add([keys[i] for i in old.tolist()],
-                          [raw[start[i]: end[i]].decode("utf-8", "replace") for i in first[old].tolist()])
+                          [raw[start[i]: end[i]] for i in first[old].tolist()])
             at = np.fromiter((self._index[k] for k in keys), np.int64, len(keys))
         word = at[back]
         sizes = self._size[word]
@@ -89,6 +93,7 @@ def word_tokens(path: str) -> WordTokens:
         tok = Tokenizer.from_file(path)
 
         def encode(texts):
+            texts = [t.decode("utf-8", "replace") for t in texts]
             return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
         _LOADED[path] = WordTokens(encode)

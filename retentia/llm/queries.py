@@ -10,9 +10,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from retentia.llm import (embedding_dedup, lm_scoring, ngram_jaccard, packing, quality_classifier, quality_rules,
-                          sharding)
+                          sentencepiece_codec, sharding, suffix_dedup, url_filters)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def table(spark, sf_dir: str, name: str):
@@ -26,6 +28,15 @@ def op1_quality_classifier(spark, sf_dir):
             .select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
 
 
+def op2_sentencepiece(spark, sf_dir):
+    """Ids of every text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
+                       (F.col("decoded") == F.coalesce(F.replace("text", F.lit("\u2581"), F.lit(" ")), F.lit("")))
+                       .alias("round_trip"))
+
+
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -38,10 +49,19 @@ def op4_quality_rules(spark, sf_dir):
         "log_ppl")
 
 
+def op5_url_filters(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_lm_scoring(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -58,8 +78,9 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_embedding_dedup, op4_quality_rules, op6_packing,
-                                    op8_lm_scoring, op9_ngram_jaccard, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_embedding_dedup, op4_quality_rules,
+                                    op5_url_filters, op6_packing, op7_suffix_dedup, op8_lm_scoring, op9_ngram_jaccard,
+                                    op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
