@@ -2,11 +2,15 @@
 
 1. Every text becomes the set of hashes of its 5-word windows; texts with equal
    sets are one set.
-2. Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of
-   each, in any fixed order.  The order takes rare shingles first (by the
-   corpus frequency of a fixed number of hash slots), so a passage that many
-   documents share rarely brings two of them together.  Sets that share such a
-   shingle form a block (connected components).
+2. Two sets that link have 75 % of either in common, so in any fixed order the
+   first n - ceil(0.75 n) + k shingles of each hold k common ones.  With k = n/8
+   the corpus is asked once, per bucket of shingles, which of these occur in
+   another text; a set with too few of them links with nothing and is done.
+   Ordinary texts, also those with a passage or boilerplate in common, end here.
+   For the others the same bound with k = 1, and rare shingles first, says which
+   sets must meet: those that share a prefix shingle form a block (connected
+   components).  Shingles are ordered by how far the count of their slot, one of
+   a fixed number, stands out of the mean, so shared passages come last.
 3. Blocks are cut into tiles of ``TILE`` sets.  A task gets one block or one
    pair of tiles and builds a signature tree per tile: a leaf holds the token
    bitmap of a set, a node the OR of its children's bitmaps and their range of
@@ -30,17 +34,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm import _text
+from retentia.llm._columns import add_columns, fresh
 from retentia.llm._components import components
 from retentia.llm._store import salted_join, shuffle_width, stored
 
 WORDS = 5
 PERCENT = 75
 TILE = 128
-SLOT_BITS = 16
+SLOT_BITS = 18
 BITS = 1024
 LEAF, FANOUT = 8, 8
 
@@ -84,52 +89,128 @@ def _set_keys(rows, shingles, n):
     return key.view(np.int64), size
 
 
-def slot_classes(documents: DataFrame) -> np.ndarray:
-    """log2 of the corpus frequency of each of 2^SLOT_BITS shingle slots."""
+def prefix_length(n, k=1):
+    """Shingles of a set of n, in any order, that hold k of every set it links with."""
+    return np.minimum(n, n - (PERCENT * n + 99) // 100 + k)
+
+
+def signed(documents: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, set_key (null without words)."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
-        count = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            _, s = shingle_sets(batch.column(0))
-            count += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(count))
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], ["slot", "n"])
+            key, size = _set_keys(*shingle_sets(batch.column(1)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key, mask=size == 0)],
+                                             ["doc_id", "n_shingles", "set_key"])
 
-    got = (documents.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-           .toArrow())
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    out[got["slot"].to_numpy()] = np.floor(np.log2(got["n"].to_numpy().astype(np.float64)))
-    return out.astype(np.uint8)
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key long")
 
 
-def prefix_length(n):
-    """Shingles of a set of n that hold one of every set it links with."""
-    return n - (PERCENT * n + 99) // 100 + 1
+def enough(n):
+    """Prefix shingles (k = n/8) that a set of n has in common with every set it links with."""
+    return np.maximum(1, ((PERCENT * n + 99) // 100) // 8)
 
 
-def signed(documents: DataFrame, classes) -> DataFrame:
-    """Per document: doc_id, n_shingles, set_key (null without words), prefix (once per batch and set)."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+_SENT = "bucket int, tokens binary, sizes binary, keys binary, key_counts binary"
 
-    def run(batches):
+
+def _packed(rows) -> pa.RecordBatch:
+    kinds = [pa.int32()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)],
+                                      [f.split()[0] for f in _SENT.split(", ")])
+
+
+def shared_counts(documents: DataFrame, n_buckets: int) -> DataFrame:
+    """(set_key, n): at least as many of its prefix shingles (k = n/8) as occur in another text.
+
+    A chunk sends each of its shingles once: what occurs twice within the chunk
+    is counted there.  Shingles travel as 32 bits within their bucket; two that
+    look alike only let a set through.
+    """
+    def local(batches):
         for batch in batches:
-            n = batch.num_rows
-            rows, s = shingle_sets(batch.column(1))
-            key, size = _set_keys(rows, s, n)
-            rank = classes.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-            order = np.lexsort((s, rank, rows))
-            s = s[order]
+            rows, s = shingle_sets(batch.column(0))
+            if not len(s):
+                continue
+            key, size = _set_keys(rows, s, batch.num_rows)
             first = np.cumsum(size) - size
-            _, once = np.unique(key, return_index=True)
-            prefix = [None] * n
-            for i in once.tolist():
-                if size[i]:
-                    prefix[i] = s[first[i]: first[i] + prefix_length(int(size[i]))].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(key, mask=size == 0), pa.array(prefix, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "prefix"])
+            _, once = np.unique(key, return_index=True)              # equal sets of the chunk go as one
+            copies = np.bincount(np.searchsorted(key[once], key[size > 0]), minlength=len(once))
+            is_once = np.zeros(len(size), bool)
+            is_once[once] = True
+            at = np.arange(len(s)) - first[rows]
+            use = is_once[rows] & (at < prefix_length(size, np.maximum(1, size // 8))[rows])
+            t, r = s[use], rows[use]
+            order = np.argsort(t, kind="stable")
+            t, r = t[order], r[order]
+            new = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            times = np.diff(np.r_[new, len(t)])
+            count = np.zeros(len(size), np.int64)
+            many = np.repeat(times > 1, times)
+            count += np.bincount(r[many], minlength=len(size))
+            held = once[copies > 1]                                  # copies share everything
+            count[held] = size[held]
+            alone = ~many                                            # counted by the bucket if another chunk has it
+            marker = new[times > 1]
+            token = np.r_[t[alone], t[marker]]
+            owner = np.r_[r[alone], np.full(len(marker), len(size))]
+            bucket = (token >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+            order = np.lexsort((owner, bucket))
+            token, owner, bucket = token[order], owner[order], bucket[order].astype(np.int64)
+            small = (token & np.uint64(2**32 - 1)).astype(np.uint32)
+            keys = np.append(key, 0)
+            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            out = []
+            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                o = owner[cut[b]: cut[b + 1]]
+                start = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+                out.append((b, small[cut[b]: cut[b + 1]].tobytes(),
+                            np.diff(np.r_[start, len(o)]).astype(np.uint32).tobytes(), keys[o[start]].tobytes(), None))
+            known = np.flatnonzero(count)
+            if len(known):
+                out.append((int(key[known[0]] % n_buckets), None, None, key[known].tobytes(),
+                            count[known].tobytes()))
+            yield _packed(out)
+
+    def merge(key, pdf):
+        done = pdf[pdf["tokens"].isna()]
+        sent = pdf[pdf["tokens"].notna()]
+        keys = [np.frombuffer(b, np.int64) for b in done["keys"]]
+        counts = [np.frombuffer(b, np.int64) for b in done["key_counts"]]
+        if len(sent):
+            t = np.concatenate([np.frombuffer(b, np.uint32) for b in sent["tokens"]])
+            k = np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32))
+                                for a, b in zip(sent["keys"], sent["sizes"])])
+            order = np.argsort(t, kind="stable")
+            t, k = t[order], k[order]
+            new = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            times = np.diff(np.r_[new, len(t)])
+            owners, n = np.unique(k[np.repeat(times > 1, times)], return_counts=True)
+            keys.append(owners[owners != 0])                         # 0 marks what a chunk has counted itself
+            counts.append(n[owners != 0])
+        return pd.DataFrame({"set_key": np.concatenate(keys), "n": np.concatenate(counts)}).astype("int64")
+
+    return (documents.select("text").mapInArrow(local, _SENT).groupBy("bucket")
+            .applyInPandas(merge, "set_key long, n long").groupBy("set_key").agg(F.sum("n").alias("n")))
+
+
+def slot_ranks(sets: DataFrame) -> np.ndarray:
+    """Rank of each of 2^SLOT_BITS shingle slots: standard deviations of its count above the mean, 0 if in the noise."""
+    def run(batches):
+        count = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            s = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            count += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(count))
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], ["slot", "n"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, set_key long, prefix binary")
+    got = (sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+           .toArrow())                                               # at most 2^SLOT_BITS rows
+    count = np.zeros(1 << SLOT_BITS)
+    count[got["slot"].to_numpy()] = got["n"].to_numpy()
+    mean = max(count.mean(), 1.0)
+    return np.clip(np.floor((count - mean) / np.sqrt(mean)) - 3, 0, 65535).astype(np.uint16)
 
 
 def _stars(tokens, keys):
@@ -147,13 +228,19 @@ def _stars(tokens, keys):
 _EDGE = "bucket int, tokens binary, keys binary, edges binary"
 
 
-def blocks(sets: DataFrame, n_buckets: int) -> DataFrame:
+def blocks(sets: DataFrame, ranks, n_buckets: int) -> DataFrame:
     """(vertex = set_key, component = block) of the sets that share a prefix shingle with another set."""
     def local(batches):
         for batch in batches:
             lists = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            tokens = np.concatenate(lists)
-            keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])
+            if not lists:
+                continue
+            size = np.array([len(x) for x in lists])
+            s, rows = np.concatenate(lists), np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((s, ranks.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], rows))
+            s = s[order]
+            use = np.arange(len(s)) - (np.cumsum(size) - size)[rows] < prefix_length(size)[rows]
+            tokens, keys = s[use], batch.column(0).to_numpy()[rows[use]]
             edges, t, k = _stars(tokens, keys)
             bucket = ((t >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(bucket, np.arange(n_buckets + 1))       # t is sorted, so is the bucket
@@ -175,7 +262,7 @@ def blocks(sets: DataFrame, n_buckets: int) -> DataFrame:
                                 np.concatenate([np.frombuffer(b, np.int64) for b in sent["keys"]]))[0])
         return pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["a", "b"]).astype("int64")
 
-    edges = (sets.select("set_key", "prefix").mapInArrow(local, _EDGE)
+    edges = (sets.select("set_key", "shingles").mapInArrow(local, _EDGE)
              .groupBy("bucket").applyInPandas(merge, "a long, b long"))
     return components(edges, "blocks")
 
@@ -305,23 +392,41 @@ def _joined(tiled: DataFrame, partners: DataFrame, texts: DataFrame, n_groups: i
             .groupBy("task").applyInPandas(_links_task, "a long, b long"))
 
 
+FILTER_BITS = 24
+
+
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_key, n_shingles, shingles) of the wanted sets (set_key, doc_id of a document that has it)."""
+    """(set_key, n_shingles, shingles) of the wanted sets (set_key, at_doc: a document that has it).
+
+    A bitmap of 2^FILTER_BITS bits over the documents' ids, sent to the tasks,
+    leaves most other documents out before anything is shuffled; the join on
+    the key decides.
+    """
+    slot = F.pmod(F.xxhash64("at_doc"), F.lit(1 << FILTER_BITS))
+    used = (wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int")))
+                 .alias("bits")).toArrow())                          # at most 2^FILTER_BITS / 64 rows
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bitmap[used["word"].to_numpy()] = used["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches):
         for batch in batches:
-            rows, s = shingle_sets(batch.column(0))
-            key, size = _set_keys(rows, s, batch.num_rows)
+            at = batch.column(1).to_numpy()
+            hit = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            text = batch.column(0).take(pa.array(np.flatnonzero(hit)))
+            rows, s = shingle_sets(text)
+            key, size = _set_keys(rows, s, len(text))
             first = np.cumsum(size) - size
-            want = batch.column(1).to_numpy()
-            at = np.flatnonzero(key == want)          # a repeated doc_id may bring another text
+            full = np.flatnonzero(size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[at]), pa.array(size[at]),
-                 pa.array([s[first[i]: first[i] + size[i]].tobytes() for i in at.tolist()], pa.binary())],
+                [pa.array(key[full]), pa.array(size[full]),
+                 pa.array([s[first[i]: first[i] + size[i]].tobytes() for i in full.tolist()], pa.binary())],
                 ["set_key", "n_shingles", "shingles"])
 
-    found = (documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("at_doc")))
-             .select("text", "set_key").mapInArrow(run, "set_key long, n_shingles long, shingles binary"))
-    return found.dropDuplicates(["set_key"])
+    found = documents.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("slot")).mapInArrow(
+        run, "set_key long, n_shingles long, shingles binary")
+    return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
 def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -329,15 +434,16 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     spark = documents.sparkSession
     n = shuffle_width(spark)
     docs = documents.select("doc_id", "text")
-    classes = spark.sparkContext.broadcast(slot_classes(docs))
-    light = stored(signed(docs, classes), "signed")
-    sets = (light.where("set_key is not null").groupBy("set_key")
-            .agg(F.first("prefix", ignorenulls=True).alias("prefix"), F.min("doc_id").alias("at_doc")))
-    sets = stored(sets, "sets")
-    in_block = blocks(sets, n).select(F.col("vertex").alias("set_key"), F.col("component").alias("block"))
-    in_block = stored(in_block, "in-block")
-    wanted = sets.select("set_key", "at_doc").join(in_block, "set_key").select("set_key", "at_doc")
+    light = stored(signed(docs), "signed")
+    sets = light.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("at_doc"),
+                                                                    F.max("n_shingles").alias("size"))
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * PERCENT / 100) / 8))
+    wanted = stored(sets.join(shared_counts(docs, n), "set_key").where(F.col("n") >= need)
+                    .select("set_key", "at_doc"), "wanted")
     texts = stored(full_sets(docs, wanted), "full-sets")
+    ranks = spark.sparkContext.broadcast(slot_ranks(texts))
+    in_block = stored(blocks(texts, ranks, n).select(F.col("vertex").alias("set_key"), F.col("component").alias("block")),
+                      "in-block")
     sizes = in_block.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("n_tiles"))
     tiled = salted_join(in_block, sizes, "block", ["set_key"], "inner").withColumn(
         "tile", F.pmod("set_key", F.col("n_tiles")).cast("int"))
@@ -350,9 +456,10 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     linked = components(first, "set-components").withColumnRenamed("vertex", "set_key")
     large = tiled.where("n_tiles > 2").select("set_key", "block")
     if not large.isEmpty():
+        linked = stored(linked, "linked")
         first = first.union(stored(_second_round(large, linked, texts, tile, n), "links-2"))
         linked = components(first, "set-components").withColumnRenamed("vertex", "set_key")
-    return light.drop("prefix"), linked
+    return light, linked
 
 
 def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: int, n: int) -> DataFrame:
@@ -397,37 +504,19 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Repeated rows with that doc_id and set are one document: one of them stays.
     """
-    from pyspark.sql import Window as W
-
+    doc, chosen, key, row = fresh(documents.columns, "winner_doc", "winner_set", "set_key", "copy")
     light = near_duplicates(documents)
     winners = (light.where("set_key is not null and doc_id <=> component_id")
                .groupBy("component").agg(F.min(F.struct("doc_id", "set_key")).alias("w"))
-               .select(F.col("w.doc_id").alias("_doc"), F.col("w.set_key").alias("_set")))
-    keyed = documents.mapInArrow(_with_key(documents.schema), _key_schema(documents.schema))
-    empty = keyed.where("_key is null")
-    one = keyed.where("_key is not null").join(
-        winners, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_set")))
-    order = W.partitionBy("_doc", "_set").orderBy(*[F.col(c) for c, t in documents.dtypes if not t.startswith("map")])
-    one = one.withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return one.select(*documents.columns).union(empty.select(*documents.columns))
-
-
-def _key_schema(schema):
-    from pyspark.sql import types as T
-
-    return T.StructType([f for f in schema.fields if f.name != "_key"] + [T.StructField("_key", T.LongType())])
-
-
-def _with_key(schema):
-    names = [f.name for f in schema.fields if f.name != "_key"]
-
-    def run(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            rows, s = shingle_sets(text)
-            key, size = _set_keys(rows, s, batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(key, mask=size == 0)],
-                names + ["_key"])
-
-    return run
+               .select(F.col("w.doc_id").alias(doc), F.col("w.set_key").alias(chosen)))
+
+    def compute(text):
+        keys, size = _set_keys(*shingle_sets(text), len(text))
+        return [pa.array(keys, mask=size == 0)]
+
+    keyed = add_columns(documents, ["text"], compute, f"{key} long")
+    one = keyed.where(F.col(key).isNotNull()).join(
+        winners, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(chosen)))
+    order = Window.partitionBy(doc, chosen).orderBy(*[F.col(c) for c, t in documents.dtypes if "map<" not in t])
+    one = one.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
+    return one.select(*documents.columns).union(keyed.where(F.col(key).isNull()).select(*documents.columns))
