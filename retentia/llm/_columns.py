@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``taken`` (names, any case) has."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def add_columns(df: DataFrame, inputs: list[str], compute, fields: str) -> DataFrame:
     """``df`` plus the columns of the DDL ``fields``; a column of the same name is replaced.
 

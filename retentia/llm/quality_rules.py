@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.llm import _ngrams, _text
-from retentia.llm._columns import add_columns
+from retentia.llm._columns import add_columns, fresh
 from retentia.llm._store import stored
 
 ORDER = 5
@@ -188,13 +188,13 @@ def bands(annotated: DataFrame, below: float = BELOW, above: float = ABOVE) -> D
 
 def judge(annotated: DataFrame, bands: DataFrame) -> DataFrame:
     """``annotated`` plus kept; the join is salted, a language may hold any share of the rows."""
-    many = (bands.withColumnsRenamed({"lang": "_lang", "low": "_low", "high": "_high"})
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    salted = annotated.drop("kept").withColumn("_row_salt", F.pmod(F.xxhash64("doc_id", "log_ppl"), F.lit(SALTS)).cast("int"))
-    inside = ~F.col("base_failed") & F.col("log_ppl").between(F.col("_low"), F.col("_high"))
-    return (salted.join(many, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("_row_salt") == F.col("_salt")), "left")
-            .withColumn("kept", F.coalesce(inside, F.lit(False)))
-            .drop("_lang", "_low", "_high", "_salt", "_row_salt"))
+    lang, low, high, salt, row_salt = fresh(annotated.columns, "band_lang", "low", "high", "salt", "row_salt")
+    many = (bands.withColumnsRenamed({"lang": lang, "low": low, "high": high})
+            .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = annotated.drop("kept").withColumn(row_salt, F.pmod(F.xxhash64("doc_id", "log_ppl"), F.lit(SALTS)).cast("int"))
+    inside = ~F.col("base_failed") & F.col("log_ppl").between(F.col(low), F.col(high))
+    return (salted.join(many, F.col("lang").eqNullSafe(F.col(lang)) & (F.col(row_salt) == F.col(salt)), "left")
+            .withColumn("kept", F.coalesce(inside, F.lit(False))).drop(lang, low, high, salt, row_salt))
 
 
 def apply_rules(documents: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.llm import _text
+from retentia.llm._columns import fresh
 from retentia.llm._store import SALTS, shuffle_width, stored
 
 LENGTH = 400
@@ -402,12 +403,14 @@ def deduplicate(documents: DataFrame, with_text: bool = False) -> tuple[DataFram
 def _joined(documents: DataFrame, results: DataFrame) -> DataFrame:
     """Documents with the results of their text; a text that a third of all rows share is spread by salts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    many = (results.withColumnsRenamed({"h": "_h", "g": "_g"})
-            .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    rows = documents.withColumns({"_dh": F.xxhash64(text), "_dg": F.xxhash64(F.lit(1), text),
-                                  "_ds": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).drop("text")
-    return rows.join(many, (F.col("_dh") == F.col("_h")) & (F.col("_dg") == F.col("_g")) & (F.col("_ds") == F.col("_s"))
-                     ).drop("_h", "_g", "_s", "_dh", "_dg", "_ds")
+    h, g, salt, dh, dg, dsalt = fresh(documents.columns + results.columns, "key_h", "key_g", "key_salt", "text_h",
+                                      "text_g", "text_salt")
+    many = (results.withColumnsRenamed({"h": h, "g": g})
+            .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    rows = documents.withColumns({dh: F.xxhash64(text), dg: F.xxhash64(F.lit(1), text),
+                                  dsalt: F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).drop("text")
+    return rows.join(many, (F.col(dh) == F.col(h)) & (F.col(dg) == F.col(g)) & (F.col(dsalt) == F.col(salt))
+                     ).drop(h, g, salt, dh, dg, dsalt)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -419,8 +422,9 @@ def report(documents: DataFrame) -> DataFrame:
 def clean(documents: DataFrame) -> DataFrame:
     """The documents with the remaining text; bytes of a character that was cut in two are left out too."""
     _, results = deduplicate(documents, with_text=True)
-    kept = stored(results.select("h", "g", "kept_text"), "cut-texts")
-    out = _joined(documents, kept).withColumnRenamed("kept_text", "text")
+    (name,) = fresh(documents.columns, "kept_text")
+    kept = stored(results.select("h", "g", F.col("kept_text").alias(name)), "cut-texts")
+    out = _joined(documents, kept).withColumnRenamed(name, "text")
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
