@@ -41,7 +41,7 @@ from retentia.llm._store import shuffle_width, stored
 ORDER = 5
 MOST = 4_000_000
 END = 0xFF
-WORD_CHUNK = 8 << 20
+WORD_CHUNK = 3 << 20
 
 
 def trained_on(doc_id):
