@@ -37,6 +37,15 @@ def collapse_rare(df: DataFrame, column: str, top: DataFrame, other: str = OTHER
                         ).drop("_keep")
 
 
+def _literal(value: str) -> str:
+    """SQL string literal; backslashes and quotes are escaped."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def collapse_stage(df: DataFrame, column: str, k: int = 10, skip: int = 1, output: str | None = None,
                    other: str = OTHER) -> SQLTransformer:
     """Fit the top list on ``df`` and return it as a persistable pipeline stage.
@@ -47,10 +56,11 @@ def collapse_stage(df: DataFrame, column: str, k: int = 10, skip: int = 1, outpu
     values = [r[column] for r in top_categories(df, column, k, skip).select(column).collect()
               if r[column] is not None]
     out = output or column
-    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values) or "NULL"
-    expr = f"CASE WHEN `{column}` IN ({quoted}) THEN `{column}` ELSE '{other}' END"
+    col, target = _name(column), _name(out)
+    kept = ", ".join(_literal(v) for v in values) or "NULL"
+    expr = f"CASE WHEN {col} IN ({kept}) THEN {col} ELSE {_literal(other)} END"
     if out == column:
-        stmt = f"SELECT * EXCEPT (`{column}`), {expr} AS `{column}` FROM __THIS__"
+        stmt = f"SELECT * EXCEPT ({col}), {expr} AS {col} FROM __THIS__"
     else:
-        stmt = f"SELECT *, {expr} AS `{out}` FROM __THIS__"
+        stmt = f"SELECT *, {expr} AS {target} FROM __THIS__"
     return SQLTransformer(statement=stmt)

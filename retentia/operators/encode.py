@@ -47,9 +47,16 @@ def indexer(handle_invalid: str = "skip") -> StringIndexer:
                          stringOrderType="frequencyDesc")
 
 
-def one_hot() -> OneHotEncoder:
-    """handleInvalid='keep' adds a slot and dropLast removes it: one slot per category."""
-    return OneHotEncoder(inputCols=INDEX_OUT, outputCols=VEC_OUT, handleInvalid="keep")
+def one_hot(index_invalid: str = "skip") -> OneHotEncoder:
+    """One slot per category seen in training, under every index policy.
+
+    After a 'keep' indexer the last index stands for unseen values; dropLast
+    drops that one, so an unseen value is an all-zero slot.  After 'skip' or
+    'error' there is no such index: handleInvalid='keep' adds a slot and
+    dropLast removes it again.
+    """
+    return OneHotEncoder(inputCols=INDEX_OUT, outputCols=VEC_OUT, dropLast=True,
+                         handleInvalid="error" if index_invalid == "keep" else "keep")
 
 
 def assembler(output: str = FEATURES, handle_invalid: str = "error") -> VectorAssembler:
@@ -73,9 +80,9 @@ def preprocess_stages(train: DataFrame | None, refined: bool, handle_invalid: st
              rows to reproduce a list computed before the split).
     """
     if not refined:
-        return [indexer(handle_invalid), one_hot(), assembler(FEATURES, assemble_invalid)]
+        return [indexer(handle_invalid), one_hot(handle_invalid), assembler(FEATURES, assemble_invalid)]
     top_source = collapse_on if collapse_on is not None else train
-    return [collapse_stage(top_source, "last_state", k, skip), indexer(handle_invalid), one_hot(),
+    return [collapse_stage(top_source, "last_state", k, skip), indexer(handle_invalid), one_hot(handle_invalid),
             assembler(RAW_FEATURES, assemble_invalid), l1_normalizer()]
 
 

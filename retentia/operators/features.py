@@ -23,12 +23,13 @@ per user.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import event_date, flag_page, state_of
 from retentia.operators.rows import drop_blank_users
 from retentia.schema import DEFAULT_SPEC, FEATURE_COLUMNS, FeatureSpec
+from retentia.session import materialize
 
 
 def _is(spec: FeatureSpec, page: str) -> Column:
@@ -105,25 +106,25 @@ def feature_table(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: Da
 def features_from_days(daily: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None
                        ) -> DataFrame:
     """Per-user stage and final projection from (user, day) rows."""
-    u = user_activity(daily).where(F.col("avg_songs").isNotNull())
+    u = with_profile(user_activity(daily).where(F.col("avg_songs").isNotNull()), spec, users)
+    return u.select(*FEATURE_COLUMNS)
+
+
+def _profile(users: DataFrame, spec: FeatureSpec) -> DataFrame:
+    return users.select(F.col(spec.user).alias("_u"), F.col(spec.gender).alias("_gender"),
+                        state_of(spec.location).alias("_state"))
+
+
+def with_profile(u: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None) -> DataFrame:
+    """Per-user rows with a complete last row, plus last_level, gender and last_state."""
     if users is None:
         u = u.where(F.col("last.complete"))
         gender, state = F.col("last.gender"), F.col("last.state")
     else:
-        prof = users.select(F.col(spec.user).alias("_u"), F.col(spec.gender).alias("_gender"),
-                            state_of(spec.location).alias("_state"))
-        u = (u.join(prof, F.col("userId") == F.col("_u"), "inner")
+        u = (u.join(_profile(users, spec), F.col("userId") == F.col("_u"), "inner")
              .where(F.col("last.level").isNotNull() & F.col("_gender").isNotNull() & F.col("_state").isNotNull()))
         gender, state = F.col("_gender"), F.col("_state")
-    return u.select(
-        F.col("userId"),
-        gender.alias("gender"),
-        F.col("churn"),
-        F.col("last.level").alias("last_level"),
-        F.col("days_active"),
-        state.alias("last_state"),
-        "avg_songs", "avg_events", "thumbs_up", "thumbs_down", "addfriend",
-    )
+    return u.withColumns({"last_level": F.col("last.level"), "gender": gender, "last_state": state})
 
 
 # --------------------------------------------------------------------------
@@ -180,77 +181,82 @@ def add_friend(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame
     return page_count(events, spec.add_friend_page, "addfriend", spec)
 
 
-def last_profile(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+def last_profile(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None) -> DataFrame:
     """(userId, last_level, last_state, gender) from the user's last complete row.
 
     Same path as the feature table: hash aggregate per (user, day, values)
-    over the raw rows, the string-bearing last-row pick only on reduced rows.
+    over the raw rows, the string-bearing last-row pick only on reduced rows,
+    the profile (``users``) joined on one row per user.
     """
-    last = daily_activity(events, spec).groupBy("userId").agg(F.max("last").alias("last"))
-    return (last.where(F.col("last.complete"))
-            .select("userId", F.col("last.level").alias("last_level"),
-                    F.col("last.state").alias("last_state"), F.col("last.gender").alias("gender")))
+    u = with_profile(user_activity(daily_activity(events, spec, with_profile=users is None)), spec, users)
+    return u.select("userId", "last_level", "last_state", "gender")
 
 
 # --------------------------------------------------------------------------
 # Join form: the same table assembled from separate per-user branches joined
 # on the user key (inner for songs/events, left + fill 0 for page counts).
-# Kept as an equivalence check and for benchmarking against the aggregate
-# form; every branch is itself a hash aggregate.
+# All branches start from one (user, day) table, so the log is scanned once
+# when that table is materialised.  Kept as an equivalence check.
 # --------------------------------------------------------------------------
 
-def user_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, distinct_only: bool = False) -> DataFrame:
-    """(user, gender, churn, last_level, days_active, last_state) from complete rows at the last ts.
+def user_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None) -> DataFrame:
+    """(user, gender, churn, last_level, days_active, last_state): the distinct rows at each user's last ts.
 
-    One aggregate gives churn, first and last ts per user; it is joined to
-    the rows on (user, ts = last ts) -- an equi-join that spreads a heavy user
-    by ts -- and carries churn and days_active along, so the log is scanned
-    twice in all.  ``distinct_only`` keeps every distinct complete row
-    (several per user when they tie at the last ts); otherwise the greatest
-    one is kept.
+    Several per user when rows with different values tie at the last ts; rows
+    with a NULL are kept (``rows.drop_null_rows`` drops them).  The log is
+    reduced to one row per user and set of values before the last ts is looked
+    up, so a user with any number of rows, or of rows at one ts, is a few rows.
     """
-    ev = drop_blank_users(events, spec).withColumn("state", state_of(spec.location))
-    ext = (ev.groupBy(spec.user).agg(
+    ev = drop_blank_users(events, spec)
+    attrs = [F.col(spec.level).alias("last_level")]
+    if users is None:
+        attrs += [F.col(spec.gender).alias("gender"), state_of(spec.location).alias("last_state")]
+    per_value = ev.groupBy(F.col(spec.user).alias("userId"), *attrs).agg(
         F.max(flag_page(spec.page, spec.cancel_page)).cast("int").alias("churn"),
         F.min(spec.ts).alias("first_ts"), F.max(spec.ts).alias("last_ts"))
-        .select(F.col(spec.user).alias("_u"), F.col("last_ts").alias("_t"), "churn",
-                F.datediff(event_date("last_ts"), event_date("first_ts")).alias("days_active")))
-    cols = ["gender", "churn", "last_level", "days_active", "last_state"]
-    out = (ev.join(ext, (F.col(spec.user) == F.col("_u")) & (F.col(spec.ts) == F.col("_t")), "inner")
-           .select(F.col(spec.user), F.col(spec.gender).alias("gender"), "churn",
-                   F.col(spec.level).alias("last_level"), "days_active", F.col("state").alias("last_state"))
-           .na.drop().distinct())
-    if not distinct_only:
-        out = (out.groupBy(spec.user)
-               .agg(F.max(F.struct("last_level", "last_state", "gender")).alias("p"),
-                    F.max("churn").alias("churn"), F.max("days_active").alias("days_active"))
-               .select(spec.user, "p.gender", "churn", "p.last_level", "days_active", "p.last_state"))
-    return out.select(spec.user, *cols)
-
-
-def user_base(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
-    """(user, gender, churn, last_level, days_active, last_state): one complete last row per user."""
-    return user_rows(events, spec)
-
-
-def join_songs_inner(base: DataFrame, events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+    w = Window.partitionBy("userId")
+    at_last = (per_value.withColumns({"churn": F.max("churn").over(w), "first": F.min("first_ts").over(w),
+                                      "last": F.max("last_ts").over(w)})
+               .where(F.col("last_ts") == F.col("last"))
+               .withColumn("days_active", F.datediff(event_date("last"), event_date("first"))))
+    if users is not None:
+        at_last = at_last.join(_profile(users, spec), F.col("userId") == F.col("_u"), "left").withColumns(
+            {"gender": F.col("_gender"), "last_state": F.col("_state")})
+    return at_last.select(F.col("userId").alias(spec.user), "gender", "churn", "last_level", "days_active", "last_state")
+
+
+def user_base(daily: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None) -> DataFrame:
+    """(userId, gender, churn, last_level, days_active, last_state): one complete last row per user."""
+    u = with_profile(user_activity(daily), spec, users)
+    return u.select("userId", "gender", "churn", "last_level", "days_active", "last_state")
+
+
+def join_songs_inner(base: DataFrame, daily: DataFrame) -> DataFrame:
     """Inner join to avg_songs: users who never played a song drop out."""
-    return base.join(avg_songs(events, spec), spec.user, "inner")
+    songs = (daily.where(F.col("n_songs") > 0).groupBy("userId")
+             .agg(F.round(F.avg("n_songs"), 2).alias("avg_songs")))
+    return base.join(songs, "userId", "inner")
 
 
-def join_events_inner(base: DataFrame, events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
-    return base.join(avg_events(events, spec), spec.user, "inner")
+def join_events_inner(base: DataFrame, daily: DataFrame) -> DataFrame:
+    events = daily.groupBy("userId").agg(F.round(F.avg("n_events"), 2).alias("avg_events"))
+    return base.join(events, "userId", "inner")
 
 
-def join_counts_left(base: DataFrame, events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
+def join_counts_left(base: DataFrame, daily: DataFrame) -> DataFrame:
     """Left joins to the three page counts, missing counts filled with 0."""
     out = base
-    for part in (thumbs_up(events, spec), thumbs_down(events, spec), add_friend(events, spec)):
-        out = out.join(part, spec.user, "left")
-    return out.na.fill(0, subset=["thumbs_up", "thumbs_down", "addfriend"])
-
-
-def feature_table_joinform(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFrame:
-    base = user_base(events, spec)
-    out = join_counts_left(join_events_inner(join_songs_inner(base, events, spec), events, spec), events, spec)
-    return out.select(F.col(spec.user).alias("userId"), *FEATURE_COLUMNS[1:])
+    names = {"n_up": "thumbs_up", "n_down": "thumbs_down", "n_friend": "addfriend"}
+    for source, name in names.items():
+        part = daily.where(F.col(source) > 0).groupBy("userId").agg(F.sum(source).alias(name))
+        out = out.join(part, "userId", "left")
+    return out.na.fill(0, subset=list(names.values()))
+
+
+def feature_table_joinform(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, users: DataFrame | None = None
+                           ) -> DataFrame:
+    """The feature table by joins; runs the job of the (user, day) table when called."""
+    daily = materialize(daily_activity(events, spec, with_profile=users is None))
+    base = user_base(daily, spec, users)
+    out = join_counts_left(join_events_inner(join_songs_inner(base, daily), daily), daily)
+    return out.select(*FEATURE_COLUMNS)

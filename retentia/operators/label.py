@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import flag_page
 from retentia.operators.rows import drop_blank_users
-from retentia.operators.skew import HOT_ROWS, SALTS, salted_join
-from retentia.session import materialize
+from retentia.operators.skew import SALTS, salted_join
 from retentia.schema import DEFAULT_SPEC, FeatureSpec
 
 
@@ -27,18 +26,16 @@ def churn_users(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC) -> DataFram
             .agg(F.max(flag_page(spec.page, spec.cancel_page)).alias("churn")))
 
 
-def churn_label_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, salts: int = SALTS,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def churn_label_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC, salts: int = SALTS) -> DataFrame:
     """Row form: every row of a user carries the user's label.
 
-    The per-user label and row count come from one hash aggregate, which is
-    checkpointed (one row per user) so that the label side and the hot-user
-    list both read it instead of re-scanning the log; the label is joined
-    back with ``salted_join``, so a user with very many rows is spread over
-    many join tasks instead of one.  Runs the label job when called.
+    The cancellation rows are filtered at the scan and reduced to the users
+    who cancelled, a side that is far smaller than the users; that flag is left
+    joined with ``salted_join``, so a user with very many rows is spread over
+    many join tasks.
     """
     clean = drop_blank_users(events, spec)
-    labels = materialize(clean.groupBy(spec.user)
-                         .agg(F.max(flag_page(spec.page, spec.cancel_page)).alias("churn"),
-                              F.count(F.lit(1)).alias("_n")))
-    return salted_join(clean, labels, spec.user, "_n", salts=salts, hot_rows=hot_rows)
+    cancelled = (clean.where(F.col(spec.page) == F.lit(spec.cancel_page)).select(spec.user).distinct()
+                 .withColumn("churn", F.lit(1)))
+    out = salted_join(clean, cancelled, spec.user, (spec.ts, spec.page), "left", salts)
+    return out.withColumn("churn", F.coalesce("churn", F.lit(0)))

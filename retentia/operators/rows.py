@@ -35,7 +35,9 @@ def mark_last_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC,
     Every row keeps its columns and gets ``last_<c>`` for each named column.
     The per-user last ts is joined back on (user, ts) rather than on the user
     alone, so a user with a large share of all rows is spread over many join
-    partitions instead of landing in one.
+    partitions instead of landing in one.  Rows of one user that share the last
+    ts do meet in one task; a bulk import that stamps all of a user's rows with
+    one ts needs a finer ts or ``user_rows``, which reduces before it joins.
     """
     lasts = user_extremes(events, spec).select(
         F.col(spec.user).alias("_u"), F.col("last_ts").alias("_t"), F.lit(True).alias("_is_last"))

@@ -1,14 +1,11 @@
 """Joining a per-key table back onto rows when one key may hold a large share of rows.
 
-A join keyed by the user alone sends all rows of a user to one task.  Here a
-key with more than ``hot_rows`` rows is split into ``salts`` sub-keys: each of
-its rows gets a salt from a hash of the row itself (deterministic, so a task
-recomputed after an executor loss salts identically) and its per-key row is
-replicated once per salt.  Other keys keep salt 0 and join as before.
-
-Size bounds: at most ``total_rows / hot_rows`` keys can be hot, so the hot-key
-list that is broadcast to the row side is bounded by construction, and the
-per-key table grows by at most that many keys times ``salts`` rows.
+A join keyed by the user alone sends all rows of a user to one task.  Here every
+key is split into ``salts`` sub-keys, always: a row's salt is a hash of its
+``spread`` columns (deterministic, so a task recomputed after an executor loss
+salts identically) and the per-key row is replicated once per salt.  Nothing is
+counted first and nothing is broadcast; the cost is ``salts`` times the per-key
+table, which has one row per key.
 """
 
 from __future__ import annotations
@@ -16,22 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_ROWS = 10_000_000
-
+SALTS = 16
 
-def salted_join(rows: DataFrame, per_key: DataFrame, key: str, count_col: str, how: str = "inner",
-                salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``rows`` joined with ``per_key`` (one row per key, ``count_col`` = rows of that key) on ``key``.
 
-    The result equals ``rows.join(per_key.drop(count_col), key, how)``.
-    """
-    is_hot = F.col(count_col) > F.lit(hot_rows)
-    hot = per_key.where(is_hot).select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
-    salt_range = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = per_key.withColumn("_salt", F.explode(salt_range)).drop(count_col)
-    row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
-    left = (rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
-            .drop("_hot_key", "_hot"))
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread: tuple[str, ...], how: str = "inner",
+                salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row per key); equals ``rows.join(per_key, key, how)``."""
+    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -4,20 +4,21 @@ All learners are spark.ml estimators (distributed fits).  The labelled
 feature table is checkpointed once; preprocessing is fitted once per training
 set and shared by every learner of a comparison, and the encoded frame is
 persisted, so each learner pass reads cached vectors instead of re-running
-the feature job.  Inside cross-validation the preprocessing stays in the
-pipeline so that each fold fits its own indexers (no leakage across folds).
+the feature job.  Cross-validation fits the preprocessing once per fold, on
+that fold's training part (no leakage across folds), and runs the whole grid of
+forests on the encoded rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
+from math import ceil, log2, sqrt
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +54,13 @@ def train_split(data: DataFrame) -> DataFrame:
 
 
 def fit_model(data: DataFrame, name: str, refined: bool = False, handle_invalid: str = "skip",
-              assemble_invalid: str = "error") -> PipelineModel:
-    """Preprocessing fitted on the train split + one learner, as one PipelineModel."""
+              assemble_invalid: str = "error", collapse_on: DataFrame | None = None) -> PipelineModel:
+    """Preprocessing fitted on the train split + one learner, as one PipelineModel.
+
+    ``collapse_on``: rows the top list of states is fitted on (default: the train split).
+    """
     train = train_split(data)
-    prep = fit_preprocess(train, refined, handle_invalid, assemble_invalid=assemble_invalid)
+    prep = fit_preprocess(train, refined, handle_invalid, collapse_on, assemble_invalid)
     encoded = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = learner(name, refined).fit(encoded)
@@ -66,7 +70,7 @@ def fit_model(data: DataFrame, name: str, refined: bool = False, handle_invalid:
 
 
 def compare(data: DataFrame, names: list[str] | None = None, feature_sets=("raw", "refined"),
-            parallelism: int = 4) -> DataFrame:
+            parallelism: int = 4, collapse_on: DataFrame | None = None) -> DataFrame:
     """Weighted F1 on train and test for each classifier and feature set.
 
     Preprocessing is fitted once per feature set on the train split and the
@@ -77,7 +81,7 @@ def compare(data: DataFrame, names: list[str] | None = None, feature_sets=("raw"
     names = names or CLASSIFIERS
     encoded = {}
     for fs in feature_sets:
-        prep = fit_preprocess(train_split(data), fs == "refined")
+        prep = fit_preprocess(train_split(data), fs == "refined", collapse_on=collapse_on)
         encoded[fs] = prep.transform(data.where(F.col("split").isin("train", "test"))).persist(
             StorageLevel.MEMORY_AND_DISK)
     tasks = [(fs, name) for fs in feature_sets for name in names]
@@ -103,62 +107,101 @@ def compare(data: DataFrame, names: list[str] | None = None, feature_sets=("raw"
     return data.sparkSession.createDataFrame(rows, f1.schema)
 
 
-# The notebook's full grid (3 x 3 x 2 x 3 = 54 combinations).
+# The original grid (3 x 3 x 2 x 3 = 54 combinations).
 FULL_GRID = {
     "numTrees": [10, 50, 100],
     "maxDepth": [2, 3, 5],
     "impurity": ["entropy", "gini"],
     "featureSubsetStrategy": ["auto", "sqrt", "log2"],
 }
-SMALL_GRID = {
-    "numTrees": [10, 50],
-    "maxDepth": [3, 5],
-    "impurity": ["gini"],
-    "featureSubsetStrategy": ["sqrt"],
-}
+FOLDS = 3
+
+
+def param_grid(grid: dict | None = None) -> list[dict]:
+    """All combinations of the grid (the full one by default), the last name varying fastest."""
+    g = grid or FULL_GRID
+    return [dict(zip(g, values)) for values in product(*g.values())]
 
 
-def param_grid(rf: RandomForestClassifier, grid: dict | None = None):
-    g = grid or SMALL_GRID
-    b = ParamGridBuilder()
-    for name, values in g.items():
-        b = b.addGrid(rf.getParam(name), values)
-    return b.build()
+def _forest(params: dict) -> RandomForestClassifier:
+    return RandomForestClassifier(labelCol="label", featuresCol=RAW_FEATURES, seed=SEED, **params)
 
 
-def cv_tune(data: DataFrame, grid: dict | None = None, folds_col: str = "fold", parallelism: int = 4):
-    """Cross-validated random forest on raw features (rawFeatures), folds by hash.
+def _same_fit(params: dict, n_features: int) -> tuple:
+    """Combinations with one key give one model: the strategies name a number of features per split.
 
-    Returns (cv_model, results DataFrame with one row per combination).
+    For a classifier of several trees 'auto' is 'sqrt'; 'sqrt' and 'log2' are rounded up.
     """
-    train = train_split(data)
-    rf = RandomForestClassifier(labelCol="label", featuresCol=RAW_FEATURES, seed=SEED)
+    p = dict(params)
+    strategy = p["featureSubsetStrategy"]
+    if strategy == "auto":
+        strategy = "sqrt" if p["numTrees"] > 1 else "all"
+    counts = {"sqrt": ceil(sqrt(n_features)), "log2": max(1, ceil(log2(n_features)))}
+    p["featureSubsetStrategy"] = counts.get(strategy, strategy)
+    return tuple(sorted(p.items()))
+
+
+def _raw_preprocess(train: DataFrame) -> PipelineModel:
     stages = preprocess_stages(None, refined=False)
     stages[-1].setOutputCol(RAW_FEATURES)
-    pipeline = Pipeline(stages=[*stages, rf])
-    maps = param_grid(rf, grid)
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps,
-                        evaluator=MulticlassClassificationEvaluator(metricName="f1"),
-                        foldCol=folds_col, parallelism=parallelism, seed=SEED)
-    model = cv.fit(train)
-    rows = []
-    for pm, metric in zip(model.getEstimatorParamMaps(), model.avgMetrics):
-        vals = {p.name: v for p, v in pm.items()}
-        rows.append((int(vals["numTrees"]), int(vals["maxDepth"]), str(vals["impurity"]),
-                     str(vals["featureSubsetStrategy"]), float(round(metric, 9))))
+    return Pipeline(stages=stages).fit(train)
+
+
+def cv_tune(data: DataFrame, grid: dict | None = None, folds_col: str = "fold", folds: int = FOLDS,
+            parallelism: int = 8) -> tuple[PipelineModel, DataFrame]:
+    """Cross-validated random forest on raw features (rawFeatures), folds by hash, over the whole grid.
+
+    Per fold: preprocessing fitted on the other folds, both parts encoded and
+    persisted, every distinct combination fitted and scored on them
+    (``parallelism`` fits at a time), one grouped metric job for all of them.
+    Returns (the best combination fitted on the train split, results with one
+    row per combination; ties keep the first).
+    """
+    train = train_split(data)
+    combos = param_grid(grid)
+    scores: list[list[float]] = [[] for _ in combos]
+    for fold in range(folds):
+        part = train.where(F.col(folds_col) != fold)
+        prep = _raw_preprocess(part)
+        fit_rows = prep.transform(part).select("label", RAW_FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        held = prep.transform(train.where(F.col(folds_col) == fold)).select("label", RAW_FEATURES).persist(
+            StorageLevel.MEMORY_AND_DISK)
+
+        def fit(params: dict):
+            return _forest(params).fit(fit_rows)  # noqa: B023 - used within this fold only
+
+        try:
+            first = fit_rows.first()
+            keys = [_same_fit(p, len(first[RAW_FEATURES])) for p in combos]
+            distinct = dict(zip(reversed(keys), reversed(combos)))
+            with ThreadPool(max(1, min(parallelism, len(distinct)))) as pool:
+                models = pool.map(inheritable_thread_target(data.sparkSession)(fit), distinct.values())
+            scored = [m.transform(held).select(F.lit(i).alias("fit"), "label", "prediction")
+                      for i, m in enumerate(models)]
+            f1 = {r["fit"]: r["weighted_f1"]     # one row per fit
+                  for r in weighted_f1(reduce(DataFrame.unionByName, scored), digits=12, keys=("fit",)).collect()}
+        finally:
+            fit_rows.unpersist()
+            held.unpersist()
+        place = {k: i for i, k in enumerate(distinct)}
+        for i, k in enumerate(keys):
+            if place[k] in f1:
+                scores[i].append(f1[place[k]])
+    mean = [sum(v) / len(v) if v else 0.0 for v in scores]
+    rows = [(int(p["numTrees"]), int(p["maxDepth"]), str(p["impurity"]), str(p["featureSubsetStrategy"]),
+             float(round(m, 9))) for p, m in zip(combos, mean)]
     results = data.sparkSession.createDataFrame(
         rows, "numTrees int, maxDepth int, impurity string, featureSubsetStrategy string, f1 double")
-    return model, results
+    return fit_tuned_forest(data, combos[mean.index(max(mean))]), results
 
 
-# The forest the notebook refits with its chosen parameters.
+# The forest that is refitted with its chosen parameters.
 TUNED = {"numTrees": 10, "maxDepth": 5, "impurity": "entropy", "featureSubsetStrategy": "sqrt"}
 
 
 def fit_tuned_forest(data: DataFrame, params: dict | None = None) -> PipelineModel:
-    p = params or TUNED
+    """A forest with fixed parameters on the train split's raw features."""
     train = train_split(data)
-    stages = preprocess_stages(None, refined=False)
-    stages[-1].setOutputCol(RAW_FEATURES)
-    rf = RandomForestClassifier(labelCol="label", featuresCol=RAW_FEATURES, seed=SEED, **p)
-    return Pipeline(stages=[*stages, rf]).fit(train)
+    prep = _raw_preprocess(train)
+    model = _forest(params or TUNED).fit(prep.transform(train))
+    return PipelineModel(stages=[*prep.stages, model])

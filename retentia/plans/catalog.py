@@ -18,7 +18,7 @@ from retentia.operators import features as feat
 from retentia.schema import FEATURE_COLUMNS
 from retentia.session import materialize, scratch_path
 from retentia.sources import io
-from retentia.sources.activity import activity_log, activity_parts
+from retentia.sources.activity import activity_log, activity_parts, event_facts, user_profile, with_users
 from retentia.streaming import features_from_partials, start_partials_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ TOP_K, TOP_SKIP = 10, 1
 
 # -- inputs ------------------------------------------------------------------
 
+def facts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log without profile columns: no query that does not need them joins the customers."""
+    return activity_parts(spark, sf_dir)[0]
+
+
+def clean_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.drop_blank_users(facts_of(spark, sf_dir))
+
+
 def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, users = activity_parts(spark, sf_dir)
     return feat.feature_table(facts, users=users)
@@ -53,7 +62,8 @@ def q_feature_table_rowlog(spark, sf_dir):
 
 
 def q_feature_table_joinform(spark, sf_dir):
-    return feat.feature_table_joinform(activity_log(spark, sf_dir))
+    facts, users = activity_parts(spark, sf_dir)
+    return feat.feature_table_joinform(facts, users=users)
 
 
 def q_stream_feature_table(spark, sf_dir):
@@ -105,11 +115,11 @@ def q_request_log_append(spark, sf_dir):
 # -- profiling -----------------------------------------------------------------
 
 def q_row_count(spark, sf_dir):
-    return profile.row_count(activity_log(spark, sf_dir))
+    return profile.row_count(facts_of(spark, sf_dir))
 
 
 def q_row_count_clean(spark, sf_dir):
-    return profile.row_count(clean_log(spark, sf_dir))
+    return profile.row_count(clean_facts(spark, sf_dir))
 
 
 def q_missing_audit(spark, sf_dir):
@@ -126,15 +136,30 @@ def q_numeric_describe(spark, sf_dir):
 
 def q_activity_describe(spark, sf_dir):
     """Numeric summary of the raw log (epoch-ms ts), in whole milliseconds."""
-    return profile.numeric_describe(activity_log(spark, sf_dir), digits=0)
+    return profile.numeric_describe(facts_of(spark, sf_dir), digits=0)
+
+
+def _edge_rows(spark, sf_dir, n: int, last: bool) -> DataFrame:
+    """Rows of the log that can be among the first (last) n by LOG_ORDER, profile joined.
+
+    The n-th ts is looked up in the facts (one row, so broadcast); only rows up
+    to it meet the customers.
+    """
+    facts = event_facts(spark, sf_dir)
+    order = F.col("ts").desc_nulls_last() if last else F.col("ts").asc_nulls_first()
+    edge = facts.select("ts").orderBy(order).limit(n).agg(
+        (F.min("ts") if last else F.max("ts")).alias("edge"), F.count_if(F.col("ts").isNull()).alias("nulls"))
+    inside = (F.col("ts") >= F.col("edge")) | (F.col("nulls") > 0) if last else (
+        F.col("ts").isNull() | (F.col("ts") <= F.col("edge")))
+    return with_users(facts.join(F.broadcast(edge), inside).drop("edge", "nulls"), user_profile(spark, sf_dir))
 
 
 def q_head_n(spark, sf_dir):
-    return profile.head(activity_log(spark, sf_dir), HEAD_N, LOG_ORDER)
+    return profile.head(_edge_rows(spark, sf_dir, HEAD_N, last=False), HEAD_N, LOG_ORDER)
 
 
 def q_tail_n(spark, sf_dir):
-    return profile.tail(activity_log(spark, sf_dir), TAIL_N, LOG_ORDER)
+    return profile.tail(_edge_rows(spark, sf_dir, TAIL_N, last=True), TAIL_N, LOG_ORDER)
 
 
 # -- filters, labels, row forms -------------------------------------------------
@@ -144,19 +169,19 @@ def q_drop_blank_users(spark, sf_dir):
 
 
 def q_churn_event_flag(spark, sf_dir):
-    return label.churn_event_flag(clean_log(spark, sf_dir)).select("userId", "page", "ts", "churn")
+    return label.churn_event_flag(clean_facts(spark, sf_dir)).select("userId", "page", "ts", "churn")
 
 
 def q_churn_users(spark, sf_dir):
-    return label.churn_users(activity_log(spark, sf_dir))
+    return label.churn_users(facts_of(spark, sf_dir))
 
 
 def q_churn_label_rows(spark, sf_dir):
-    return label.churn_label_rows(activity_log(spark, sf_dir)).select("userId", "page", "ts", "churn")
+    return label.churn_label_rows(facts_of(spark, sf_dir)).select("userId", "page", "ts", "churn")
 
 
 def q_event_date(spark, sf_dir):
-    return activity_log(spark, sf_dir).select("userId", "ts", event_date("ts").alias("date"))
+    return facts_of(spark, sf_dir).select("userId", "ts", event_date("ts").alias("date"))
 
 
 def q_state_extract(spark, sf_dir):
@@ -174,74 +199,88 @@ def q_last_level_rows(spark, sf_dir):
 
 def q_drop_null_rows(spark, sf_dir):
     """Projection (user, gender, churn, last_level, days_active, last_state) without NULLs, distinct."""
-    return feat.user_rows(activity_log(spark, sf_dir), distinct_only=True)
+    facts, users = activity_parts(spark, sf_dir)
+    return rows.distinct_rows(rows.drop_null_rows(feat.user_rows(facts, users=users)))
 
 
 def q_distinct_rows(spark, sf_dir):
-    return rows.distinct_rows(activity_log(spark, sf_dir).select("userId", "level", "gender"))
+    """Distinct (userId, level, gender): the facts are made distinct before the profile is joined."""
+    facts = event_facts(spark, sf_dir).select("user_id", "userId", "level").distinct()
+    users = user_profile(spark, sf_dir)
+    return rows.distinct_rows(facts.join(users, facts.user_id == users.c_custkey, "left")
+                              .select("userId", "level", "gender"))
 
 
 # -- windows as aggregates, single features --------------------------------------
 
 def q_user_first_last(spark, sf_dir):
-    return feat.user_first_last(activity_log(spark, sf_dir))
+    return feat.user_first_last(facts_of(spark, sf_dir))
 
 
 def q_songs_per_day(spark, sf_dir):
-    return feat.songs_per_day(activity_log(spark, sf_dir))
+    return feat.songs_per_day(facts_of(spark, sf_dir))
 
 
 def q_events_per_day(spark, sf_dir):
-    return feat.events_per_day(activity_log(spark, sf_dir))
+    return feat.events_per_day(facts_of(spark, sf_dir))
 
 
 def q_avg_songs(spark, sf_dir):
-    return feat.avg_songs(activity_log(spark, sf_dir))
+    return feat.avg_songs(facts_of(spark, sf_dir))
 
 
 def q_avg_events(spark, sf_dir):
-    return feat.avg_events(activity_log(spark, sf_dir))
+    return feat.avg_events(facts_of(spark, sf_dir))
 
 
 def q_thumbs_up(spark, sf_dir):
-    return feat.thumbs_up(activity_log(spark, sf_dir))
+    return feat.thumbs_up(facts_of(spark, sf_dir))
 
 
 def q_thumbs_down(spark, sf_dir):
-    return feat.thumbs_down(activity_log(spark, sf_dir))
+    return feat.thumbs_down(facts_of(spark, sf_dir))
 
 
 def q_add_friend(spark, sf_dir):
-    return feat.add_friend(activity_log(spark, sf_dir))
+    return feat.add_friend(facts_of(spark, sf_dir))
 
 
 def q_days_active(spark, sf_dir):
-    return feat.user_first_last(activity_log(spark, sf_dir)).select("userId", "days_active")
+    return feat.user_first_last(facts_of(spark, sf_dir)).select("userId", "days_active")
+
+
+def _last_profile(spark, sf_dir):
+    facts, users = activity_parts(spark, sf_dir)
+    return feat.last_profile(facts, users=users)
 
 
 def q_last_level(spark, sf_dir):
-    return feat.last_profile(activity_log(spark, sf_dir)).select("userId", "last_level")
+    return _last_profile(spark, sf_dir).select("userId", "last_level")
 
 
 def q_last_state(spark, sf_dir):
-    return feat.last_profile(activity_log(spark, sf_dir)).select("userId", "last_state")
+    return _last_profile(spark, sf_dir).select("userId", "last_state")
 
 
 # -- joins ----------------------------------------------------------------------
 
+def _base_and_days(spark, sf_dir):
+    """(one row per user, one row per user and day): the log is scanned once for both."""
+    facts, users = activity_parts(spark, sf_dir)
+    daily = materialize(feat.daily_activity(facts, with_profile=False))
+    return feat.user_base(daily, users=users), daily
+
+
 def q_join_songs_inner(spark, sf_dir):
-    log = activity_log(spark, sf_dir)
-    return feat.join_songs_inner(feat.user_base(log), log)
+    return feat.join_songs_inner(*_base_and_days(spark, sf_dir))
 
 
 def q_join_events_inner(spark, sf_dir):
-    log = activity_log(spark, sf_dir)
-    return feat.join_events_inner(feat.user_base(log), log)
+    return feat.join_events_inner(*_base_and_days(spark, sf_dir))
 
 
 def q_join_counts_left(spark, sf_dir):
-    log = activity_log(spark, sf_dir)
-    return feat.join_counts_left(feat.user_base(log), log)
+    return feat.join_counts_left(*_base_and_days(spark, sf_dir))
 
 
 # -- categories -------------------------------------------------------------------
@@ -280,6 +319,12 @@ def q_string_index(spark, sf_dir):
     return model.transform(data).select("userId", *encode.INDEX_OUT)
 
 
+def q_string_index_strict(spark, sf_dir):
+    """The policy that fails on an unseen value, on input that has none (fitted on all users)."""
+    data = labelled_of(spark, sf_dir)
+    return encode.indexer("error").fit(data).transform(data).select("userId", *encode.INDEX_OUT)
+
+
 def q_one_hot(spark, sf_dir):
     data = labelled_of(spark, sf_dir)
     prep = encode.fit_preprocess(train.train_split(data), refined=False)
@@ -352,16 +397,36 @@ def q_model_compare(spark, sf_dir):
     return train.compare(labelled_of(spark, sf_dir))
 
 
+_SEARCHES: dict[tuple, tuple[str, str]] = {}
+
+
+def _search(data: DataFrame):
+    """(best model, results) of the full grid; one search per application and content of the labelled table.
+
+    The key holds a hash over all rows, so changed data is searched anew.
+    """
+    spark = data.sparkSession
+    content = data.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*data.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, *content)
+    if key not in _SEARCHES:
+        best, results = train.cv_tune(data)
+        model_path, results_path = scratch_path(spark, "cv-model"), scratch_path(spark, "cv-results")
+        score.save_model(best, model_path)
+        results.write.parquet(results_path)
+        _SEARCHES[key] = model_path, results_path
+    model_path, results_path = _SEARCHES[key]
+    return score.load_model(model_path), spark.read.parquet(results_path)
+
+
 def q_cv_results(spark, sf_dir):
-    _, results = train.cv_tune(labelled_of(spark, sf_dir))
-    return results
+    """Mean F1 over the folds for each of the 54 combinations."""
+    return _search(labelled_of(spark, sf_dir))[1]
 
 
 def q_tuned_eval(spark, sf_dir):
     """Best cross-validated model scored on train, test and valid: F1 per split."""
     data = labelled_of(spark, sf_dir)
-    model, _ = train.cv_tune(data)
-    return evaluate.weighted_f1(model.bestModel.transform(data), keys=("split",))
+    return evaluate.weighted_f1(_search(data)[0].transform(data), keys=("split",))
 
 
 def q_rf_tuned_score(spark, sf_dir):
@@ -369,14 +434,44 @@ def q_rf_tuned_score(spark, sf_dir):
     return _scored(train.fit_tuned_forest(data), data)
 
 
+def q_nb_f1(spark, sf_dir):
+    """Weighted F1 of naive Bayes per split."""
+    data = labelled_of(spark, sf_dir)
+    return evaluate.weighted_f1(train.fit_model(data, "Naive Bayes", refined=True).transform(data), keys=("split",))
+
+
 def q_model_save_load(spark, sf_dir):
-    """Fitted pipeline saved to the shared folder, loaded back and applied."""
+    """Fitted naive Bayes pipeline saved to the shared folder, loaded back and applied."""
     data = labelled_of(spark, sf_dir)
     path = scratch_path(spark, "model")
-    score.save_model(score.fit_scoring_model(data), path)
+    score.save_model(train.fit_model(data, "Naive Bayes", refined=True), path)
     return _scored(score.load_model(path), data)
 
 
+def _saved_bayes(spark, data):
+    path = scratch_path(spark, "model")
+    score.save_model(score.fit_scoring_model(data, "Naive Bayes"), path)
+    return score.load_model(path)
+
+
+def _answers(scored):
+    return scored.select("userId", F.round(F.col("probability")[1], 9).alias("p_churn"), "prediction", "decision")
+
+
+def q_batch_score_nb(spark, sf_dir):
+    """Every user scored as a request by the saved naive Bayes pipeline, with the churn probability."""
+    data = labelled_of(spark, sf_dir)
+    return _answers(score.batch_score(_saved_bayes(spark, data), data))
+
+
+def q_request_score(spark, sf_dir):
+    """Form requests: the values of the first HEAD_N users, typed in by hand, scored by the saved pipeline."""
+    data = labelled_of(spark, sf_dir)
+    first = profile.head(data, HEAD_N, ["userId"]).select(*[c for c in FEATURE_COLUMNS if c != "churn"]).collect()
+    forms = [{**r.asDict(), "last_level": r.last_level.capitalize()} for r in first]
+    return _answers(score.batch_score(_saved_bayes(spark, data), io.request_frame(spark, forms)))
+
+
 def q_batch_score(spark, sf_dir):
     """Every user of the feature table scored as a request by the saved pipeline."""
     data = labelled_of(spark, sf_dir)

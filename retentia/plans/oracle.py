@@ -2,7 +2,7 @@
 
 Each string runs on DuckDB with the driver tables registered as views.  They
 restate the semantics independently: the feature table here is assembled the
-way the original notebook does it (per-feature branches joined on the user),
+way the original does it (per-feature branches joined on the user),
 not as the two-stage aggregate the Spark plan uses.
 """
 
@@ -18,11 +18,12 @@ activity AS (
          ELSE CAST(e.user_id AS VARCHAR) END AS userId,
     CASE WHEN e.event_type = 'error' THEN
               CASE WHEN e.value > 200 THEN 'Cancellation Confirmation' ELSE 'Error' END
-         WHEN e.event_type = 'click' THEN 'NextSong'
-         WHEN e.event_type = 'view' THEN 'Thumbs Up'
-         WHEN e.event_type = 'purchase' THEN 'Thumbs Down'
-         WHEN e.event_type = 'signup' THEN 'Add Friend' END AS page,
-    CAST(epoch_us(e.ts) // 1000 AS BIGINT) AS ts,
+         WHEN e.event_type = 'click' THEN CASE WHEN e.user_id % 23 = 0 THEN 'Help' ELSE 'NextSong' END
+         WHEN e.event_type = 'view' THEN CASE WHEN e.user_id % 13 = 0 THEN 'Help' ELSE 'Thumbs Up' END
+         WHEN e.event_type = 'purchase' THEN CASE WHEN e.user_id % 17 = 0 THEN 'Help' ELSE 'Thumbs Down' END
+         WHEN e.event_type = 'signup' THEN CASE WHEN e.user_id % 11 = 0 THEN 'Help' ELSE 'Add Friend' END END AS page,
+    CASE WHEN e.user_id % 7 = 0 THEN CAST(epoch_us(e.ts) // 86400000000 AS BIGINT) * 86400000
+         ELSE CAST(epoch_us(e.ts) // 1000 AS BIGINT) END AS ts,
     CASE WHEN e.value >= 35 THEN 'paid' ELSE 'free' END AS level,
     CASE WHEN c.c_custkey % 2 = 0 THEN 'F' WHEN c.c_custkey % 2 = 1 THEN 'M' END AS gender,
     'Metro-' || n.n_name || ', ' || CASE WHEN n.n_nationkey % 5 = 0 THEN 'ZZ-' ELSE '' END
@@ -60,7 +61,7 @@ clean AS (
   FROM activity WHERE userId <> ''
 )"""
 
-# Feature-table branches, one per feature, as in the notebook.
+# Feature-table branches, one per feature, as in the original.
 BRANCHES = f"""
 users AS (
   SELECT userId, max(flag) AS churn, min(ts) AS first_ts, max(ts) AS last_ts,
@@ -282,6 +283,10 @@ def encoding_sql() -> dict[str, str]:
         "enc AS (SELECT l.*, ig.idx AS gi, il.idx AS li, ist.idx AS si FROM lab l "
         "JOIN ig ON l.gender = ig.val JOIN il ON l.last_level = il.val JOIN ist ON l.last_state = ist.val)")
     q["string_index"] = f"{idx}\nSELECT userId, gi AS genderIndex, li AS levelIndex, si AS stateIndex FROM enc"
+    strict = f"{lab},\n{_index_ctes('lab')}"
+    q["string_index_strict"] = (
+        f"{strict}\nSELECT l.userId, ig.idx AS genderIndex, il.idx AS levelIndex, ist.idx AS stateIndex FROM lab l "
+        f"JOIN ig ON l.gender = ig.val JOIN il ON l.last_level = il.val JOIN ist ON l.last_state = ist.val")
     q["one_hot"] = (f"{idx}\nSELECT userId, 'genderVec' AS vector, CAST(gi AS INTEGER) AS i, "
                     f"CAST(1.0 AS DOUBLE) AS v FROM enc\n"
                     f"UNION ALL SELECT userId, 'levelVec', CAST(li AS INTEGER), CAST(1.0 AS DOUBLE) FROM enc\n"
@@ -302,26 +307,52 @@ def encoding_sql() -> dict[str, str]:
     # split: log prior ln(n_c + 1) - ln(N + classes), log likelihood ln(tf_cj + 1) - ln(tf_c + F),
     # prediction = class with the greater score (ties -> 0), margin = score_1 - score_0.  Labels are 0/1.
     nfeat = "((SELECT count(*) FROM rig) + (SELECT count(*) FROM ril) + (SELECT count(*) FROM rist) + 6)"
-    q["nb_score"] = (
-        f"{refined},\n"
-        f"x AS (SELECT userId, i, v / sum(abs(v)) OVER (PARTITION BY userId) AS v FROM e),\n"
-        f"trx AS (SELECT CAST(m.churn AS DOUBLE) AS label, x.i, x.v FROM x JOIN enc2 m ON x.userId = m.userId "
-        f"WHERE m.bucket < 6),\n"
-        f"cls AS (SELECT CAST(churn AS DOUBLE) AS label, count(*) AS n FROM enc2 WHERE bucket < 6 GROUP BY 1),\n"
-        f"pri AS (SELECT label, ln(n + 1.0) - ln((SELECT sum(n) FROM cls) + (SELECT count(*) FROM cls)) AS p "
-        f"FROM cls),\n"
-        f"tf AS (SELECT label, i, sum(v) AS s FROM trx GROUP BY label, i),\n"
-        f"tot AS (SELECT label, ln(sum(s) + {nfeat}) AS d FROM tf GROUP BY label),\n"
-        f"raw AS (SELECT x.userId,\n"
-        f"  (SELECT p FROM pri WHERE label = 0.0) + sum(x.v * (ln(coalesce(t0.s, 0) + 1.0) "
-        f"- (SELECT d FROM tot WHERE label = 0.0))) AS r0,\n"
-        f"  (SELECT p FROM pri WHERE label = 1.0) + sum(x.v * (ln(coalesce(t1.s, 0) + 1.0) "
-        f"- (SELECT d FROM tot WHERE label = 1.0))) AS r1\n"
-        f"  FROM x LEFT JOIN tf t0 ON t0.label = 0.0 AND t0.i = x.i LEFT JOIN tf t1 ON t1.label = 1.0 AND t1.i = x.i\n"
-        f"  GROUP BY x.userId)\n"
-        f"SELECT m.userId, CASE WHEN m.bucket < 6 THEN 'train' WHEN m.bucket < 8 THEN 'test' ELSE 'valid' END AS split, "
-        f"CAST(m.churn AS DOUBLE) AS label, CASE WHEN r.r1 > r.r0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END "
-        f"AS prediction, round(r.r1 - r.r0, 6) AS margin FROM enc2 m JOIN raw r ON m.userId = r.userId")
+    def bayes(enc: str, entries: str) -> str:
+        """CTEs up to raw (userId, r0, r1): log scores of the rows of ``enc``, fitted on the train rows of enc2."""
+        return (
+            f"x AS (SELECT userId, i, v / sum(abs(v)) OVER (PARTITION BY userId) AS v FROM {entries}),\n"
+            f"trx AS (SELECT CAST(m.churn AS DOUBLE) AS label, x.i, x.v FROM x JOIN enc2 m ON x.userId = m.userId "
+            f"WHERE m.bucket < 6),\n"
+            f"cls AS (SELECT CAST(churn AS DOUBLE) AS label, count(*) AS n FROM enc2 WHERE bucket < 6 GROUP BY 1),\n"
+            f"pri AS (SELECT label, ln(n + 1.0) - ln((SELECT sum(n) FROM cls) + (SELECT count(*) FROM cls)) AS p "
+            f"FROM cls),\n"
+            f"tf AS (SELECT label, i, sum(v) AS s FROM trx GROUP BY label, i),\n"
+            f"tot AS (SELECT label, ln(sum(s) + {nfeat}) AS d FROM tf GROUP BY label),\n"
+            f"raw AS (SELECT x.userId,\n"
+            f"  (SELECT p FROM pri WHERE label = 0.0) + sum(x.v * (ln(coalesce(t0.s, 0) + 1.0) "
+            f"- (SELECT d FROM tot WHERE label = 0.0))) AS r0,\n"
+            f"  (SELECT p FROM pri WHERE label = 1.0) + sum(x.v * (ln(coalesce(t1.s, 0) + 1.0) "
+            f"- (SELECT d FROM tot WHERE label = 1.0))) AS r1\n"
+            f"  FROM x LEFT JOIN tf t0 ON t0.label = 0.0 AND t0.i = x.i LEFT JOIN tf t1 ON t1.label = 1.0 AND t1.i = x.i\n"
+            f"  GROUP BY x.userId)")
+
+    one, zero = "CAST(1.0 AS DOUBLE)", "CAST(0.0 AS DOUBLE)"
+    nb = (f"{refined},\n{bayes('enc2', 'e')},\nnb AS (SELECT m.userId, CASE WHEN m.bucket < 6 THEN 'train' "
+          f"WHEN m.bucket < 8 THEN 'test' ELSE 'valid' END AS split, CAST(m.churn AS DOUBLE) AS label, "
+          f"CASE WHEN r.r1 > r.r0 THEN {one} ELSE {zero} END AS prediction, round(r.r1 - r.r0, 6) AS margin "
+          f"FROM enc2 m JOIN raw r ON m.userId = r.userId)")
+    q["nb_score"] = f"{nb}\nSELECT userId, split, label, prediction, margin FROM nb"
+    q["model_save_load"] = f"{nb}\nSELECT userId, split, label, prediction FROM nb"
+    q["nb_f1"] = (
+        f"{nb},\ncm AS (SELECT split, label, prediction, count(*) AS n FROM nb GROUP BY 1, 2, 3),\n"
+        f"sup AS (SELECT split, label, sum(n) AS support FROM cm GROUP BY 1, 2),\n"
+        f"prd AS (SELECT split, prediction AS label, sum(n) AS predicted FROM cm GROUP BY 1, 2),\n"
+        f"tp AS (SELECT split, label, n AS tp FROM cm WHERE label = prediction),\n"
+        f"m AS (SELECT s.split, s.support, CASE WHEN coalesce(p.predicted, 0) > 0 THEN coalesce(t.tp, 0) / p.predicted "
+        f"ELSE 0.0 END AS pr, coalesce(t.tp, 0) / s.support AS rc FROM sup s "
+        f"LEFT JOIN tp t ON s.split = t.split AND s.label = t.label "
+        f"LEFT JOIN prd p ON s.split = p.split AND s.label = p.label)\n"
+        f"SELECT split, round(sum(support * CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END) "
+        f"/ sum(support), 9) AS weighted_f1 FROM m GROUP BY split")
+    # Scoring keeps users with a category that training has not seen: no entry for it.
+    kept = (f"{refined},\nenc3 AS (SELECT l.*, ig.idx AS gi, il.idx AS li, ist.idx AS si FROM lab2 l "
+            f"LEFT JOIN rig ig ON l.gender = ig.val LEFT JOIN ril il ON l.last_level = il.val "
+            f"LEFT JOIN rist ist ON l.last_state = ist.val),\n"
+            f"e3 AS (SELECT * FROM ({_entries('enc3', 'r')}) t WHERE i IS NOT NULL),\n{bayes('enc3', 'e3')}")
+    answer = (f"SELECT userId, round(1 / (1 + exp(r0 - r1)), 9) AS p_churn, CASE WHEN r1 > r0 THEN {one} ELSE {zero} END "
+              f"AS prediction, CASE WHEN r1 > r0 THEN 'churn' ELSE 'stay' END AS decision FROM raw")
+    q["batch_score_nb"] = f"{kept}\n{answer}"
+    q["request_score"] = f"{kept}\n{answer} ORDER BY userId LIMIT 20"
     pred = (f"{FEATURE_CTES},\npred AS (SELECT CAST(churn AS DOUBLE) AS label, CASE WHEN thumbs_down > thumbs_up "
             f"THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS prediction FROM features),\n"
             f"cm AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction)")

@@ -8,6 +8,7 @@ which is the case in unit tests only.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,9 +51,11 @@ def build_session(master: str | None = "local[8]", shuffle_partitions: int | Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint root; set a local one only if none is set."""
+    """Return the shared checkpoint root; a local one is set only if none is set and the master is local."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="retentia-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,7 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused directory below the shared checkpoint root."""
-    return f"{ensure_checkpoint_dir(spark)}/retentia-scratch/{name}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    return f"{ensure_checkpoint_dir(spark)}/retentia-scratch/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, eager: bool = True):

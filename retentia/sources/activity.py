@@ -36,35 +36,17 @@ BLANK_USER_DIVISOR = 97
 NULL_USER_DIVISOR = 101
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+# Users (by id) who never use a page: their rows of that page become NO_PAGE, so
+# some users have no song, no thumbs or no friends at all.
+NO_PAGE = "Help"
+PAGE_SKIPPED_BY = {"NextSong": 23, "Thumbs Up": 13, "Thumbs Down": 17, "Add Friend": 11}
+# Users whose clock has whole days only: their rows of a day share one ts (ties at the last ts).
+DAY_CLOCK_DIVISOR = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a DataFrame; the relation (file index, schema) is opened once per session."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _TABLES[key] = spark.read.parquet(path)
-    return df
-
-
-def _per_session(fn):
-    """Reuse the adapter's DataFrames (plans, not data) per session and directory."""
-    memo: dict[tuple[int, str], object] = {}
-
-    def wrapper(spark: SparkSession, sf_dir: str):
-        key = (id(spark), sf_dir.rstrip("/"))
-        hit = memo.get(key)
-        first = hit[0] if isinstance(hit, tuple) else hit
-        if hit is None or first.sparkSession is not spark:
-            hit = memo[key] = fn(spark, sf_dir)
-        return hit
-
-    wrapper.__doc__ = fn.__doc__
-    wrapper.__name__ = fn.__name__
-    wrapper.__wrapped__ = fn  # uncached builder (e.g. to re-analyse under another session time zone)
-    return wrapper
+    """A driver table as a DataFrame; the files are listed anew on every call."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _page() -> F.Column:
@@ -72,10 +54,17 @@ def _page() -> F.Column:
     expr = F.when(et == "error", F.when(F.col("value") > CANCEL_VALUE, F.lit("Cancellation Confirmation"))
                   .otherwise(F.lit("Error")))
     for src, page in PAGE_OF_EVENT:
-        expr = expr.when(et == src, F.lit(page))
+        skipped = F.col("user_id") % PAGE_SKIPPED_BY[page] == 0
+        expr = expr.when(et == src, F.when(skipped, F.lit(NO_PAGE)).otherwise(F.lit(page)))
     return expr
 
 
+def _ts() -> F.Column:
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").cast("bigint")
+    day = F.col("user_id") % DAY_CLOCK_DIVISOR == 0
+    return F.when(day, ms - F.pmod(ms, F.lit(86_400_000))).otherwise(ms)
+
+
 def _user_id() -> F.Column:
     eid = F.col("event_id")
     return (F.when(eid % BLANK_USER_DIVISOR == 0, F.lit(""))
@@ -83,20 +72,17 @@ def _user_id() -> F.Column:
             .otherwise(F.col("user_id").cast("string")))
 
 
-@_per_session
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, userId, page, ts, level): one row per event."""
-    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return table(spark, sf_dir, "events").select(
         F.col("user_id"),
         _user_id().alias("userId"),
         _page().alias("page"),
-        ms.cast("bigint").alias("ts"),
+        _ts().alias("ts"),
         F.when(F.col("value") >= PAID_VALUE, F.lit("paid")).otherwise(F.lit("free")).alias("level"),
     )
 
 
-@_per_session
 def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, gender, location) per customer."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -112,16 +98,17 @@ def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", gender.alias("gender"), location.alias("location")))
 
 
-@_per_session
-def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole row-level event log with the EVENT schema."""
-    facts = event_facts(spark, sf_dir)
-    users = user_profile(spark, sf_dir)
+def with_users(facts: DataFrame, users: DataFrame) -> DataFrame:
+    """Fact rows with their profile columns, in the EVENT schema."""
     return (facts.join(users, facts.user_id == users.c_custkey, "left")
             .select("userId", "page", "ts", "level", "gender", "location"))
 
 
-@_per_session
+def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole row-level event log with the EVENT schema."""
+    return with_users(event_facts(spark, sf_dir), user_profile(spark, sf_dir))
+
+
 def activity_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(facts, users): facts (userId, page, ts, level); users (userId, gender, location)."""
     facts = event_facts(spark, sf_dir).select("userId", "page", "ts", "level")

@@ -41,6 +41,18 @@ def test_collapse_stage_matches_join_and_persists(spark, tmp_path):
     assert a == b
 
 
+def test_collapse_stage_matches_join_on_odd_strings(spark):
+    odd = ["a\\b", "it's", "x\\'y", "tab\t", "q\"q", "`t`", "\\", "%_"]
+    df = spark.createDataFrame([(s, i) for i, s in enumerate(odd) for _ in range(i + 2)], "`last``state` string, n int")
+    top = category.top_categories(df.withColumnRenamed("last`state", "s"), "s", 10, 1).withColumnRenamed("s", "last`state")
+    want = rows_of(category.collapse_rare(df.withColumnRenamed("last`state", "s"),
+                                          "s", top.withColumnRenamed("last`state", "s"), other="o\\'"))
+    stage = category.collapse_stage(df.withColumnRenamed("last`state", "s"), "s", other="o\\'")
+    assert rows_of(stage.transform(df.withColumnRenamed("last`state", "s")), ["s", "n"]) == sorted(
+        want, key=lambda t: tuple((1, str(x)) for x in t))
+    assert ("a\\b", 0) in want
+
+
 def test_json_events_with_declared_schema(spark, unit_log):
     p = scratch_path(spark, "t-json")
     io.write_events(unit_log, p, fmt="json")

@@ -58,7 +58,8 @@ def test_dimension_form_equals_row_form(spark):
     a = rows_of(feat.feature_table(facts, users=users))
     b = rows_of(feat.feature_table(activity_log(spark, SF_SMALL)))
     c = rows_of(feat.feature_table_joinform(activity_log(spark, SF_SMALL)))
-    assert a == b == c and len(a) > 0
+    d = rows_of(feat.feature_table_joinform(facts, users=users))
+    assert a == b == c == d and len(a) > 0
 
 
 def test_invariant_to_row_order_and_partitioning(spark):

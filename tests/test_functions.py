@@ -57,7 +57,7 @@ def test_activity_ts_is_zone_independent(spark):
     try:
         for zone in ("UTC", "America/Los_Angeles"):
             spark.conf.set("spark.sql.session.timeZone", zone)
-            fresh = event_facts.__wrapped__(spark, "/root/testdata/sf0.001")  # analysed under this zone
+            fresh = event_facts(spark, "/root/testdata/sf0.001")  # analysed under this zone
             sums.append(fresh.agg(F.sum("ts")).first()[0])
         lit = spark.sql("select timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
                         "TIMESTAMP_NTZ'2024-07-01 12:00:00.123456') a").first()["a"]

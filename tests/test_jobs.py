@@ -25,3 +25,23 @@ def test_feature_model_score_jobs(spark):
     assert scored.count() == ft.count()
     assert set(scored.columns) == {"userId", "probability", "prediction", "decision"}
     assert ft.columns == FEATURE_COLUMNS
+
+
+def test_score_command_reads_csv_with_header(spark, monkeypatch):
+    """A headered CSV of requests is scored from the command line; an existing output needs a mode."""
+    import pytest
+
+    from retentia.operators import score
+    from retentia.plans.catalog import labelled_of
+    data = labelled_of(spark, SF_MID)
+    model, requests, out = (scratch_path(spark, f"t-cli-{x}") for x in ("model", "requests", "out"))
+    score.save_model(score.fit_scoring_model(data, "Naive Bayes"), model)
+    io.write_features(data, requests, header=True)
+    monkeypatch.setattr(jobs, "build_session", lambda **_: spark)
+    args = ["score", "--model", model, "--requests", requests, "--out", out, "--requests-format", "csv", "--header"]
+    jobs.main(args)
+    assert spark.read.parquet(out).count() == data.count()
+    with pytest.raises(Exception):
+        jobs.main(args)
+    jobs.main([*args, "--mode", "overwrite"])
+    assert spark.read.parquet(out).count() == data.count()

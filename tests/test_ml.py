@@ -96,9 +96,42 @@ def test_compare_table_shape(data):
 
 def test_cv_small_grid(data):
     grid = {"numTrees": [5], "maxDepth": [2, 3], "impurity": ["gini"], "featureSubsetStrategy": ["sqrt"]}
-    model, results = train.cv_tune(data, grid=grid, parallelism=2)
-    assert results.count() == 2
-    assert len(model.avgMetrics) == 2
+    best, results = train.cv_tune(data, grid=grid, parallelism=2)
+    rows = results.collect()
+    assert len(rows) == 2 and all(0.0 <= r.f1 <= 1.0 for r in rows)
+    top = max(rows, key=lambda r: r.f1)
+    assert best.stages[-1].getOrDefault("maxDepth") == top.maxDepth
+    assert best.transform(data).count() > 0
+
+
+def test_full_grid_is_the_default():
+    combos = train.param_grid()
+    assert len(combos) == 54 and len({tuple(sorted(p.items())) for p in combos}) == 54
+    # strategies that name the same number of features give one fit
+    assert len({train._same_fit(p, 21) for p in combos}) == 18
+    assert len({train._same_fit(p, 100) for p in combos}) == 36
+
+
+def test_strategies_of_one_fit_give_one_model(data):
+    tr = train.train_split(data)
+    prep = train._raw_preprocess(tr)
+    enc = prep.transform(tr).cache()
+    n = len(enc.first()["rawFeatures"])
+    params = {"numTrees": 5, "maxDepth": 3, "impurity": "gini"}
+    a, b = {**params, "featureSubsetStrategy": "auto"}, {**params, "featureSubsetStrategy": "sqrt"}
+    assert train._same_fit(a, n) == train._same_fit(b, n)
+    assert train._forest(a).fit(enc).toDebugString.split("\n")[1:] == train._forest(b).fit(enc).toDebugString.split("\n")[1:]
+
+
+def test_cv_scores_equal_a_plain_fold_loop(data):
+    grid = {"numTrees": [5], "maxDepth": [3], "impurity": ["gini"], "featureSubsetStrategy": ["sqrt"]}
+    _, results = train.cv_tune(data, grid=grid)
+    tr, f1 = train.train_split(data), []
+    for fold in range(train.FOLDS):
+        model = train.fit_tuned_forest(tr.where(F.col("fold") != fold), train.param_grid(grid)[0])
+        held = model.transform(tr.where(F.col("fold") == fold))
+        f1.append(MulticlassClassificationEvaluator(metricName="f1").evaluate(held))
+    assert abs(results.first().f1 - sum(f1) / len(f1)) < 1e-8
 
 
 def test_index_policies_skip_keep_error(spark, data):
@@ -123,4 +156,23 @@ def test_scoring_keeps_rows_with_null_numbers(spark, data):
     model = score.fit_scoring_model(data)
     bad = data.limit(2).withColumn("avg_songs", F.lit(None).cast("double"))
     out = score.batch_score(model, bad).collect()
-    assert len(out) == 2 and all(r.decision in ("churn", "stay") for r in out)
+    assert len(out) == 2
+    assert all(r.probability is None and r.prediction is None and r.decision is None for r in out)
+    nan = data.limit(2).withColumn("avg_songs", F.lit(float("nan")))
+    assert all(r.decision is None for r in score.batch_score(model, nan).collect())
+
+
+def test_train_and_serve_vectors_have_one_size(data):
+    size = lambda m, df: {r.n for r in m.transform(df).select(
+        F.size(vector_to_array("features")).alias("n")).collect()}
+    serve = score.fit_scoring_model(data)
+    assert size(train.fit_model(data, "Random Forest", refined=True), data) == size(serve, data)
+    unseen = data.limit(1).withColumn("gender", F.lit("X"))
+    entries = serve.transform(unseen).select(vector_to_array("genderVec").alias("v")).first().v
+    assert len(entries) == data.select("gender").distinct().count() and not any(entries)
+
+
+def test_top_list_on_all_rows_reaches_the_learners(data):
+    on_all = train.fit_model(data, "Naive Bayes", refined=True, collapse_on=data)
+    assert on_all.stages[0].getStatement() == encode.fit_preprocess(
+        train.train_split(data), refined=True, collapse_on=data).stages[0].getStatement()

@@ -74,23 +74,21 @@ def test_user_extremes(unit_log):
     assert r["1"].days_active == 3 and r["2"].days_active == 0
 
 
-def test_salted_label_spread_equals_plain_join(spark):
+def _with_hot_user(spark):
     from retentia.sources.activity import activity_log
     log = activity_log(spark, "/root/testdata/sf0.001")
     hot = log.where("userId <> ''").withColumn("userId", F.lit("777"))
-    skewed = log.unionByName(hot).unionByName(hot)
-    plain = rows_of(label.churn_label_rows(skewed, hot_rows=10**12))
-    salted_df = label.churn_label_rows(skewed, salts=8, hot_rows=100)
-    assert rows_of(salted_df) == plain
-    plan = salted_df._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    return log.unionByName(hot).unionByName(hot)
+
+
+def test_salted_label_spread_equals_plain_join(spark):
+    skewed = _with_hot_user(spark)
+    plain = rows.drop_blank_users(skewed).join(label.churn_users(skewed), "userId")
+    assert rows_of(label.churn_label_rows(skewed)) == rows_of(plain)
 
 
 def test_salted_label_spread_spreads_hot_user(spark):
-    from retentia.sources.activity import activity_log
-    log = activity_log(spark, "/root/testdata/sf0.001")
-    hot = log.where("userId <> ''").withColumn("userId", F.lit("777"))
-    out = label.churn_label_rows(log.unionByName(hot), salts=8, hot_rows=100)
+    out = label.churn_label_rows(_with_hot_user(spark))
     # As at scale: per-user side too big to broadcast, no coalescing of tiny partitions.
     conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     old = {k: spark.conf.get(k) for k in conf}
@@ -102,3 +100,9 @@ def test_salted_label_spread_spreads_hot_user(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert parts > 1
+
+
+def test_salt_needs_only_the_spread_columns(spark):
+    out = label.churn_label_rows(_with_hot_user(spark)).select("userId", "page", "ts", "churn")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "location" not in plan and "gender" not in plan
