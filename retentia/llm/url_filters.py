@@ -3,8 +3,8 @@
 Words of a host are often run together, so every run of letters in a host is
 split by a unigram model: the word counts come from the text of all pages (tags
 removed), from the parts of hosts and paths that are already apart, and from
-the seed words.  All substrings of the distinct runs are looked up in the
-counts by one join; the Viterbi path over the words found gives the split, and
+the seed words.  The distinct substrings of all runs are looked up in
+the counts by one join; the Viterbi path over the words found gives the split, and
 stretches that are no word cost a factor of ten per letter.
 
 The classifier is a multinomial naive Bayes over host words and path tokens
@@ -99,7 +99,8 @@ def segmented(runs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
         f"flatten(transform(sequence(1, char_length(run)), s -> transform(sequence(1, "
         f"least({LONGEST_WORD}, char_length(run) - s + 1)), n -> named_struct('start', s - 1, 'size', n, "
         "'word', substring(run, s, n)))))")).alias("s")).select("run", "s.*")
-    known = (salted_join(subs, counts, "word", ["run", "start"], "inner").groupBy("run")
+    found = subs.select("word").distinct().join(counts, "word")       # only words that occur go back to the runs
+    known = (salted_join(subs, found, "word", ["run", "start"], "inner").groupBy("run")
              .agg(F.collect_list(F.struct("start", "size", "n")).alias("found")))
     unknown = float(np.log(10 / max(total, 1)))
 
