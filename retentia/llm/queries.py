@@ -31,7 +31,7 @@ def op1_quality_classifier(spark, sf_dir):
 def op2_sentencepiece(spark, sf_dir):
     """Ids of every text, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    back = sentencepiece_codec.encode_and_decode(docs, PIECE_MODEL)
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
                        (F.col("decoded") == F.coalesce(F.replace("text", F.lit("\u2581"), F.lit(" ")), F.lit("")))
                        .alias("round_trip"))

@@ -34,7 +34,7 @@ from retentia.llm._columns import add_columns
 from retentia.llm._tokens import WordTokens
 
 LONG_UNIT = 256          # symbols from which a unit is relaxed with a heap
-BATCH_BYTES = 1 << 20    # bytes of distinct units indexed at once
+BATCH_BYTES = 1 << 18    # bytes of distinct units indexed at once
 _KEY = 16                # bytes the suffix array compares
 _NONE = np.int64(2**62)
 _SPACE = "▁"
@@ -270,32 +270,49 @@ def _plain(column):
     return pc.replace_substring(column, _SPACE, " ")
 
 
+def _encoded(text, path: str) -> tuple[np.ndarray, np.ndarray]:
+    _, words = _loaded(path)
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, _, data, offs in _text.chunks(_plain(text)):
+        i, n = words.ids(data, offs)
+        ids.append(i)
+        sizes.append(n)
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def _decoded(ids: np.ndarray, sizes: np.ndarray, path: str) -> list:
+    """[decoded texts, crc32 of the little-endian 32-bit ids] of some rows."""
+    codec, _ = _loaded(path)
+    data, offs = codec.decode(ids, sizes)
+    raw = memoryview(ids.astype("<u4").tobytes())
+    ends = (np.cumsum(sizes) * 4).tolist()
+    crc = [zlib.crc32(raw[b - 4 * n: b]) for b, n in zip(ends, sizes.tolist())]
+    text = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs.astype(np.int64)),
+                                                                pa.py_buffer(data)])
+    return [text.cast(pa.large_string()).cast(pa.string()), pa.array(crc, pa.int64())]
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """``documents`` plus ids array<int>."""
     def compute(text):
-        _, words = _loaded(path)
-        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for _, _, data, offs in _text.chunks(_plain(text)):
-            i, n = words.ids(data, offs)
-            ids.append(i)
-            sizes.append(n)
-        return [_text.int_lists(np.concatenate(ids), np.concatenate(sizes), pa.int32())]
+        return [_text.int_lists(*_encoded(text, path), pa.int32())]
 
     return add_columns(documents, ["text"], compute, "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` plus decoded string and ids_crc32 long (little-endian 32-bit ids); null ids decode to ''."""
+    """``encoded`` plus decoded string and ids_crc32 long; null ids decode to the empty text."""
     def compute(lists):
-        codec, _ = _loaded(path)
         sizes = np.diff(lists.offsets.to_numpy())
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        data, offs = codec.decode(ids, sizes)
-        raw = memoryview(ids.astype("<u4").tobytes())
-        ends = (np.cumsum(sizes) * 4).tolist()
-        crc = [zlib.crc32(raw[b - 4 * n: b]) for b, n in zip(ends, sizes.tolist())]
-        text = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs.astype(np.int64)),
-                                                                    pa.py_buffer(data)])
-        return [text.cast(pa.large_string()).cast(pa.string()), pa.array(crc, pa.int64())]
+        return _decoded(lists.flatten().to_numpy(zero_copy_only=False), sizes, path)
 
     return add_columns(encoded, ["ids"], compute, "decoded string, ids_crc32 long")
+
+
+def encode_and_decode(documents: DataFrame, path: str) -> DataFrame:
+    """``documents`` plus ids, decoded and ids_crc32, in one pass of one Python worker per task."""
+    def compute(text):
+        ids, sizes = _encoded(text, path)
+        return [_text.int_lists(ids, sizes, pa.int32()), *_decoded(ids, sizes, path)]
+
+    return add_columns(documents, ["text"], compute, "ids array<int>, decoded string, ids_crc32 long")

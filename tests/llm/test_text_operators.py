@@ -169,6 +169,8 @@ def test_sentencepiece_equals_library(spark, corpus, documents):
     want = sorted(((d[0], model.encode(d[1] or ""), (d[1] or "").replace("\u2581", " ")) for d in corpus), key=repr)
     assert by_id(back, "ids", "decoded") == want
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in back)
+    once = sentencepiece_codec.encode_and_decode(documents.drop("ids"), PIECES).collect()
+    assert by_id(once, "ids", "decoded", "ids_crc32") == by_id(back, "ids", "decoded", "ids_crc32")
 
 
 def test_long_units_use_the_heap():
