@@ -19,8 +19,10 @@
    what the smallest sizes need, or if all their sets are connected already.
    Pairs of sets that are left are compared exactly.
 4. A large block first meets itself tile by tile and against its first tile;
-   after that only sets outside the block's main component are still compared
-   with the others.  Links go back as edges of a spanning forest.
+   after that only sets outside the block's main component still meet the
+   others.  There the trees get the signatures alone, and only pairs that they
+   leave over, in different components, are looked up and compared.  Links go
+   back as edges of a spanning forest.
 
 Defined results: texts without words (null, empty) have an empty set, link with
 nothing and are components of their own; texts with one to four words have one
@@ -46,7 +48,7 @@ WORDS = 5
 PERCENT = 75
 TILE = 128
 SLOT_BITS = 18
-BITS = 1024
+BITS = 4096
 LEAF, FANOUT = 8, 8
 
 
@@ -267,17 +269,20 @@ def blocks(sets: DataFrame, ranks, n_buckets: int) -> DataFrame:
     return components(edges, "blocks")
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: one of BITS bits per shingle."""
+    bits = np.zeros(BITS // 64, np.uint64)
+    b = np.unique(shingles >> np.uint64(64 - BITS.bit_length() + 1))
+    np.bitwise_or.at(bits, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+    return bits
+
+
 class SignatureTree:
-    """Levels of nodes over sets ordered by size: bitmap, least and largest size, most hidden tokens."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        n = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BITS // 64), np.uint64)
-        for i, s in enumerate(sets):
-            b = np.unique(s >> np.uint64(64 - 10))
-            np.bitwise_or.at(bits[i], (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-        slack = n - np.bitwise_count(bits).sum(1).astype(np.int64)    # tokens that share a bit with another
+    """Levels of nodes over sets ordered by size: bitmap, least and largest size, most hidden shingles."""
+
+    def __init__(self, sizes, bits: np.ndarray):
+        n = np.asarray(sizes, np.int64)
+        slack = n - np.bitwise_count(bits).sum(1).astype(np.int64)    # shingles that share a bit with another
         self.levels = [(bits, n, n, slack)]
         fan = LEAF
         while len(self.levels[-1][0]) > 1:
@@ -288,6 +293,10 @@ class SignatureTree:
             fan = FANOUT
         self.fans = [1, LEAF] + [FANOUT] * len(self.levels)
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> "SignatureTree":
+        return cls([len(s) for s in sets], np.stack([signature(s) for s in sets]))
+
     def children(self, level: int, node: int) -> np.ndarray:
         fan = self.fans[level]
         return np.arange(node * fan, min((node + 1) * fan, len(self.levels[level - 1][0])))
@@ -313,20 +322,14 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def tree_links(left: SignatureTree, right: SignatureTree | None) -> list[tuple[int, int]]:
-    """Spanning links: indices (i of left, j of right); right None: within left, i < j."""
+def tree_candidates(left: SignatureTree, right: SignatureTree | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets (of left, of right) that no node above them rules out; right None: within left, first < second.
+
+    Pairs of nodes are opened level by level, both at once in equal levels,
+    else the taller tree's.
+    """
     own = right is None
     right = left if own else right
-    base = 0 if own else len(left.sets)
-    parent = list(range(base + len(right.sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
     level = [len(left.levels) - 1, len(right.levels) - 1]
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
@@ -336,24 +339,37 @@ def tree_links(left: SignatureTree, right: SignatureTree | None) -> list[tuple[i
         a, b = a[keep], b[keep]
         if not len(a) or level == [0, 0]:
             break
-        # open the taller tree's nodes, or both
         go = [lv == max(level) for lv in level]
-        if own:
-            go = [True, True]
-        pa_, pb_ = [], []
+        firsts, seconds = [], []
         for i, j in zip(a.tolist(), b.tolist()):
             x = left.children(level[0], i) if go[0] else np.array([i])
             y = right.children(level[1], j) if go[1] else np.array([j])
-            pa_.append(np.repeat(x, len(y)))
-            pb_.append(np.tile(y, len(x)))
-        a, b = np.concatenate(pa_), np.concatenate(pb_)
+            firsts.append(np.repeat(x, len(y)))
+            seconds.append(np.tile(y, len(x)))
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
         level = [lv - g for lv, g in zip(level, go)]
     # neighbours in size first: copies join early and later pairs are skipped
-    order = np.argsort(np.abs(left.levels[0][1][a] - right.levels[0][1][b]), kind="stable") if len(a) else []
-    for p in order:
-        i, j = int(a[p]), int(b[p])
+    order = np.argsort(np.abs(left.levels[0][1][a] - right.levels[0][1][b]), kind="stable")
+    return a[order], b[order]
+
+
+def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Spanning links between sets ordered by size: (index in left, index in right); right None: within left."""
+    tree = SignatureTree.of(left)
+    a, b = tree_candidates(tree, None if right is None else SignatureTree.of(right))
+    base, others = (0, left) if right is None else (len(left), right)
+    parent = list(range(base + len(others)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
         ri, rj = root(i), root(base + j)
-        if ri != rj and similar(left.sets[i], right.sets[j]):
+        if ri != rj and similar(left[i], others[j]):
             parent[rj] = ri
             out.append((i, j))
     return out
@@ -367,10 +383,10 @@ def _links_task(pdf):
         sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
         cut = int((side == 0).sum())
         if part["tile_a"].iloc[0] == part["tile_b"].iloc[0]:
-            found = tree_links(SignatureTree(sets), None)
+            found = tree_links(sets, None)
             b_keys = keys
         elif 0 < cut < len(sets):
-            found = tree_links(SignatureTree(sets[:cut]), SignatureTree(sets[cut:]))
+            found = tree_links(sets[:cut], sets[cut:])
             b_keys = keys[cut:]
         else:
             continue
@@ -379,22 +395,81 @@ def _links_task(pdf):
     return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
 
-def _joined(tiled: DataFrame, partners: DataFrame, texts: DataFrame, n_groups: int) -> DataFrame:
-    """Links of the tile pairs: ``tiled`` (set_key, block, tile), ``partners`` (block, tile, other, side)."""
+def _pairs_task(pdf):
+    """Pairs of sets in different components that the signature trees of two tiles leave over."""
+    a, b = [], []
+    for _, part in pdf.groupby(["block", "tile_a", "tile_b"]):
+        part = part.sort_values(["side", "n_shingles", "set_key"])
+        keys, comp, side = (part[c].to_numpy() for c in ("set_key", "component", "side"))
+        bits = np.stack([np.frombuffer(x, np.uint64) for x in part["bits"]])
+        n, cut = part["n_shingles"].to_numpy(), int((side == 0).sum())
+        if part["tile_a"].iloc[0] == part["tile_b"].iloc[0]:
+            i, j = tree_candidates(SignatureTree(n, bits), None)
+        elif 0 < cut < len(n):
+            i, j = tree_candidates(SignatureTree(n[:cut], bits[:cut]), SignatureTree(n[cut:], bits[cut:]))
+            j = j + cut
+        else:
+            continue
+        apart = comp[i] != comp[j]
+        a.append(keys[i[apart]])
+        b.append(keys[j[apart]])
+    z = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(a or z), "b": np.concatenate(b or z)}).astype("int64")
+
+
+def _tile_pairs(tiled: DataFrame, partners: DataFrame, n_groups: int) -> DataFrame:
+    """Rows of ``tiled`` (set_key, block, tile, n_tiles, ..) for each pair of tiles in ``partners`` (block, tile, other, side).
+
+    Column task: blocks of one tile share groups, a pair of tiles of a large block is a group of its own.
+    """
     work = tiled.join(partners, ["block", "tile"]).withColumns({
         "tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})
-    work = work.join(texts, "set_key")
-    # blocks of one tile share groups, a pair of tiles of a large block is a group of its own
-    group = F.when(F.col("n_tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(n_groups))).otherwise(
-        F.xxhash64("block", "tile_a", "tile_b"))
-    return (work.withColumn("task", group)
-            .select("task", "block", "tile_a", "tile_b", "side", "set_key", "n_shingles", "shingles")
+    return work.withColumn("task", F.when(F.col("n_tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(n_groups))).otherwise(
+        F.xxhash64("block", "tile_a", "tile_b")))
+
+
+def _joined(tiled: DataFrame, partners: DataFrame, texts: DataFrame, n_groups: int) -> DataFrame:
+    """Spanning links within and between the tiles, compared exactly."""
+    work = _tile_pairs(tiled, partners, n_groups).join(texts, "set_key")
+    return (work.select("task", "block", "tile_a", "tile_b", "side", "set_key", "n_shingles", "shingles")
             .groupBy("task").applyInPandas(_links_task, "a long, b long"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)],
+                                             ["a", "b"])
+
+    first = texts.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
+    second = texts.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 FILTER_BITS = 24
 
 
+def _slot(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
+
+
+def _bitmap(rows: DataFrame, *columns: str) -> np.ndarray:
+    """2^FILTER_BITS bits; those of the rows' column values are set."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+    used = (rows.select(_slot(*columns).alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word"))
+            .agg(F.bit_or(bit).alias("bits")).toArrow())              # at most 2^FILTER_BITS / 64 rows
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bitmap[used["word"].to_numpy()] = used["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return bitmap
+
+
+def _in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_key, n_shingles, shingles) of the wanted sets (set_key, at_doc: a document that has it).
 
@@ -402,19 +477,11 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     leaves most other documents out before anything is shuffled; the join on
     the key decides.
     """
-    slot = F.pmod(F.xxhash64("at_doc"), F.lit(1 << FILTER_BITS))
-    used = (wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int")))
-                 .alias("bits")).toArrow())                          # at most 2^FILTER_BITS / 64 rows
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[used["word"].to_numpy()] = used["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted, "at_doc"))
 
     def run(batches):
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            hit = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            text = batch.column(0).take(pa.array(np.flatnonzero(hit)))
+            text = batch.column(0).filter(pa.array(_in_bitmap(shared.value, batch.column(1).to_numpy())))
             rows, s = shingle_sets(text)
             key, size = _set_keys(rows, s, len(text))
             first = np.cumsum(size) - size
@@ -424,7 +491,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                  pa.array([s[first[i]: first[i] + size[i]].tobytes() for i in full.tolist()], pa.binary())],
                 ["set_key", "n_shingles", "shingles"])
 
-    found = documents.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("slot")).mapInArrow(
+    found = documents.select("text", _slot("doc_id").alias("slot")).mapInArrow(
         run, "set_key long, n_shingles long, shingles binary")
     return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
@@ -454,7 +521,7 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
             .union(hub.select("block", F.col("t").alias("tile"), F.lit(0).alias("other"), F.lit(1).alias("side"))))
     first = stored(_joined(tiled, own.union(star), texts, 4 * n), "links")
     linked = components(first, "set-components").withColumnRenamed("vertex", "set_key")
-    large = tiled.where("n_tiles > 2").select("set_key", "block")
+    large = tiled.where("n_tiles > 2").select("set_key", "block")     # of two tiles all pairs have met
     if not large.isEmpty():
         linked = stored(linked, "linked")
         first = first.union(stored(_second_round(large, linked, texts, tile, n), "links-2"))
@@ -475,13 +542,24 @@ def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: i
     tiled = salted_join(member, main, "block", ["set_key"], "inner").withColumn(
         "tile", F.when(is_out, F.pmod("set_key", F.col("n_out"))).otherwise(
             F.pmod("set_key", F.col("n_in")) + F.col("n_out")).cast("int"))
-    tiled = tiled.select("set_key", "block", "tile", F.lit(2).alias("n_tiles"))
+    tiled = tiled.select("set_key", "block", "component", "tile", F.lit(2).alias("n_tiles"))
     pair = (main.select("block", "n_in", "n_out", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("x"))
             .select("block", "x", F.explode(F.sequence(F.col("x"), F.col("n_out") + F.col("n_in") - 1)).alias("y")))
     sides = (pair.select("block", F.col("x").alias("tile"), F.col("y").alias("other"), F.lit(0).alias("side"))
              .union(pair.where("x != y").select("block", F.col("y").alias("tile"), F.col("x").alias("other"),
                                                 F.lit(1).alias("side"))))
-    return _joined(tiled, sides, texts, 4 * n)
+    def run(batches):
+        for batch in batches:
+            bits = [signature(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())],
+                                             ["set_key", "n_shingles", "bits"])
+
+    signatures = texts.select("set_key", "n_shingles", "shingles").mapInArrow(
+        run, "set_key long, n_shingles long, bits binary")
+    work = _tile_pairs(tiled.join(signatures, "set_key"), sides, 4 * n)
+    pairs = (work.select("task", "block", "tile_a", "tile_b", "side", "set_key", "component", "n_shingles", "bits")
+             .groupBy("task").applyInPandas(_pairs_task, "a long, b long").distinct())
+    return _verified(pairs, texts)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -504,19 +582,35 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
     Repeated rows with that doc_id and set are one document: one of them stays.
     """
-    doc, chosen, key, row = fresh(documents.columns, "winner_doc", "winner_set", "set_key", "copy")
-    light = near_duplicates(documents)
-    winners = (light.where("set_key is not null and doc_id <=> component_id")
-               .groupBy("component").agg(F.min(F.struct("doc_id", "set_key")).alias("w"))
-               .select(F.col("w.doc_id").alias(doc), F.col("w.set_key").alias(chosen)))
+    doc, chosen, key, slot, row = fresh(documents.columns, "winner_doc", "winner_set", "set_key", "slot", "copy")
+    light = stored(near_duplicates(documents).where("set_key is not null")
+                   .groupBy("component", "component_id", "doc_id", "set_key").agg(F.count("*").alias("n")), "keep")
+    winners = (light.where("doc_id <=> component_id").groupBy("component")
+               .agg(F.min(F.struct("doc_id", "set_key")).alias("w")).select("w.doc_id", "w.set_key"))
+    winners = stored(winners, "winners")
+    losers = light.join(winners, light["doc_id"].eqNullSafe(winners["doc_id"]) & (light["set_key"] == winners["set_key"]),
+                        "left_anti")
+    # most documents are neither losers nor repeated rows: a bitmap lets those through where they are
+    suspects = losers.union(light.where("n > 1"))
+    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(suspects, "doc_id", "set_key"))
 
     def compute(text):
         keys, size = _set_keys(*shingle_sets(text), len(text))
         return [pa.array(keys, mask=size == 0)]
 
-    keyed = add_columns(documents, ["text"], compute, f"{key} long")
-    one = keyed.where(F.col(key).isNotNull()).join(
-        winners, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(chosen)))
+    keyed = add_columns(documents, ["text"], compute, f"{key} long").withColumn(slot, _slot("doc_id", key))
+
+    def suspected(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                keep = _in_bitmap(shared.value, batch.column(batch.schema.get_field_index(slot)).to_numpy())
+                empty = batch.column(batch.schema.get_field_index(key)).is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array((keep & ~empty) == wanted))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    won = winners.withColumnsRenamed({"doc_id": doc, "set_key": chosen})
+    one = suspected(True).join(won, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(chosen)))
     order = Window.partitionBy(doc, chosen).orderBy(*[F.col(c) for c, t in documents.dtypes if "map<" not in t])
     one = one.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
-    return one.select(*documents.columns).union(keyed.where(F.col(key).isNull()).select(*documents.columns))
+    return suspected(False).select(*documents.columns).union(one.select(*documents.columns))

@@ -132,11 +132,11 @@ def test_signature_tree_links_equal_brute_force():
     sets = sorted((s for s in sets if len(s)), key=len)
     frozen = [frozenset(s.tolist()) for s in sets]
     want = jaccard_links(frozen)
-    tree = ngram_jaccard.tree_links(ngram_jaccard.SignatureTree(sets), None)
+    tree = ngram_jaccard.tree_links(sets, None)
     assert set(map(frozenset, tree)) <= set(map(frozenset, want))
     assert roots(len(sets), tree) == roots(len(sets), want)
     half = len(sets) // 2
-    two = ngram_jaccard.tree_links(ngram_jaccard.SignatureTree(sets[:half]), ngram_jaccard.SignatureTree(sets[half:]))
+    two = ngram_jaccard.tree_links(sets[:half], sets[half:])
     across = [(i, j) for i, j in want if (i < half) != (j < half)]
     assert roots(len(sets), [(i, j + half) for i, j in two]) == roots(len(sets), across)
 
