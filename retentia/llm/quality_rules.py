@@ -39,6 +39,7 @@ ABOVE = 5.0
 BELOW = 20.0
 LEAST_SPREAD = 0.03
 SALTS = 16
+FEW_BANDS = 10_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -187,14 +188,24 @@ def bands(annotated: DataFrame, below: float = BELOW, above: float = ABOVE) -> D
 
 
 def judge(annotated: DataFrame, bands: DataFrame) -> DataFrame:
-    """``annotated`` plus kept; the join is salted, a language may hold any share of the rows."""
+    """``annotated`` plus kept.
+
+    The bands are sent to the tasks if they are ``FEW_BANDS`` at most; with more
+    languages both sides are shuffled, salted because a language may hold any
+    share of the rows.
+    """
     lang, low, high, salt, row_salt = fresh(annotated.columns, "band_lang", "low", "high", "salt", "row_salt")
-    many = (bands.withColumnsRenamed({"lang": lang, "low": low, "high": high})
-            .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    salted = annotated.drop("kept").withColumn(row_salt, F.pmod(F.xxhash64("doc_id", "log_ppl"), F.lit(SALTS)).cast("int"))
+    bands = stored(bands, "bands").withColumnsRenamed({"lang": lang, "low": low, "high": high})
+    annotated = annotated.drop("kept")
+    same = F.col("lang").eqNullSafe(F.col(lang))
+    if bands.limit(FEW_BANDS + 1).count() <= FEW_BANDS:
+        joined = annotated.join(F.broadcast(bands), same, "left")
+    else:
+        many = bands.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = annotated.withColumn(row_salt, F.pmod(F.xxhash64("doc_id", "log_ppl"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(many, same & (F.col(row_salt) == F.col(salt)), "left")
     inside = ~F.col("base_failed") & F.col("log_ppl").between(F.col(low), F.col(high))
-    return (salted.join(many, F.col("lang").eqNullSafe(F.col(lang)) & (F.col(row_salt) == F.col(salt)), "left")
-            .withColumn("kept", F.coalesce(inside, F.lit(False))).drop(lang, low, high, salt, row_salt))
+    return joined.withColumn("kept", F.coalesce(inside, F.lit(False))).drop(lang, low, high, salt, row_salt)
 
 
 def apply_rules(documents: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
