@@ -83,5 +83,41 @@ def queries() -> dict:
                                     op10_sharding)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# Closure of the links (x, y): the least id reachable from each id.
+_REACH = """links2 AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(a, b) AS (SELECT x, x FROM links2 UNION SELECT r.a, l.y FROM reach r JOIN links2 l ON r.b = l.x),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)"""
+
+_OP3 = f"""WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
+  AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+{_REACH},
+n AS (SELECT x, count(*) AS n FROM links2 GROUP BY x)
+SELECT t.vec_id, coalesce(n.n, 0) AS n_links, coalesce(l.m, t.vec_id) AS component_id,
+  coalesce(l.m, t.vec_id) = t.vec_id AS kept
+FROM embeddings t LEFT JOIN n ON n.x = t.vec_id LEFT JOIN least l ON l.a = t.vec_id"""
+
+_OP9 = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+links AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
+  WHERE 100 * c >= 75 * (len(a.s) + len(b.s) - c)),
+{_REACH}
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.m, s.doc_id) AS component_id FROM s LEFT JOIN least l ON l.a = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express whole; the tests compare the others with brute force."""
+    return {"op3_embedding_dedup": _OP3, "op9_ngram_jaccard": _OP9}
