@@ -5,26 +5,47 @@ effect: rejected documents and further members of near-duplicate groups are
 gone, repeated passages are cut out of the texts.  All stages but the last
 return the columns of documents.
 
+Defined results: null and empty texts are rejected by the rules; repeated rows
+are near duplicates of each other; other columns pass through unchanged, also
+those named like an operator's outputs, up to the last stage, which returns
+pieces; an empty table gives no pieces.
+
 The rules stage judges the corpus it is given, so its language bands come from
 the documents that the classifier kept.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from retentia.llm import ngram_jaccard, packing, quality_classifier, quality_rules, suffix_dedup
+from retentia.llm._columns import fresh
 from retentia.llm._store import stored
 from retentia.llm.queries import WORD_TOKENIZER, table
 
 
+#: Columns that the two filtering operators add.
+OUTPUTS = ("score", "predicted", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+           "log_ppl", "kept")
+
+
+def _filtered(docs, apply, condition):
+    """Rows for which ``condition`` holds after ``apply`` has added its columns; given columns of those names survive."""
+    clash = [c for c in docs.columns if c.lower() in OUTPUTS]
+    aside = dict(zip(clash, fresh([*docs.columns, *OUTPUTS], *clash)))
+    out = apply(docs.withColumnsRenamed(aside)).where(condition)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def classify(spark, docs, sf_dir):
     """Documents that the quality classifier accepts."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return _filtered(docs, lambda d: quality_classifier.score(d, model), "predicted = 1")
 
 
 def rules(spark, docs, sf_dir):
     """Documents that pass the quality rules and lie in the perplexity band of their language."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return _filtered(docs, quality_rules.apply_rules, "kept")
 
 
 def near_duplicates(spark, docs, sf_dir):
