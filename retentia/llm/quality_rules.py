@@ -11,7 +11,7 @@ A document's log-perplexity per byte is judged against the band of its
 language: from the median minus ``BELOW`` to the median plus ``ABOVE`` times a
 robust spread (half the distance from the 16th to the 84th percentile of the
 language, at least ``LEAST_SPREAD``), taken over all documents of the language
-that pass the rules.  Both ends reject: junk lies above, generated repetition
+that pass the rules, copies (equal perplexity and counts) once.  Both ends reject: junk lies above, generated repetition
 below; the lower end is wide because texts with many copies are well predicted
 without being bad.
 
@@ -182,7 +182,8 @@ def bands(annotated: DataFrame, below: float = BELOW, above: float = ABOVE) -> D
     """(lang, low, high): the language's band of log-perplexity; one row per language."""
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)), F.lit(1000))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 2, F.lit(LEAST_SPREAD))
-    return (annotated.where(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
+    once = annotated.where(~F.col("base_failed")).select("lang", "log_ppl", "n_words", "word_chars").distinct()
+    return (once.groupBy("lang").agg(q.alias("q"))
             .select("lang", (F.col("q")[1] - below * spread).alias("low"),
                     (F.col("q")[1] + above * spread).alias("high")))
 
