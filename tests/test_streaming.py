@@ -26,3 +26,25 @@ def test_stream_equals_batch_and_is_incremental(spark, unit_log):
     got = rows_of(features_from_partials(spark, sink))
     assert got == rows_of(feature_table(whole))
     assert [r for r in got if r[0] == "2"][0][2] == 1  # churned now
+
+
+def test_replayed_and_unfinished_batches(spark, unit_log):
+    """A complete batch is left alone by a replay; an unfinished one is not read and is rewritten."""
+    import os
+
+    from retentia.streaming.daily import read_partials
+    source, sink = scratch_path(spark, "t-replay-src"), scratch_path(spark, "t-replay-sink")
+    unit_log.repartition(2).write.parquet(source)
+    run = lambda: start_partials_stream(
+        spark, source, sink, scratch_path(spark, "t-replay-ckpt"), max_files_per_trigger=1).awaitTermination()
+    run()
+    want = rows_of(feature_table(unit_log))
+    files = sorted(os.listdir(f"{sink}/batch_id=0"))
+    run()                                        # a new checkpoint: every batch is replayed
+    assert sorted(os.listdir(f"{sink}/batch_id=0")) == files
+    assert rows_of(features_from_partials(spark, sink)) == want
+    os.rename(f"{sink}/batch_id=1/_SUCCESS", f"{sink}/batch_id=1/unfinished")
+    part = read_partials(spark, sink).count()
+    run()
+    assert part < read_partials(spark, sink).count()
+    assert rows_of(features_from_partials(spark, sink)) == want
