@@ -47,7 +47,7 @@ from retentia.llm._store import salted_join, shuffle_width, stored
 WORDS = 5
 PERCENT = 75
 TILE = 128
-SLOT_BITS = 18
+SLOT_BITS = 22
 BITS = 4096
 LEAF, FANOUT = 8, 8
 
@@ -198,21 +198,26 @@ def shared_counts(documents: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def slot_ranks(sets: DataFrame) -> np.ndarray:
-    """Rank of each of 2^SLOT_BITS shingle slots: standard deviations of its count above the mean, 0 if in the noise."""
+    """Rank of each of 2^SLOT_BITS shingle slots: standard deviations of its count above the mean, 0 if in the noise.
+
+    Only the slots that stand out come to the driver, at most 2^SLOT_BITS.
+    """
     def run(batches):
-        count = np.zeros(1 << SLOT_BITS, np.int64)
+        slots = [np.zeros(0, np.int64)]
         for batch in batches:
             s = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-            count += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(count))
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], ["slot", "n"])
-
-    got = (sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-           .toArrow())                                               # at most 2^SLOT_BITS rows
-    count = np.zeros(1 << SLOT_BITS)
-    count[got["slot"].to_numpy()] = got["n"].to_numpy()
-    mean = max(count.mean(), 1.0)
-    return np.clip(np.floor((count - mean) / np.sqrt(mean)) - 3, 0, 65535).astype(np.uint16)
+            slots.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+        used, n = np.unique(np.concatenate(slots), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n.astype(np.int32))], ["slot", "n"])
+
+    counts = stored(sets.select("shingles").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")),
+                    "slots")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mean = max(total / (1 << SLOT_BITS), 1.0)
+    got = counts.where(F.col("n") > mean + 4 * float(np.sqrt(mean))).toArrow()
+    rank = np.zeros(1 << SLOT_BITS, np.uint16)
+    rank[got["slot"].to_numpy()] = np.clip((got["n"].to_numpy() - mean) / np.sqrt(mean) - 3, 0, 65535)
+    return rank
 
 
 def _stars(tokens, keys):
