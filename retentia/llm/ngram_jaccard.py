@@ -7,6 +7,8 @@
    the corpus is asked once, per bucket of shingles, which of these occur in
    another text; a set with too few of them links with nothing and is done.
    Ordinary texts, also those with a passage or boilerplate in common, end here.
+   The sets that are left are asked once more among each other with all their
+   shingles: 75 % of them must occur in another of these sets.
    For the others the same bound with k = 1, and rare shingles first, says which
    sets must meet: those that share a prefix shingle form a block (connected
    components).  Shingles are ordered by how far the count of their slot, one of
@@ -109,9 +111,9 @@ def signed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key long")
 
 
-def enough(n):
-    """Prefix shingles (k = n/8) that a set of n has in common with every set it links with."""
-    return np.maximum(1, ((PERCENT * n + 99) // 100) // 8)
+def _eighth(size):
+    """Length of the first filter's prefix: it holds size / 8 shingles of every set that links."""
+    return prefix_length(size, np.maximum(1, size // 8))
 
 
 _SENT = "bucket int, tokens binary, sizes binary, keys binary, key_counts binary"
@@ -123,26 +125,39 @@ def _packed(rows) -> pa.RecordBatch:
                                       [f.split()[0] for f in _SENT.split(", ")])
 
 
-def shared_counts(documents: DataFrame, n_buckets: int) -> DataFrame:
-    """(set_key, n): at least as many of its prefix shingles (k = n/8) as occur in another text.
+def _sets_of_texts(batch):
+    rows, s = shingle_sets(batch.column(0))
+    return rows, s, *_set_keys(rows, s, batch.num_rows)
 
+
+def _sets_of_sets(batch):
+    lists = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+    size = np.array([len(x) for x in lists], np.int64)
+    s = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    return np.repeat(np.arange(len(lists)), size), s, batch.column(0).to_numpy(), size
+
+
+def shared_counts(source: DataFrame, sets_of, share, n_buckets: int) -> DataFrame:
+    """(set_key, n): at least as many of its first ``share(size)`` shingles as occur in another set.
+
+    ``sets_of`` gives (row of each shingle, shingle, set key and size of each
+    row) of a batch of ``source``.
     A chunk sends each of its shingles once: what occurs twice within the chunk
     is counted there.  Shingles travel as 32 bits within their bucket; two that
     look alike only let a set through.
     """
     def local(batches):
         for batch in batches:
-            rows, s = shingle_sets(batch.column(0))
+            rows, s, key, size = sets_of(batch)
             if not len(s):
                 continue
-            key, size = _set_keys(rows, s, batch.num_rows)
             first = np.cumsum(size) - size
             _, once = np.unique(key, return_index=True)              # equal sets of the chunk go as one
             copies = np.bincount(np.searchsorted(key[once], key[size > 0]), minlength=len(once))
             is_once = np.zeros(len(size), bool)
             is_once[once] = True
             at = np.arange(len(s)) - first[rows]
-            use = is_once[rows] & (at < prefix_length(size, np.maximum(1, size // 8))[rows])
+            use = is_once[rows] & (at < share(size)[rows])
             t, r = s[use], rows[use]
             order = np.argsort(t, kind="stable")
             t, r = t[order], r[order]
@@ -193,7 +208,7 @@ def shared_counts(documents: DataFrame, n_buckets: int) -> DataFrame:
             counts.append(n[owners != 0])
         return pd.DataFrame({"set_key": np.concatenate(keys), "n": np.concatenate(counts)}).astype("int64")
 
-    return (documents.select("text").mapInArrow(local, _SENT).groupBy("bucket")
+    return (source.mapInArrow(local, _SENT).groupBy("bucket")
             .applyInPandas(merge, "set_key long, n long").groupBy("set_key").agg(F.sum("n").alias("n")))
 
 
@@ -402,7 +417,7 @@ def _links_task(pdf):
 
 def _pairs_task(pdf):
     """Pairs of sets in different components that the signature trees of two tiles leave over."""
-    a, b = [], []
+    a, b, task = [], [], pdf["task"].iloc[0]
     for _, part in pdf.groupby(["block", "tile_a", "tile_b"]):
         part = part.sort_values(["side", "n_shingles", "set_key"])
         keys, comp, side = (part[c].to_numpy() for c in ("set_key", "component", "side"))
@@ -419,7 +434,8 @@ def _pairs_task(pdf):
         a.append(keys[i[apart]])
         b.append(keys[j[apart]])
     z = [np.zeros(0, np.int64)]
-    return pd.DataFrame({"a": np.concatenate(a or z), "b": np.concatenate(b or z)}).astype("int64")
+    out = pd.DataFrame({"a": np.concatenate(a or z), "b": np.concatenate(b or z)}).astype("int64")
+    return out.assign(task=task).astype("int64")
 
 
 def _tile_pairs(tiled: DataFrame, partners: DataFrame, n_groups: int) -> DataFrame:
@@ -441,17 +457,19 @@ def _joined(tiled: DataFrame, partners: DataFrame, texts: DataFrame, n_groups: i
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    def run(batches):
-        for batch in batches:
-            x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)],
-                                             ["a", "b"])
+    """The pairs (a, b) whose sets are similar; a set goes once to each task (pair of tiles) that needs it."""
+    none = F.lit(None).cast("long")
+    need = (pairs.select("task", F.col("a").alias("set_key"), F.col("b").alias("other"))
+            .union(pairs.select("task", F.col("b").alias("set_key"), none))
+            .groupBy("task", "set_key").agg(F.collect_set("other").alias("others")))     # at most two tiles
+
+    def run(pdf):
+        sets = {k: np.frombuffer(x, np.uint64) for k, x in zip(pdf["set_key"], pdf["shingles"])}
+        found = [(a, b) for a, others in zip(pdf["set_key"], pdf["others"]) for b in others
+                 if similar(sets[a], sets[b])]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    first = texts.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
-    second = texts.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return need.join(texts.select("set_key", "shingles"), "set_key").groupBy("task").applyInPandas(run, "a long, b long")
 
 
 FILTER_BITS = 24
@@ -479,8 +497,8 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_key, n_shingles, shingles) of the wanted sets (set_key, at_doc: a document that has it).
 
     A bitmap of 2^FILTER_BITS bits over the documents' ids, sent to the tasks,
-    leaves most other documents out before anything is shuffled; the join on
-    the key decides.
+    leaves most other documents out and nothing is shuffled.  Some sets that
+    are not wanted, and repeated rows, may come along.
     """
     shared = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted, "at_doc"))
 
@@ -498,7 +516,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found = documents.select("text", _slot("doc_id").alias("slot")).mapInArrow(
         run, "set_key long, n_shingles long, shingles binary")
-    return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+    return found
 
 
 def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -509,10 +527,16 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     light = stored(signed(docs), "signed")
     sets = light.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("at_doc"),
                                                                     F.max("n_shingles").alias("size"))
-    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * PERCENT / 100) / 8))
-    wanted = stored(sets.join(shared_counts(docs, n), "set_key").where(F.col("n") >= need)
-                    .select("set_key", "at_doc"), "wanted")
+    overlap = F.ceil(F.col("size") * PERCENT / 100)
+    need = F.greatest(F.lit(1), F.floor(overlap / 8))
+    shared = shared_counts(docs.select("text"), _sets_of_texts, _eighth, n)
+    wanted = stored(sets.join(shared, "set_key").where(F.col("n") >= need).select("set_key", "at_doc"), "wanted")
     texts = stored(full_sets(docs, wanted), "full-sets")
+    # the same once more among these, with all their shingles
+    shared = shared_counts(texts.select("set_key", "shingles"), _sets_of_sets, lambda size: size, n)
+    mutual = (stored(shared, "mutual").join(texts.select("set_key", F.col("n_shingles").alias("size")), "set_key")
+              .where(F.col("n") >= overlap).select("set_key").distinct())
+    texts = stored(texts.join(stored(mutual, "candidates"), "set_key").dropDuplicates(["set_key"]), "candidate-sets")
     ranks = spark.sparkContext.broadcast(slot_ranks(texts))
     in_block = stored(blocks(texts, ranks, n).select(F.col("vertex").alias("set_key"), F.col("component").alias("block")),
                       "in-block")
@@ -563,23 +587,26 @@ def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: i
         run, "set_key long, n_shingles long, bits binary")
     work = _tile_pairs(tiled.join(signatures, "set_key"), sides, 4 * n)
     pairs = (work.select("task", "block", "tile_a", "tile_b", "side", "set_key", "component", "n_shingles", "bits")
-             .groupBy("task").applyInPandas(_pairs_task, "a long, b long").distinct())
-    return _verified(pairs, texts)
+             .groupBy("task").applyInPandas(_pairs_task, "a long, b long, task long"))
+    return _verified(stored(pairs, "pairs"), texts)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links), set_key, component."""
     light, linked = join(documents)
-    least = light.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    named = (least.join(linked, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")))
-    named = stored(named, "named-sets")
+    least = (light.where("set_key is not null").groupBy("set_key")
+             .agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    # a set that one document has and that links with nothing needs no lookup
+    named = (least.join(linked, "set_key", "left").where(F.col("component").isNotNull() | (F.col("n") > 1))
+             .withColumn("component", F.coalesce("component", "set_key")))
+    named = stored(named.drop("n"), "named-sets")
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
     per_set = stored(salted_join(named, top, "component", ["set_key"], "inner")
                      .select("set_key", "component_id", "component"), "set-ids")
     out = salted_join(light, per_set, "set_key", ["doc_id"])
     return out.select("doc_id", "n_shingles",
-                      F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-                      .alias("component_id"), "set_key", "component")
+                      F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+                      .alias("component_id"), "set_key", F.coalesce("component", "set_key").alias("component"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
