@@ -206,10 +206,24 @@ def shared_counts(source: DataFrame, sets_of, share, n_buckets: int) -> DataFram
             owners, n = np.unique(k[np.repeat(times > 1, times)], return_counts=True)
             keys.append(owners[owners != 0])                         # 0 marks what a chunk has counted itself
             counts.append(n[owners != 0])
-        return pd.DataFrame({"set_key": np.concatenate(keys), "n": np.concatenate(counts)}).astype("int64")
+        # the bucket's sums go on as one row per part of the sets
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        part = key % n_buckets
+        order = np.argsort(part, kind="stable")
+        key, n, part = key[order], n[order], part[order]
+        cut = np.searchsorted(part, np.arange(n_buckets + 1))
+        used = np.flatnonzero(cut[1:] > cut[:-1])
+        return pd.DataFrame({"part": used.astype(np.int32), "keys": [key[cut[u]: cut[u + 1]].tobytes() for u in used],
+                             "counts": [n[cut[u]: cut[u + 1]].astype(np.uint32).tobytes() for u in used]})
+
+    def total(key, pdf):
+        owners, of = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in pdf["keys"]]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["counts"]]), len(owners))
+        return pd.DataFrame({"set_key": owners, "n": n.astype(np.int64)})
 
     return (source.mapInArrow(local, _SENT).groupBy("bucket")
-            .applyInPandas(merge, "set_key long, n long").groupBy("set_key").agg(F.sum("n").alias("n")))
+            .applyInPandas(merge, "part int, keys binary, counts binary")
+            .groupBy("part").applyInPandas(total, "set_key long, n long"))
 
 
 def slot_ranks(sets: DataFrame) -> np.ndarray:
@@ -451,7 +465,7 @@ def _tile_pairs(tiled: DataFrame, partners: DataFrame, n_groups: int) -> DataFra
 
 def _joined(tiled: DataFrame, partners: DataFrame, texts: DataFrame, n_groups: int) -> DataFrame:
     """Spanning links within and between the tiles, compared exactly."""
-    work = _tile_pairs(tiled, partners, n_groups).join(texts, "set_key")
+    work = _tile_pairs(tiled, partners, n_groups).join(texts.hint("merge"), "set_key")     # the same plan at every size
     return (work.select("task", "block", "tile_a", "tile_b", "side", "set_key", "n_shingles", "shingles")
             .groupBy("task").applyInPandas(_links_task, "a long, b long"))
 
@@ -469,7 +483,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                  if similar(sets[a], sets[b])]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return need.join(texts.select("set_key", "shingles"), "set_key").groupBy("task").applyInPandas(run, "a long, b long")
+    return need.join(texts.select("set_key", "shingles").hint("merge"), "set_key").groupBy("task").applyInPandas(run, "a long, b long")
 
 
 FILTER_BITS = 24
@@ -536,7 +550,8 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     shared = shared_counts(texts.select("set_key", "shingles"), _sets_of_sets, lambda size: size, n)
     mutual = (stored(shared, "mutual").join(texts.select("set_key", F.col("n_shingles").alias("size")), "set_key")
               .where(F.col("n") >= overlap).select("set_key").distinct())
-    texts = stored(texts.join(stored(mutual, "candidates"), "set_key").dropDuplicates(["set_key"]), "candidate-sets")
+    texts = stored(texts.join(stored(mutual, "candidates").hint("merge"), "set_key").dropDuplicates(["set_key"]),
+                   "candidate-sets")
     ranks = spark.sparkContext.broadcast(slot_ranks(texts))
     in_block = stored(blocks(texts, ranks, n).select(F.col("vertex").alias("set_key"), F.col("component").alias("block")),
                       "in-block")
