@@ -400,15 +400,15 @@ def deduplicate(documents: DataFrame, with_text: bool = False) -> tuple[DataFram
     return texts, results
 
 
-def _joined(documents: DataFrame, results: DataFrame) -> DataFrame:
+def _joined(documents: DataFrame, results: DataFrame, salts: int = SALTS) -> DataFrame:
     """Documents with the results of their text; a text that a third of all rows share is spread by salts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     h, g, salt, dh, dg, dsalt = fresh(documents.columns + results.columns, "key_h", "key_g", "key_salt", "text_h",
                                       "text_g", "text_salt")
     many = (results.withColumnsRenamed({"h": h, "g": g})
-            .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+            .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     rows = documents.withColumns({dh: F.xxhash64(text), dg: F.xxhash64(F.lit(1), text),
-                                  dsalt: F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).drop("text")
+                                  dsalt: F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")}).drop("text")
     return rows.join(many, (F.col(dh) == F.col(h)) & (F.col(dg) == F.col(g)) & (F.col(dsalt) == F.col(salt))
                      ).drop(h, g, salt, dh, dg, dsalt)
 
@@ -424,7 +424,8 @@ def clean(documents: DataFrame) -> DataFrame:
     _, results = deduplicate(documents, with_text=True)
     (name,) = fresh(documents.columns, "kept_text")
     kept = stored(results.select("h", "g", F.col("kept_text").alias(name)), "cut-texts")
-    out = _joined(documents, kept).withColumnRenamed(name, "text")
+    # texts are not replicated for salts; Spark splits a text that very many rows share on the side of the rows
+    out = _joined(documents, kept, salts=1).withColumnRenamed(name, "text")
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
