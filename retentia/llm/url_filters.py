@@ -2,8 +2,10 @@
 
 Words of a host are often run together, so every run of letters in a host is
 split by a unigram model: the word counts come from the text of all pages (tags
-removed), from the parts of hosts and paths that are already apart, and from
-the seed words.  The distinct substrings of all runs are looked up in
+removed), from the words of paths, and from the seed words.  The runs of hosts
+are what is to be split, so they are no evidence for words: they are not
+counted, nor are words of a page's text or path that are a run of its own host.
+The distinct substrings of all runs are looked up in
 the counts by one join; the Viterbi path over the words found gives the split, and
 stretches that are no word cost a factor of ten per letter.
 
@@ -38,14 +40,20 @@ SEED_COUNT = 1000
 SLOTS = 1 << 18
 
 
+def _rest():
+    """The url after ``://``, empty if there is none."""
+    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
+    return F.coalesce(rest, F.lit(""))
+
+
+def _host():
+    return F.translate(F.regexp_extract(_rest(), "^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host, path."""
-    at = F.instr("url", "://")
-    rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
-    return pages.select("page_id", "url", host.alias("host"),
-                        F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1).alias("path"))
+    return pages.select("page_id", "url", _host().alias("host"),
+                        F.regexp_extract(_rest(), "^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
 def rule_of(rules: list[tuple[str, str]]):
@@ -59,12 +67,21 @@ def rule_of(rules: list[tuple[str, str]]):
     return name, verdict
 
 
-def word_counts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(word, n): lower-case words of the pages' text and of the parts of hosts and paths."""
+def word_counts(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """(word, n): lower-case words of the text of ``pages`` (url, html) and of ``paths`` (host, path).
+
+    A run of the row's own host is not counted: a host would confirm itself, once per page.
+    """
     text = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    parts = hosts.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("([a-z]+)"),
-                                                        F.lit(1))).alias("word"))
+
+    def counted_words(rows, host, words, pattern):
+        own = F.regexp_extract_all(host, F.lit("([a-z]+)"), F.lit(1))
+        found = rows.select(own.alias("own"), F.explode(F.regexp_extract_all(F.lower(words), F.lit(pattern), F.lit(1)))
+                            .alias("word"))
+        return found.where(~F.array_contains("own", F.col("word"))).select("word")
+
+    words = counted_words(pages, _host(), text, r"(\p{L}+)")
+    parts = counted_words(paths, F.col("host"), F.col("path"), "([a-z]+)")
     seeds = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in SEEDS], "word string, n long").coalesce(1)
     size = F.char_length("word")
     counted = words.union(parts).where((size >= 2) & (size <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
@@ -151,7 +168,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     spark = pages.sparkSession
     urls = stored(parsed(pages), "urls")
     hosts = urls.select("host").distinct()
-    counts = stored(word_counts(pages.select("html"), urls.select("host", "path").distinct()), "word-counts")
+    counts = stored(word_counts(pages.select("url", "html"), urls.select("host", "path").distinct()), "word-counts")
     total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     words = stored(host_words(hosts, counts, total), "host-words")
     named = salted_join(urls, words, "host", ["page_id"]).withColumns({

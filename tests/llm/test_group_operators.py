@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -327,6 +328,18 @@ def test_urls_equal_brute_force_and_block_words(spark):
     assert url_filters.judge(empty, URL_RULES).count() == 0
 
 
+def test_hosts_of_many_pages_are_split(spark):
+    """A run is not its own dictionary word, however many pages its host has and however often they name it."""
+    filler = ["".join(c) for c in itertools.product("klmnrt", "aeiou", "klmnrt", "aeiou")]
+    text = " ".join(filler[k % len(filler)] for k in range(50_000)) + " free win casino" * 3
+    rows = [(i, "http://news%d.org/" % i, "<p>%s</p>" % text) for i in range(20)]
+    rows += [(100 + i, "http://freecasino.com/p/freecasino/%d" % i, "<p>freecasino</p>") for i in range(400)]
+    rows += [(600 + i, "http://casinowin.com/%s" % ("x" * i), None) for i in range(400)]
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES)
+    hosts = {r.host: (r.words, r.verdict) for r in got.where("page_id >= 100").select("host", "words", "verdict").distinct().collect()}
+    assert hosts == {"freecasino.com": (["free", "casino"], "block"), "casinowin.com": (["casino", "win"], "block")}
+
+
 # -- sharding -------------------------------------------------------------------------
 
 def test_shards_are_even_and_places_gapless(spark, corpus, documents, no_documents):
