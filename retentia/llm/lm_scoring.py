@@ -7,9 +7,10 @@ escape share distinct / (total + distinct) is paid and the next shorter context
 predicts among the bytes that the longer one has not seen (symbol exclusion),
 down to the uniform share over bytes seen nowhere.  A context that was never
 seen costs nothing.  Every text ends with one end symbol (0xFF, no UTF-8 byte),
-so the shares of all texts add up to at most one.  Nodes are kept in sorted
-hash arrays; at most ``MOST`` of the longest nodes are kept, the most frequent,
-which bounds what is sent to the tasks.
+so the shares of all texts add up to at most one.  All counted nodes are kept.
+Up to ``MOST`` of the longest are sent to the tasks in sorted hash arrays; more
+stay in a partitioned table, in which the distinct nodes of each chunk of texts
+are looked up (``_ngrams.Parted``), with the same scores.
 
 The unigram base needs the counts of all distinct words, a table without a
 bound, so it is never broadcast: each task sends its distinct words (hash,
@@ -63,12 +64,15 @@ def _with_end(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Model:
     """Per order: n-gram nodes with their count, and contexts with total, distinct and excluded mass."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, pairs=None):
+        """``pairs``: nodes of two bytes with their counts, if ``keys`` are only a part of the corpus (``Parted``)."""
         self.order = order
         self.levels = []     # from order 0 up
         ks, cs = keys, counts
         levels = []
         for k in range(order, -1, -1):
+            if k == 1 and pairs is not None:
+                ks, cs = pairs
             levels.insert(0, (ks, cs))
             if k:
                 low = ks & np.uint64((1 << 8 * k) - 1)
@@ -125,13 +129,37 @@ class Model:
         return out
 
 
-def fit(training: DataFrame, order: int = ORDER, most: int = MOST) -> Model:
-    """Count every (context, byte) of the training texts and build the trie."""
+def fit(training: DataFrame, order: int = ORDER, most: int = MOST) -> Model | _ngrams.Parted:
+    """Count every (context, byte) of the training texts and build the trie; ``Parted`` if it has over ``most`` nodes."""
     ended = training.select(F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"),
                                      F.unhex(F.lit("FF"))).alias("bytes"))
     counts = stored(_ngrams.count_ngrams(ended, "bytes", order + 1, END, np.arange(256)), "ppm-counts")
-    keys, n, _ = _ngrams.frequent(counts, most)
-    return Model(keys, n, order)
+    if counts.count() <= most:
+        return Model(*_ngrams.collected(counts), order)
+    pairs = _ngrams.collected(_ngrams.suffixes(counts, 2, F.sum("n")))
+    return _ngrams.Parted(counts, lambda keys, n: Model(keys, n, order, pairs))
+
+
+def _keys(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    ended, eo = _with_end(data, offs)
+    return _ngrams.packed(ended, eo, order + 1, END)
+
+
+def _row_sums(data: np.ndarray, offs: np.ndarray, order: int, log_prob) -> np.ndarray:
+    """Score of each row of a chunk."""
+    ends = offs + np.arange(len(offs))
+    lp = np.zeros(len(data) + len(offs))
+    np.cumsum(log_prob(_keys(data, offs, order)), out=lp[1:])
+    return lp[ends[1:]] - lp[ends[:-1]]
+
+
+def _looked_up(documents: DataFrame, model: _ngrams.Parted, order: int) -> DataFrame:
+    """``documents`` plus score, for a model that is not sent to the tasks."""
+    def compute(texts, find):
+        sums = [_row_sums(data, offs, order, find) for _, _, data, offs in _text.chunks(texts)]
+        return [np.concatenate(sums) if sums else np.zeros(0)]
+
+    return model.add_columns(documents, "text", lambda data, offs: _keys(data, offs, order), compute, "score double")
 
 
 def _blobs(start: np.ndarray, end: np.ndarray, values: np.ndarray, kind) -> list[bytes]:
@@ -151,7 +179,10 @@ def _id_column(values) -> bytes:
 
 
 def _sent(documents: DataFrame, model, n_buckets: int) -> DataFrame:
-    """Rows for the buckets: the words of each chunk by bucket, and one row with the chunk's documents."""
+    """Rows for the buckets: the words of each chunk by bucket, and one row with the chunk's documents.
+
+    Without a ``model`` the documents bring their score.
+    """
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -161,13 +192,12 @@ def _sent(documents: DataFrame, model, n_buckets: int) -> DataFrame:
                 ids, held = batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)
                 held = held.to_numpy(zero_copy_only=False).astype(bool)
                 n = hi - lo
-                hashes, rows, score = [], [], np.zeros(n)
+                hashes, rows = [], []
+                score = np.zeros(n) if model is not None else batch.column(3).slice(lo, n).to_numpy()
                 column = batch.column(1).slice(lo, n)
                 for a, b, d, o in _text.chunks(column):
-                    ended, eo = _with_end(d, o)
-                    lp = np.zeros(len(ended) + 1)
-                    np.cumsum(model.value.log_prob(_ngrams.packed(ended, eo, model.value.order + 1, END)), out=lp[1:])
-                    score[a:b] = lp[eo[1:]] - lp[eo[:-1]]
+                    if model is not None:
+                        score[a:b] = _row_sums(d, o, model.value.order, model.value.log_prob)
                     low = _text.LOWER[d]
                     s, e, r = _text.words(low, o)
                     hashes.append(_text.RollingHash(low).spans(s, e))
@@ -200,7 +230,8 @@ def _sent(documents: DataFrame, model, n_buckets: int) -> DataFrame:
                     [pa.array(list(c) + m, t) for c, m, t in zip(cols, meta, [pa.int32(), pa.int64()] + [pa.binary()] * 9)],
                     [f.split()[0] for f in _SENT.split(", ")])
 
-    return documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held")).mapInArrow(run, _SENT)
+    scored = [] if model is not None else ["score"]
+    return documents.select("doc_id", "text", held_out(F.col("doc_id")).alias("held"), *scored).mapInArrow(run, _SENT)
 
 
 _SUMS = "chunk long, part int, sums binary, known binary, tokens long, kinds long, ids binary, held binary, n_tokens binary, score binary"
@@ -262,7 +293,11 @@ def score(documents: DataFrame, order: int = ORDER, most: int = MOST) -> DataFra
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    model = spark.sparkContext.broadcast(fit(docs.where(trained_on(F.col("doc_id"))), order, most))
+    model = fit(docs.where(trained_on(F.col("doc_id"))), order, most)
+    if isinstance(model, _ngrams.Parted):
+        docs, model = stored(_looked_up(docs, model, order), "lm-texts"), None
+    else:
+        model = spark.sparkContext.broadcast(model)
     n_buckets = shuffle_width(spark)
     id_field = documents.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type

@@ -243,6 +243,15 @@ def test_lm_scores_equal_brute_force(spark, corpus, documents):
         assert w[6] is None or g[6] == pytest.approx(w[6], rel=1e-4)
 
 
+def test_lm_scores_of_a_parted_model_are_the_same(spark, documents):
+    """A trie of more nodes than are sent to the tasks scores with all of them."""
+    columns = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    whole, parted = (by_id(lm_scoring.score(documents, most=m).collect(), *columns) for m in (lm_scoring.MOST, 100))
+    assert len(parted) == len(whole) == documents.count()
+    for a, b in zip(parted, whole):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6)
+
+
 def test_lm_without_training_texts(spark, no_documents):
     assert lm_scoring.score(no_documents).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
