@@ -235,21 +235,3 @@ def _packed_rows(batch) -> bytes:
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
-
-
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, counts of counts 0..4) of a stored n-gram table.
-
-    All n-grams are counted; if there are more than ``most``, those with at
-    least 2^k occurrences are returned for the smallest k that leaves ``most``
-    or fewer.  That bounds the size of the model that is sent to the tasks.
-    """
-    level = F.floor(F.log2("n")).cast("int")
-    sizes = {int(r[0]): int(r[1]) for r in counts.groupBy(level).agg(F.count("*")).collect()}
-    few = {int(r[0]): int(r[1]) for r in counts.where("n <= 4").groupBy("n").agg(F.count("*")).collect()}
-    k = 0
-    while sum(v for lv, v in sizes.items() if lv >= k) > most:
-        k += 1
-    table = counts.where(F.col("n") >= (1 << k)).orderBy("key").toArrow()
-    return (table["key"].to_numpy().astype(np.int64).view(np.uint64), table["n"].to_numpy().astype(np.int64),
-            np.array([0] + [few.get(i, 0) for i in range(1, 5)]))

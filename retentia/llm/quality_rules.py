@@ -4,8 +4,10 @@ The perplexity comes from a modified Kneser-Ney model over the bytes of the
 lower-cased text (order ``ORDER``).  Spark counts the n-grams of all documents;
 counts of counts give the three discounts of the highest order, lower orders
 use continuation counts.  The interpolated log-probabilities are kept in sorted
-hash arrays, one per order, of at most ``MOST`` n-grams; a context that is not
-in them backs off to the next lower order.
+hash arrays, one per order; a context that is not in them backs off to the next
+lower order.  Up to ``MOST`` n-grams of the highest order are sent to the tasks;
+more stay in a partitioned table, in which the distinct n-grams of each chunk of
+texts are looked up (``_ngrams.Parted``), with the same log-probabilities.
 
 A document's log-perplexity per byte is judged against the band of its
 language: from the median minus ``BELOW`` to the median plus ``ABOVE`` times a
@@ -104,16 +106,22 @@ def _discounts(coc) -> np.ndarray:
 class Model:
     """Sorted hash arrays per order: log-probability of n-grams and log back-off weight of contexts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, coc, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, coc, order: int = ORDER, pairs=None, middle=None):
+        """``pairs``, ``middle``: for ``keys`` that are only a part of the corpus (``Parted``).
+
+        ``pairs`` holds the n-grams of two bytes with their continuation counts and
+        ``middle`` the counts of counts of the orders between 2 and ``order``.
+        """
         self.order = order
         levels = [(keys, counts)]
         for k in range(order - 1, 0, -1):      # continuation counts of the next lower order
-            low, n = np.unique(levels[0][0] & np.uint64((1 << 8 * k) - 1), return_counts=True)
-            levels.insert(0, (low, n))
+            shorter = np.unique(levels[0][0] & np.uint64((1 << 8 * k) - 1), return_counts=True)
+            levels.insert(0, pairs if k == 2 and pairs is not None else shorter)
         below_keys, below = None, None
         self.grams, self.contexts = [], []
         for k, (ks, cs) in enumerate(levels, 1):
-            d = _discounts(coc if k == order else np.bincount(np.minimum(cs, 5), minlength=6)[:5])
+            of_order = coc if k == order else (middle or {}).get(k)
+            d = _discounts(np.bincount(np.minimum(cs, 5), minlength=6)[:5] if of_order is None else of_order)
             ctx, of = np.unique(ks >> np.uint64(8), return_inverse=True)
             total = np.bincount(of, cs, len(ctx))
             taken = d[np.minimum(cs, 3)]
@@ -149,23 +157,40 @@ class Model:
         return out
 
 
-def fit(documents: DataFrame, order: int = ORDER, most: int = MOST) -> Model:
-    """Model counted over all ``documents``."""
-    counts = stored(_ngrams.count_ngrams(documents, "text", order, 0, _text.LOWER), "kn-counts")
-    return Model(*_ngrams.frequent(counts, most), order)
+def _counts_of_counts(counts: DataFrame) -> np.ndarray:
+    few = {int(r[0]): int(r[1]) for r in counts.where("n <= 4").groupBy("n").agg(F.count("*")).collect()}
+    return np.array([0] + [few.get(i, 0) for i in range(1, 5)])
 
 
-def annotate(documents: DataFrame, model: Model) -> DataFrame:
+def fit(documents: DataFrame, order: int = ORDER, most: int = MOST) -> Model | _ngrams.Parted:
+    """Model counted over all ``documents``; ``Parted`` if it has over ``most`` n-grams of the highest order."""
+    counts = stored(_ngrams.count_ngrams(documents, "text", order, 0, _text.LOWER), "kn-counts")
+    coc = _counts_of_counts(counts)
+    if counts.count() <= most:
+        return Model(*_ngrams.collected(counts), coc, order)
+    middle, shorter = {}, counts
+    for k in range(order - 1, 2, -1):
+        shorter = stored(_ngrams.suffixes(shorter, k, F.count("*")), "kn-shorter")
+        middle[k] = _counts_of_counts(shorter)
+    pairs = _ngrams.collected(_ngrams.suffixes(shorter, 2, F.count("*")))
+    return _ngrams.Parted(counts, lambda keys, n: Model(keys, n, coc, order, pairs, middle))
+
+
+def annotate(documents: DataFrame, model: Model | _ngrams.Parted, order: int = ORDER) -> DataFrame:
     """``documents`` plus the base columns and log_ppl (natural log per byte; null without bytes)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    parted = isinstance(model, _ngrams.Parted)
+    shared = None if parted else documents.sparkSession.sparkContext.broadcast(model)
+
+    def keys_of(data, offs):
+        return _ngrams.packed(_text.LOWER[data], offs, order, 0)
 
-    def compute(text):
+    def compute(text, find=None):
+        log_prob = find or shared.value.log_prob
         counts, ppl = [], []
         for _, _, data, offs in _text.chunks(text):
             counts.append(base_counts(data, offs))
             lp = np.zeros(len(data) + 1)
-            np.cumsum(shared.value.log_prob(_ngrams.packed(_text.LOWER[data], offs, shared.value.order, 0)),
-                      out=lp[1:])
+            np.cumsum(log_prob(keys_of(data, offs)), out=lp[1:])
             with np.errstate(invalid="ignore"):
                 ppl.append(-(lp[offs[1:]] - lp[offs[:-1]]) / np.diff(offs))
         c = np.concatenate(counts) if counts else np.zeros((0, 5), np.int64)
@@ -173,9 +198,11 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
         p = np.concatenate(ppl) if ppl else np.zeros(0)
         return [*(pa.array(c[:, k]) for k in range(5)), pa.array(failed), pa.array(p, mask=np.isnan(p))]
 
-    return add_columns(documents, ["text"], compute,
-                       "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-                       "base_failed boolean, log_ppl double")
+    fields = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+              "base_failed boolean, log_ppl double")
+    if parted:
+        return model.add_columns(documents, "text", keys_of, compute, fields)
+    return add_columns(documents, ["text"], compute, fields)
 
 
 def bands(annotated: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -211,5 +238,5 @@ def judge(annotated: DataFrame, bands: DataFrame) -> DataFrame:
 
 def apply_rules(documents: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
     """``documents`` (with text, lang, doc_id) plus base columns, log_ppl and kept."""
-    annotated = stored(annotate(documents, fit(documents, order, most)), "rules")
+    annotated = stored(annotate(documents, fit(documents, order, most), order), "rules")
     return judge(annotated, bands(annotated))

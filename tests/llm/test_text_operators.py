@@ -148,6 +148,15 @@ def test_bands_reject_both_ends(spark):
     assert all(kept[i] for i in range(200)) and not kept[900] and not kept[901] and kept[902] and not kept[903]
 
 
+def test_rules_of_a_parted_model_are_the_same(spark, documents):
+    """A corpus of more n-grams than are sent to the tasks is judged by its whole Kneser-Ney model."""
+    columns = ("n_words", "n_repeat_words", "base_failed", "text", "_salt")
+    whole, parted = (quality_rules.apply_rules(documents, most=m).collect() for m in (quality_rules.MOST, 100))
+    assert by_id(parted, *columns) == by_id(whole, *columns)
+    for a, b in zip(by_id(parted, "text", "log_ppl", "kept"), by_id(whole, "text", "log_ppl", "kept")):
+        assert a[2] == (b[2] and pytest.approx(b[2], abs=1e-6)) and a[3] == b[3]
+
+
 def test_sorted_hash_finds_members_only():
     keys = np.unique(np.random.default_rng(3).integers(0, 2**40, 5000, dtype=np.uint64))
     table = _ngrams.SortedHash(keys)
