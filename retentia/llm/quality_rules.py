@@ -1,7 +1,8 @@
 """Quality rules: word, symbol, line and repetition counts, then n-gram perplexity bands per language.
 
-The perplexity comes from a modified Kneser-Ney model over the bytes of the
-lower-cased text (order ``ORDER``).  Spark counts the n-grams of all documents;
+The perplexity comes from modified Kneser-Ney models over the bytes of the
+lower-cased text (order ``ORDER``).  Spark counts the n-grams of all
+documents;
 counts of counts give the three discounts of the highest order, lower orders
 use continuation counts.  The interpolated log-probabilities are kept in sorted
 hash arrays, one per order; a context that is not in them backs off to the next
@@ -9,13 +10,18 @@ lower order.  Up to ``MOST`` n-grams of the highest order are sent to the tasks;
 more stay in a partitioned table, in which the distinct n-grams of each chunk of
 texts are looked up (``_ngrams.Parted``), with the same log-probabilities.
 
+No text is scored by a model that has counted it: texts are split in two halves
+by their crc32, so copies are in the same half, and each half is scored by the
+model of the other one, in which every distinct text counts once.  Texts with
+many copies are therefore not predicted better than others and do not bend the
+model that scores the others.
+
 A document's log-perplexity per byte is judged against the band of its
-language: from the median minus ``BELOW`` to the median plus ``ABOVE`` times a
-robust spread (half the distance from the 16th to the 84th percentile of the
-language, at least ``LEAST_SPREAD``), taken over all documents of the language
-that pass the rules, copies (equal perplexity and counts) once.  Both ends reject: junk lies above, generated repetition
-below; the lower end is wide because texts with many copies are well predicted
-without being bad.
+language, taken over all documents of the language that pass the rules, copies
+(equal perplexity and counts) once: it reaches from the median down ``BELOW``
+times the distance to the 16th percentile and up ``ABOVE`` times the distance to
+the 84th, each distance at least ``LEAST_SPREAD``.  Both ends reject: lists and
+random letters lie above, generated repetition and symbol noise below.
 
 Defined results: null and empty texts have no words and fail the rules; a null
 language is a language of its own; repeated rows are judged alike; an empty
@@ -25,6 +31,8 @@ are replaced.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +45,9 @@ from retentia.llm._store import stored
 ORDER = 5
 MOST = 4_000_000
 WINDOW = 8
-ABOVE = 5.0
-BELOW = 20.0
-LEAST_SPREAD = 0.03
+ABOVE = 3.5
+BELOW = 3.5
+LEAST_SPREAD = 0.02
 SALTS = 16
 FEW_BANDS = 10_000
 
@@ -162,13 +170,27 @@ def _counts_of_counts(counts: DataFrame) -> np.ndarray:
     return np.array([0] + [few.get(i, 0) for i in range(1, 5)])
 
 
-def fit(documents: DataFrame, order: int = ORDER, most: int = MOST) -> Model | _ngrams.Parted:
-    """Model counted over all ``documents``; ``Parted`` if it has over ``most`` n-grams of the highest order."""
-    counts = stored(_ngrams.count_ngrams(documents, "text", order, 0, _text.LOWER), "kn-counts")
-    coc = _counts_of_counts(counts)
-    if counts.count() <= most:
-        return Model(*_ngrams.collected(counts), coc, order)
-    middle, shorter = {}, counts
+def _half(text):
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % 2
+
+
+def fit(documents: DataFrame, order: int = ORDER, most: int = MOST) -> list[Model] | list[_ngrams.Parted]:
+    """For each half of the texts the model that scores it, counted over the distinct texts of the other half.
+
+    They are ``Parted`` if both have over ``most`` n-grams of the highest order together.
+    """
+    halves = [documents.where(_half(F.col("text")) == 1 - half).select("text").distinct() for half in (0, 1)]
+    counts = [stored(_ngrams.count_ngrams(texts, "text", order, 0, _text.LOWER), "kn-counts") for texts in halves]
+    small = sum(c.count() for c in counts) <= most
+    return [_whole(c, order) if small else _parted(c, order) for c in counts]
+
+
+def _whole(counts: DataFrame, order: int) -> Model:
+    return Model(*_ngrams.collected(counts), _counts_of_counts(counts), order)
+
+
+def _parted(counts: DataFrame, order: int) -> _ngrams.Parted:
+    coc, middle, shorter = _counts_of_counts(counts), {}, counts
     for k in range(order - 1, 2, -1):
         shorter = stored(_ngrams.suffixes(shorter, k, F.count("*")), "kn-shorter")
         middle[k] = _counts_of_counts(shorter)
@@ -176,21 +198,29 @@ def fit(documents: DataFrame, order: int = ORDER, most: int = MOST) -> Model | _
     return _ngrams.Parted(counts, lambda keys, n: Model(keys, n, coc, order, pairs, middle))
 
 
-def annotate(documents: DataFrame, model: Model | _ngrams.Parted, order: int = ORDER) -> DataFrame:
+def annotate(documents: DataFrame, models: list, order: int = ORDER) -> DataFrame:
     """``documents`` plus the base columns and log_ppl (natural log per byte; null without bytes)."""
-    parted = isinstance(model, _ngrams.Parted)
-    shared = None if parted else documents.sparkSession.sparkContext.broadcast(model)
+    parted = isinstance(models[0], _ngrams.Parted)
+    shared = None if parted else documents.sparkSession.sparkContext.broadcast(models)
 
     def keys_of(data, offs):
         return _ngrams.packed(_text.LOWER[data], offs, order, 0)
 
+    def by_halves(data, offs):
+        """Log-probabilities of a chunk, each row's from the model of its half."""
+        half = np.array([zlib.crc32(data[a:b]) & 1 for a, b in zip(offs[:-1], offs[1:])], bool)
+        keys, second = keys_of(data, offs), np.repeat(half, np.diff(offs))
+        out = np.zeros(len(data))
+        for model, mine in zip(shared.value, (~second, second)):
+            out[mine] = model.log_prob(keys[mine])
+        return out
+
     def compute(text, find=None):
-        log_prob = find or shared.value.log_prob
         counts, ppl = [], []
         for _, _, data, offs in _text.chunks(text):
             counts.append(base_counts(data, offs))
             lp = np.zeros(len(data) + 1)
-            np.cumsum(log_prob(keys_of(data, offs)), out=lp[1:])
+            np.cumsum(find(keys_of(data, offs)) if find else by_halves(data, offs), out=lp[1:])
             with np.errstate(invalid="ignore"):
                 ppl.append(-(lp[offs[1:]] - lp[offs[:-1]]) / np.diff(offs))
         c = np.concatenate(counts) if counts else np.zeros((0, 5), np.int64)
@@ -201,18 +231,21 @@ def annotate(documents: DataFrame, model: Model | _ngrams.Parted, order: int = O
     fields = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
               "base_failed boolean, log_ppl double")
     if parted:
-        return model.add_columns(documents, "text", keys_of, compute, fields)
+        first, second = (m.add_columns(documents.where(_half(F.col("text")) == half), "text", keys_of, compute, fields)
+                         for half, m in enumerate(models))
+        return first.union(second)
     return add_columns(documents, ["text"], compute, fields)
 
 
 def bands(annotated: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """(lang, low, high): the language's band of log-perplexity; one row per language."""
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)), F.lit(1000))
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 2, F.lit(LEAST_SPREAD))
-    once = annotated.where(~F.col("base_failed")).select("lang", "log_ppl", "n_words", "word_chars").distinct()
+    down = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
+    up = F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(LEAST_SPREAD))
+    alike = [c for c in ("lang", "log_ppl", "n_words", "word_chars") if c in annotated.columns]
+    once = annotated.where(~F.col("base_failed")).select(*alike).distinct()
     return (once.groupBy("lang").agg(q.alias("q"))
-            .select("lang", (F.col("q")[1] - below * spread).alias("low"),
-                    (F.col("q")[1] + above * spread).alias("high")))
+            .select("lang", (F.col("q")[1] - below * down).alias("low"), (F.col("q")[1] + above * up).alias("high")))
 
 
 def judge(annotated: DataFrame, bands: DataFrame) -> DataFrame:

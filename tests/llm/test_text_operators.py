@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retentia.llm import _ngrams, _text, lm_scoring, quality_classifier, quality_rules, sentencepiece_codec
+from tests.conftest import SF_MID
 from tests.llm.conftest import WORD, lower, words
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -157,6 +158,23 @@ def test_rules_of_a_parted_model_are_the_same(spark, documents):
         assert a[2] == (b[2] and pytest.approx(b[2], abs=1e-6)) and a[3] == b[3]
 
 
+def test_both_ends_reject_junk_and_keep_copies(spark):
+    """Both ends of the bands reject labelled junk, few good documents; copies of a good one stay."""
+    read = lambda t: spark.read.parquet("%s/%s.parquet" % (SF_MID, t))
+    docs = read("documents").select("doc_id", "lang", "text")
+    good = docs.join(read("labels").where("quality = 1"), "doc_id").orderBy("doc_id").first()
+    copies = spark.range(10**6, 10**6 + 300).select(F.col("id").alias("doc_id"), F.lit(good.lang).alias("lang"),
+                                                    F.lit(good.text).alias("text"))
+    annotated = quality_rules.stored(quality_rules.annotate(docs.union(copies), quality_rules.fit(docs.union(copies))), "rules")
+    rows = (quality_rules.judge(annotated, quality_rules.bands(annotated)).where("not base_failed")
+            .join(quality_rules.bands(annotated), "lang").join(read("labels"), "doc_id", "left").collect())
+    assert all(r.kept for r in rows if r.doc_id >= 10**6 or r.text == good.text)
+    share = lambda q, out: np.mean([out(r) for r in rows if r.quality == q])
+    low, high = (lambda r: r.log_ppl < r.low), (lambda r: r.log_ppl > r.high)
+    assert share(0, low) > 0.05 and share(0, high) > 0.05
+    assert share(1, low) + share(1, high) < 0.05
+
+
 def test_sorted_hash_finds_members_only():
     keys = np.unique(np.random.default_rng(3).integers(0, 2**40, 5000, dtype=np.uint64))
     table = _ngrams.SortedHash(keys)
