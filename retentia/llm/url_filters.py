@@ -36,7 +36,7 @@ from retentia.llm._store import salted_join, stored
 
 SEEDS = ("ads", "bets", "casino", "pills", "poker", "porn", "viagra", "xxx")
 LONGEST_WORD = 20
-SEED_COUNT = 1000
+SEED_SHARE = 0.001   # of all words, on top of what the pages hold
 SLOTS = 1 << 18
 
 
@@ -82,10 +82,17 @@ def word_counts(pages: DataFrame, paths: DataFrame) -> DataFrame:
 
     words = counted_words(pages, _host(), text, r"(\p{L}+)")
     parts = counted_words(paths, F.col("host"), F.col("path"), "([a-z]+)")
-    seeds = pages.sparkSession.createDataFrame([(s, SEED_COUNT) for s in SEEDS], "word string, n long").coalesce(1)
     size = F.char_length("word")
-    counted = words.union(parts).where((size >= 2) & (size <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
-    return counted.union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    return words.union(parts).where((size >= 2) & (size <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def with_seeds(counts: DataFrame) -> tuple[DataFrame, float]:
+    """``counts`` plus the share ``SEED_SHARE`` of their total for each seed word, at any size; and the new total."""
+    total = float(max(1, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    each = SEED_SHARE * total
+    seeds = counts.sparkSession.createDataFrame([(s, each) for s in SEEDS], "word string, n double").coalesce(1)
+    both = counts.select("word", F.col("n").cast("double")).union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    return both, total + len(SEEDS) * each
 
 
 def viterbi(run: str, found: dict[tuple[int, int], float], unknown: float) -> list[str]:
@@ -110,7 +117,7 @@ def viterbi(run: str, found: dict[tuple[int, int], float], unknown: float) -> li
     return out[::-1]
 
 
-def segmented(runs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+def segmented(runs: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     """(run, words): the Viterbi split of each distinct run."""
     subs = runs.select("run", F.explode(F.expr(
         f"flatten(transform(sequence(1, char_length(run)), s -> transform(sequence(1, "
@@ -132,7 +139,7 @@ def segmented(runs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return runs.join(known, "run", "left").select("run", "found").mapInArrow(split, "run string, words array<string>")
 
 
-def host_words(hosts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+def host_words(hosts: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     """(host, words): segmented words of each distinct host, the last label (the top domain) left out."""
     labels = F.regexp_replace("host", r"\.?[^.]*$", "")
     at = hosts.select("host", F.posexplode(F.regexp_extract_all(labels, F.lit("([a-z]+)"), F.lit(1))).alias("at", "run"))
@@ -169,7 +176,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     urls = stored(parsed(pages), "urls")
     hosts = urls.select("host").distinct()
     counts = stored(word_counts(pages.select("url", "html"), urls.select("host", "path").distinct()), "word-counts")
-    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    counts, total = with_seeds(counts)
     words = stored(host_words(hosts, counts, total), "host-words")
     named = salted_join(urls, words, "host", ["page_id"]).withColumns({
         "slots": tokens(F.col("words"), F.col("path")),

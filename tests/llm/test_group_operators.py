@@ -340,6 +340,14 @@ def test_hosts_of_many_pages_are_split(spark):
     assert hosts == {"freecasino.com": (["free", "casino"], "block"), "casinowin.com": (["casino", "win"], "block")}
 
 
+def test_seeds_weigh_alike_at_any_size(spark):
+    hosts = spark.createDataFrame([("pokerclub.com",)], "host string")
+    for size in (10**4, 10**9):
+        shares = [("po", 3), ("ker", 1), ("club", 1), ("rest", 95)]
+        counts = spark.createDataFrame([(w, n * size // 100) for w, n in shares], "word string, n long")
+        assert url_filters.host_words(hosts, *url_filters.with_seeds(counts)).first().words == ["poker", "club"]
+
+
 # -- sharding -------------------------------------------------------------------------
 
 def test_shards_are_even_and_places_gapless(spark, corpus, documents, no_documents):
