@@ -18,22 +18,50 @@ _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-# Random odd base and per-byte values of the rolling hash; its seed is fixed so that every task agrees.
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(2**59, 2**60)) * 8 + 5
-_BASE_INV = pow(_BASE, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {}
+# Rolling hash: polynomial modulo the prime 2^61 - 1 with a random base; the seed is fixed so that every task agrees.
+_P = np.uint64(2**61 - 1)
+_BASE = int(np.random.default_rng(20240229).integers(2**59, 2**60))
+_BASE_INV = pow(_BASE, -1, 2**61 - 1)
+_POWERS: dict = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo 2^61 - 1 of numbers below it."""
+    low, half, s31, s30 = np.uint64(2**31 - 1), np.uint64(2**30 - 1), np.uint64(31), np.uint64(30)
+    a1, a0, b1, b0 = a >> s31, a & low, b >> s31, b & low
+    mid = a1 * b0 + a0 * b1
+    return _mod(_mod((a1 * b1 << np.uint64(1)) + (mid >> s30) + ((mid & half) << s31)) + a0 * b0)
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    """x * 2^bits modulo 2^61 - 1, for x below it."""
+    return ((x << np.uint64(bits)) & _P) | (x >> np.uint64(61 - bits))
+
+
+def _powers(n: int) -> tuple[int, list[np.ndarray], np.ndarray]:
+    """(bits of a limb, limbs of the powers of the base, powers of its inverse) up to exponent ``n`` at least.
+
+    A prefix sum carries one limb; with 31 bits its sum over 2^24 bytes stays
+    below 2^64, with 21 bits that over 2^31 bytes.
+    """
+    bits = 31 if n < 1 << 24 else 21
+    if not _POWERS or len(_POWERS["down"]) <= n:
+        size = 1 << max(n, CHUNK_BYTES).bit_length()
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, np.uint64(base), np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+            steps = np.ones(1, np.uint64)
+            while len(steps) < size:
+                steps = np.concatenate([steps, _times(steps, np.uint64(pow(base, len(steps), 2**61 - 1)))])
+            _POWERS[name] = steps
+    if _POWERS.get("bits") != bits or len(_POWERS["limbs"][0]) <= n:
+        mask = np.uint64((1 << bits) - 1)
+        _POWERS["limbs"] = [(_POWERS["up"] >> np.uint64(bits * k)) & mask for k in range(-(-61 // bits))]
+        _POWERS["bits"] = bits
+    return bits, _POWERS["limbs"], _POWERS["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,16 +74,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit hashes of arbitrary spans of one byte array, from one prefix sum."""
+    """64-bit hashes of arbitrary spans of one byte array, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data))
-        self._prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self._prefix[1:])
+        self._bits, limbs, self._down = _powers(len(data))
+        value = data.astype(np.uint64) + np.uint64(1)
+        self._prefix = []
+        for limb in limbs:
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(value * limb[: len(data)], out=prefix[1:])
+            self._prefix.append(prefix)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self._prefix[end] - self._prefix[start]) * self._down[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        total = np.zeros(len(start), np.uint64)
+        for k, prefix in enumerate(self._prefix):
+            total = _mod(total + _rotated(_mod(prefix[end] - prefix[start]), self._bits * k))
+        return mix(_times(total, self._down[start]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:

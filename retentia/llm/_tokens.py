@@ -1,7 +1,9 @@
-"""Token ids of whole texts from a word-level cache: each distinct word of a task is tokenised once.
+"""Token ids of whole texts from a cache of units: each distinct unit of a task is tokenised once.
 
-The tokenizer must treat white space as a border (nothing it matches spans the
-ASCII separators), so ids of a text are the ids of its words in order.
+A unit is a piece of text that the tokenizer never looks across, so the ids of
+a text are the ids of its units in order.  Units are found by a 64-bit hash in
+a sorted array and their bytes are compared on every hit, so equal hashes of
+different units cannot exchange ids.
 """
 
 from __future__ import annotations
@@ -12,46 +14,91 @@ import numpy as np
 
 from retentia.llm import _text
 
-CACHE_WORDS = 500_000
+CACHE_UNITS = 1_000_000
+CACHE_BYTES = 64 << 20
+
+# Kinds of bytes for ``word_units``; a word with a byte of kind 0 is one unit.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[0x27, 0x7C]] = 0     # ' starts contractions, | occurs in special tokens
+
+
+def word_units(data: np.ndarray, offs: np.ndarray):
+    """(bytes, starts, ends, rows) of the units of a tokenizer that cuts words into letters, digits and other signs.
+
+    Words of printable ASCII signs other than ' and | are cut between letters,
+    single digits and runs of other signs, and lower-cased; other words stay whole.
+    """
+    start, end, row = _text.words(data, offs)
+    if not len(start):
+        return data, start, end, row
+    kind = _KIND[data]
+    odd = np.flatnonzero(kind == 0)
+    plain = np.searchsorted(odd, start) == np.searchsorted(odd, end)
+    step = np.zeros(len(data) + 1, np.int8)      # 1 inside the words that are cut
+    step[start[plain]] += 1
+    step[end[plain]] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    cut = np.zeros(len(data), bool)              # a unit starts here
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+    cut |= kind == 2
+    cut &= inside
+    cut[start] = True
+    cut_at = np.flatnonzero(cut)
+    n_cut = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(cut, out=n_cut[1:])
+    per_word = n_cut[end] - n_cut[start]
+    stop = np.append(cut_at[1:], len(data))
+    stop[np.cumsum(per_word) - 1] = end          # the last unit of a word ends with it
+    return np.where(inside, _text.LOWER[data], data), cut_at, stop, np.repeat(row, per_word)
 
 
 class WordTokens:
-    """Flat ids of the words seen so far.
+    """Flat ids of the units seen so far.
 
-    ``encode`` maps a list of words (bytes) to a list of id lists; ``split``
-    maps a chunk to (bytes, word starts, word ends, word rows).
+    ``encode`` maps a list of units (bytes) to a list of id lists, or to (flat
+    ids, ids per unit); ``split`` maps a chunk to (bytes, unit starts, unit
+    ends, unit rows).
     """
 
-    def __init__(self, encode, split=lambda data, offs: (data, *_text.words(data, offs))):
+    def __init__(self, encode, split):
         self._encode, self._split = encode, split
         self._clear()
 
     def _clear(self):
-        self._index: dict[int, int] = {}
-        self._ids = np.zeros(1 << 20, np.int32)
-        self._start = np.zeros(1 << 18, np.int64)
-        self._size = np.zeros(1 << 18, np.int64)
-        self._used = 0
-
-    def _add(self, keys, texts):
-        if len(self._index) + len(keys) > CACHE_WORDS:
-            self._clear()
-        base = len(self._index)
+        self._keys = np.zeros(0, np.uint64)      # sorted hashes
+        self._place = np.zeros(0, np.int64)      # number of the unit with each hash
+        self._ids, self._first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self._bytes, self._from = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units in order, ids per unit)."""
         lists = self._encode(texts)
+        if isinstance(lists, tuple):
+            return lists
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
-        while self._used + total > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while base + len(keys) > len(self._start):
-            self._start = np.concatenate([self._start, np.zeros_like(self._start)])
-            self._size = np.concatenate([self._size, np.zeros_like(self._size)])
-        flat = np.fromiter((i for x in lists for i in x), np.int32, total)
-        self._ids[self._used: self._used + total] = flat
-        self._start[base: base + len(keys)] = self._used + np.cumsum(sizes) - sizes
-        self._size[base: base + len(keys)] = sizes
-        self._used += total
-        for k, key in enumerate(keys):
-            self._index[key] = base + k
+        return np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum())), sizes
+
+    def _add(self, keys: np.ndarray, texts: list[bytes]):
+        """Take up units whose hashes are not held yet; ``keys`` is sorted."""
+        flat, sizes = self._encoded(texts)
+        n = len(self._first) - 1
+        self._ids = np.concatenate([self._ids, flat])
+        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(texts), np.uint8)])
+        self._from = np.concatenate([self._from, self._from[-1] + np.cumsum(lengths)])
+        at = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, at, keys)
+        self._place = np.insert(self._place, at, n + np.arange(len(keys)))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self._keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._place[at], -1)
 
     def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in order, ids per row) of a chunk."""
@@ -60,41 +107,89 @@ class WordTokens:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
         h = _text.RollingHash(data).spans(start, end)
-        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        at = np.fromiter((self._index.get(k, -1) for k in keys), np.int64, len(keys))
+        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self._keys) > CACHE_UNITS or len(self._bytes) > CACHE_BYTES:
+            self._clear()
+        at = self._find(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
             raw = data.tobytes()
-            texts = [raw[start[i]: end[i]] for i in first[new].tolist()]
-            fresh = [keys[i] for i in new.tolist()]
-            kept = len(self._index)
-            self._add(fresh, texts)
-            if len(self._index) < kept + len(fresh):   # the cache was emptied: the others are tokenised again
-                old = np.flatnonzero(at >= 0)
-                self._add([keys[i] for i in old.tolist()],
-                          [raw[start[i]: end[i]] for i in first[old].tolist()])
-            at = np.fromiter((self._index[k] for k in keys), np.int64, len(keys))
-        word = at[back]
-        sizes = self._size[word]
-        per_row = np.bincount(row, sizes, n).astype(np.int64)
-        return self._ids[_text.flat_index(self._start[word], sizes)], per_row
+            self._add(keys[new], [raw[start[i]: end[i]] for i in first[new].tolist()])
+            at = self._find(keys)
+        unit = at[back]
+        sizes = self._first[unit + 1] - self._first[unit]
+        out = self._ids[_text.flat_index(self._first[unit], sizes)]
+        wrong = self._differ(unit, data, start, end)
+        if len(wrong):                   # equal hash, other bytes: these units are tokenised for themselves
+            raw = data.tobytes()
+            own, own_sizes = self._encoded([raw[start[i]: end[i]] for i in wrong.tolist()])
+            parts = np.split(out, np.cumsum(sizes)[:-1])
+            for i, ids in zip(wrong.tolist(), np.split(own, np.cumsum(own_sizes)[:-1])):
+                parts[i] = ids
+            sizes[wrong] = own_sizes
+            out = np.concatenate(parts)
+        return out, np.bincount(row, sizes, n).astype(np.int64)
+
+    def _differ(self, unit, data, start, end) -> np.ndarray:
+        """Indices of the units whose bytes are not those of the cached unit."""
+        length = end - start
+        same = self._from[unit + 1] - self._from[unit] == length
+        ok = np.flatnonzero(same)
+        here, there = data[_text.flat_index(start[ok], length[ok])], self._bytes[_text.flat_index(self._from[unit[ok]], length[ok])]
+        if len(here) and not np.array_equal(here, there):
+            bad = np.repeat(ok, length[ok])[here != there]
+            same[bad] = False
+        return np.flatnonzero(~same)
+
+
+def joined_encoder(tok, join: int = 2000):
+    """``encode`` of a word-end BPE tokenizer, many plain units a call.
+
+    Plain units are one pre-token each, so the last id of a unit, and no other,
+    ends a word; the ids of units joined by spaces are cut there.
+    """
+    ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+    ends[[i for token, i in tok.get_vocab().items() if token.endswith("</w>")]] = True
+    encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def run(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = b" ".join(units)
+        data = np.frombuffer(text, np.uint8)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        start = np.cumsum(lengths + 1) - lengths - 1
+        odd = np.flatnonzero(_KIND[data] == 0)
+        odd = odd[data[odd] != 0x20]
+        whole = np.searchsorted(odd, start) < np.searchsorted(odd, start + lengths)
+        plain = [u for u, w in zip(units, whole.tolist()) if not w] if whole.any() else units
+        ids = encode([b" ".join(plain[k: k + join]).decode() for k in range(0, len(plain), join)])
+        flat = np.array([i for x in ids for i in x], np.int32)
+        last = np.flatnonzero(ends[flat])
+        if len(last) != len(plain):
+            raise ValueError("a unit is more than one pre-token of this tokenizer")
+        sizes = np.zeros(len(units), np.int64)
+        sizes[~whole] = np.diff(last, prepend=-1)
+        if not whole.any():
+            return flat, sizes
+        own = encode([u.decode("utf-8", "replace") for u, w in zip(units, whole.tolist()) if w])
+        sizes[whole] = [len(x) for x in own]
+        out = np.zeros(int(sizes.sum()), np.int32)
+        of_whole = np.repeat(whole, sizes)
+        out[~of_whole] = flat
+        out[of_whole] = [i for x in own for i in x]
+        return out, sizes
+
+    return run
 
 
 _LOADED: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """Cached tokens of the ``tokenizers`` file at ``path``; one per Python worker."""
+    """Cached tokens of the lower-casing word-end BPE file at ``path``; one per Python worker."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-
-        def encode(texts):
-            texts = [t.decode("utf-8", "replace") for t in texts]
-            return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _LOADED[path] = WordTokens(encode)
+        _LOADED[path] = WordTokens(joined_encoder(tok), word_units)
     return _LOADED[path]
