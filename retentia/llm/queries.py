@@ -9,10 +9,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from retentia.llm import (embedding_dedup, lm_scoring, ngram_jaccard, packing, quality_classifier, quality_rules,
-                          sentencepiece_codec, sharding, suffix_dedup, url_filters)
+from retentia.llm import (embedding_dedup, embedding_whitening, lm_scoring, ngram_jaccard, packing, quality_classifier,
+                          quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_alignment, token_files,
+                          url_filters)
+from retentia.session import scratch_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -77,10 +80,25 @@ def op10_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op11_token_alignment(spark, sf_dir):
+    aligned = token_alignment.corpus_alignment(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL, hashed=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_token_files(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), WORD_TOKENIZER, path)
+    return token_files.digests(token_files.read(spark, path))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_embedding_dedup, op4_quality_rules,
                                     op5_url_filters, op6_packing, op7_suffix_dedup, op8_lm_scoring, op9_ngram_jaccard,
-                                    op10_sharding)}
+                                    op10_sharding, op11_token_alignment, op12_token_files, op13_embedding_whitening)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
