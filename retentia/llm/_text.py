@@ -50,16 +50,16 @@ def _powers(n: int) -> tuple[int, list[np.ndarray], np.ndarray]:
     below 2^64, with 21 bits that over 2^31 bytes.
     """
     bits = 31 if n < 1 << 24 else 21
-    if not _POWERS or len(_POWERS["down"]) <= n:
-        size = 1 << max(n, CHUNK_BYTES).bit_length()
+    if _POWERS.get("bits") != bits or len(_POWERS["down"]) <= n:
+        size = max(n, CHUNK_BYTES) + 1
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             steps = np.ones(1, np.uint64)
             while len(steps) < size:
-                steps = np.concatenate([steps, _times(steps, np.uint64(pow(base, len(steps), 2**61 - 1)))])
+                more = steps[: size - len(steps)]
+                steps = np.concatenate([steps, _times(more, np.uint64(pow(base, len(steps), 2**61 - 1)))])
             _POWERS[name] = steps
-    if _POWERS.get("bits") != bits or len(_POWERS["limbs"][0]) <= n:
-        mask = np.uint64((1 << bits) - 1)
-        _POWERS["limbs"] = [(_POWERS["up"] >> np.uint64(bits * k)) & mask for k in range(-(-61 // bits))]
+        mask, up = np.uint64((1 << bits) - 1), _POWERS.pop("up")
+        _POWERS["limbs"] = [((up >> np.uint64(bits * k)) & mask).astype(np.uint32) for k in range(-(-61 // bits))]
         _POWERS["bits"] = bits
     return bits, _POWERS["limbs"], _POWERS["down"]
 
@@ -92,6 +92,30 @@ class RollingHash:
         return mix(_times(total, self._down[start]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def byte_blocks(data: np.ndarray):
+    """Function (positions, lengths) -> the next 8 bytes as one integer each, cut to the lengths (1 or more)."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    every = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+    def at(position: np.ndarray, length: np.ndarray) -> np.ndarray:
+        over = (8 - np.minimum(length, 8)).astype(np.uint64) * np.uint64(8)
+        return (every[position] << over) >> over
+
+    return at
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short spans, 8 bytes a step."""
+    block, length = byte_blocks(data), end - start
+    out = mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, k = np.flatnonzero(length > 0), 0
+    while len(at):
+        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + block(start[at] + k, length[at] - k))
+        k += 8
+        at = at[length[at] > k]
+    return out
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,8 +2,8 @@
 
 A unit is a piece of text that the tokenizer never looks across, so the ids of
 a text are the ids of its units in order.  Units are found by a 64-bit hash in
-a sorted array and their bytes are compared on every hit, so equal hashes of
-different units cannot exchange ids.
+a sorted array and their bytes are compared on every hit, so units with equal
+hashes cannot exchange ids.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import numpy as np
 
 from retentia.llm import _text
 
-CACHE_UNITS = 1_000_000
-CACHE_BYTES = 64 << 20
+CACHE_UNITS = 600_000
+CACHE_BYTES = 32 << 20
 
 # Kinds of bytes for ``word_units``; a word with a byte of kind 0 is one unit.
 _KIND = np.zeros(256, np.uint8)
@@ -25,18 +25,32 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[[0x27, 0x7C]] = 0     # ' starts contractions, | occurs in special tokens
 
 
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kind of every byte, lower-cased bytes); the letters U+00C0 to U+00FF are of kind 1."""
+    kind, low = _KIND[data], _text.LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)       # the signs for times and divided by
+    kind[lead[letter]] = kind[lead[letter] + 1] = 1
+    capital = lead[letter & (second < 0x9F)]
+    low[capital + 1] += 0x20
+    return kind, low
+
+
 def word_units(data: np.ndarray, offs: np.ndarray):
     """(bytes, starts, ends, rows) of the units of a tokenizer that cuts words into letters, digits and other signs.
 
-    Words of printable ASCII signs other than ' and | are cut between letters,
-    single digits and runs of other signs, and lower-cased; other words stay whole.
+    Words of printable ASCII signs other than ' and |, and of Latin-1 letters,
+    are cut between letters, single digits and runs of other signs, and
+    lower-cased; other words stay whole.
     """
     start, end, row = _text.words(data, offs)
     if not len(start):
         return data, start, end, row
-    kind = _KIND[data]
-    odd = np.flatnonzero(kind == 0)
-    plain = np.searchsorted(odd, start) == np.searchsorted(odd, end)
+    kind, low = _kinds(data)
+    odd = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == 0, out=odd[1:])
+    plain = odd[start] == odd[end]
     step = np.zeros(len(data) + 1, np.int8)      # 1 inside the words that are cut
     step[start[plain]] += 1
     step[end[plain]] -= 1
@@ -52,7 +66,7 @@ def word_units(data: np.ndarray, offs: np.ndarray):
     per_word = n_cut[end] - n_cut[start]
     stop = np.append(cut_at[1:], len(data))
     stop[np.cumsum(per_word) - 1] = end          # the last unit of a word ends with it
-    return np.where(inside, _text.LOWER[data], data), cut_at, stop, np.repeat(row, per_word)
+    return np.where(inside, low, data), cut_at, stop, np.repeat(row, per_word)
 
 
 class WordTokens:
@@ -106,7 +120,7 @@ class WordTokens:
         data, start, end, row = self._split(data, offs)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        h = _text.RollingHash(data).spans(start, end)
+        h = _text.span_hashes(data, start, end)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self._keys) > CACHE_UNITS or len(self._bytes) > CACHE_BYTES:
             self._clear()
@@ -132,45 +146,56 @@ class WordTokens:
 
     def _differ(self, unit, data, start, end) -> np.ndarray:
         """Indices of the units whose bytes are not those of the cached unit."""
-        length = end - start
-        same = self._from[unit + 1] - self._from[unit] == length
-        ok = np.flatnonzero(same)
-        here, there = data[_text.flat_index(start[ok], length[ok])], self._bytes[_text.flat_index(self._from[unit[ok]], length[ok])]
-        if len(here) and not np.array_equal(here, there):
-            bad = np.repeat(ok, length[ok])[here != there]
-            same[bad] = False
+        begin, length = self._from[unit], end - start
+        same = self._from[unit + 1] - begin == length
+        here, there = _text.byte_blocks(data), _text.byte_blocks(self._bytes)
+        at, k = np.flatnonzero(same), 0
+        while len(at):
+            bad = here(start[at] + k, length[at] - k) != there(begin[at] + k, length[at] - k)
+            same[at[bad]] = False
+            k += 8
+            at = at[(length[at] > k) & ~bad]
         return np.flatnonzero(~same)
 
 
 def joined_encoder(tok, join: int = 2000):
-    """``encode`` of a word-end BPE tokenizer, many plain units a call.
+    """``encode`` of a lower-casing byte-level BPE tokenizer with word ends, many plain units a call.
 
-    Plain units are one pre-token each, so the last id of a unit, and no other,
-    ends a word; the ids of units joined by spaces are cut there.
+    Plain units are lower-cased pre-tokens, so the merges alone are run on them.
+    The last id of a unit, and no other, ends a word; the ids of units joined by
+    spaces are cut there.
     """
-    ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
-    ends[[i for token, i in tok.get_vocab().items() if token.endswith("</w>")]] = True
-    encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    vocab = tok.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    merges = Tokenizer(tok.model)
+    merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]     # bytes that stand for themselves
+    hidden = [b for b in range(256) if b not in set(shown)]
+    sign = np.arange(256, dtype="<u4")
+    sign[hidden] = 0x100 + np.arange(len(hidden))
+    sign[0x20] = 0x20
+    encode = lambda t, texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def run(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        text = b" ".join(units)
-        data = np.frombuffer(text, np.uint8)
+        data = np.frombuffer(b" ".join(units), np.uint8)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         start = np.cumsum(lengths + 1) - lengths - 1
-        odd = np.flatnonzero(_KIND[data] == 0)
-        odd = odd[data[odd] != 0x20]
-        whole = np.searchsorted(odd, start) < np.searchsorted(odd, start + lengths)
-        plain = [u for u, w in zip(units, whole.tolist()) if not w] if whole.any() else units
-        ids = encode([b" ".join(plain[k: k + join]).decode() for k in range(0, len(plain), join)])
+        kind, low = _kinds(data)
+        odd = np.append(0, np.cumsum(((kind == 0) & (data != 0x20)) | (low != data)))
+        whole = odd[start + lengths] > odd[start]
+        plain = [u for u, w in zip(units, whole.tolist()) if not w]
+        joined = [np.frombuffer(b" ".join(plain[k: k + join]), np.uint8) for k in range(0, len(plain), join)]
+        ids = encode(merges, [sign[x].tobytes().decode("utf-32-le") for x in joined])
         flat = np.array([i for x in ids for i in x], np.int32)
         last = np.flatnonzero(ends[flat])
         if len(last) != len(plain):
             raise ValueError("a unit is more than one pre-token of this tokenizer")
         sizes = np.zeros(len(units), np.int64)
         sizes[~whole] = np.diff(last, prepend=-1)
-        if not whole.any():
-            return flat, sizes
-        own = encode([u.decode("utf-8", "replace") for u, w in zip(units, whole.tolist()) if w])
+        own = encode(tok, [u.decode("utf-8", "replace") for u, w in zip(units, whole.tolist()) if w])
         sizes[whole] = [len(x) for x in own]
         out = np.zeros(int(sizes.sum()), np.int32)
         of_whole = np.repeat(whole, sizes)

@@ -88,7 +88,7 @@ def op11_token_alignment(spark, sf_dir):
 def op12_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), WORD_TOKENIZER, path)
-    return token_files.digests(token_files.read(spark, path))
+    return token_files.read_digests(spark, path)
 
 
 def op13_embedding_whitening(spark, sf_dir):

@@ -40,7 +40,7 @@ from retentia.llm._tokens import word_tokens
 
 END_ID = 1
 BLOCK = 1 << 16          # ids of a block
-SEGMENT = 1 << 14        # ids between checkpoints
+SEGMENT = 1 << 13        # ids between checkpoints
 LANES = 32
 TOGETHER = 32            # blocks that are coded side by side
 SHARD_BYTES = 64 << 20   # uncompressed ids of a shard
@@ -96,24 +96,25 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
     n_segments = -(-steps // per_segment)
     bits, top = np.uint64(table.bits), np.uint64(63 - table.bits)
     x = np.full((n_blocks, LANES), _LOW)
-    words = np.zeros((n_blocks, steps * LANES), np.uint32)
-    at = np.full(n_blocks, steps * LANES, np.int64)
-    row = np.arange(n_blocks)[:, None]
+    room = steps * LANES
+    words = np.zeros(n_blocks * room, np.uint32)
+    at = np.full(n_blocks, room, np.int64)
+    base = np.arange(n_blocks) * room - 1
     states, first = np.zeros((n_segments, n_blocks, LANES), np.uint64), np.zeros((n_segments, n_blocks), np.int64)
     for t in range(steps - 1, -1, -1):
         s = lanes[:, t]
         f = table.freq_of[s]
         out = x >> top >= f                      # x >= f * 2^(63 - bits), without overflow
         rank = np.cumsum(out, 1)
-        n_out = rank[:, -1]
-        where = at[:, None] - n_out[:, None] + rank - 1
-        words[np.broadcast_to(row, out.shape)[out], where[out]] = x[out].astype(np.uint32)
-        at -= n_out
-        x = np.where(out, x >> np.uint64(32), x)
+        at -= rank[:, -1]
+        hit = np.flatnonzero(out)
+        words[(rank + (base + at)[:, None]).ravel()[hit]] = x.ravel()[hit].astype(np.uint32)
+        x = x >> (out.astype(np.uint64) << np.uint64(5))
         q = x // f
         x = (q << bits) + (x - q * f) + table.start_of[s]
         if t % per_segment == 0:
             states[t // per_segment], first[t // per_segment] = x, at
+    words = words.reshape(n_blocks, room)
     payloads = []
     for b in range(n_blocks):
         head = _HEADER.pack(_MAGIC, _VERSION, table.bits, LANES, SEGMENT, n, n_segments, steps * LANES - int(at[b]),
@@ -181,8 +182,17 @@ def decode_segments(wanted: list[tuple[Payload, int]], table: Table) -> list[np.
     return out
 
 
-def token_rows(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, seq, n, ids): the 32-bit ids of every document as bytes; seq numbers rows in input order."""
+def id_type(tokenizer_path: str, end_id: int = END_ID) -> str:
+    """Unsigned type that holds every id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab().values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def token_rows(documents: DataFrame, tokenizer_path: str, width: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, seq, n, ids): the ids of every document as bytes of type ``width``; seq numbers rows in input order."""
+    size = np.dtype(width).itemsize
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -192,9 +202,9 @@ def token_rows(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
             for lo, hi, data, offs in _text.chunks(batch.column(1)):
                 ids, per_row = tokens.ids(data, offs)
                 total = per_row + 1
-                flat = np.full(int(total.sum()), end_id, "<u4")
+                flat = np.full(int(total.sum()), end_id, width)
                 flat[_text.flat_index(np.cumsum(total) - total, per_row)] = ids
-                ends = np.append(0, np.cumsum(total) * 4)
+                ends = np.append(0, np.cumsum(total) * size)
                 rows = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)),
                                                                           pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
@@ -205,17 +215,12 @@ def token_rows(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID)
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, seq long, n long, ids binary")
 
 
-def _flat_ids(column) -> np.ndarray:
-    data, _ = _text.text_buffers(column)
-    return np.frombuffer(data.tobytes(), "<u4")
-
-
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, width: str) -> DataFrame:
     """(id, n): how often each id occurs; a task hands on one row per id."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = _flat_ids(batch.column(0))
+            ids = np.frombuffer(_text.text_buffers(batch.column(0))[0].tobytes(), width)
             if len(ids):
                 size = max(len(total), int(ids.max()) + 1)
                 total = np.pad(total, (0, size - len(total))) + np.bincount(ids, minlength=size)
@@ -238,7 +243,7 @@ def _pieces(doc_ids: list, size: np.ndarray, begin: np.ndarray, lo: int, hi: int
     return doc_ids[a:b], size[a:b].tolist(), (start - begin[a:b]).tolist(), (end - start).tolist()
 
 
-def blocks(tokens: DataFrame, table: Table, n_shards: int) -> DataFrame:
+def blocks(tokens: DataFrame, table: Table, n_shards: int, width: str) -> DataFrame:
     """The rows of ``ids``: tokens sorted by (doc_id, seq) over ``n_shards`` shards and coded."""
     kind = tokens.schema["doc_id"].dataType
     schema = _block_schema(kind.simpleString())
@@ -285,10 +290,10 @@ def blocks(tokens: DataFrame, table: Table, n_shards: int) -> DataFrame:
                 names = ["shard", "block", "first", "n_ids", "doc_id", "doc_tokens", "offset", "length", "payload"]
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()),
                          pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            for lo, hi, data, _ in _text.chunks(batch.column(2), 4 * BLOCK * TOGETHER):
+            for lo, hi, data, _ in _text.chunks(batch.column(2), BLOCK * TOGETHER):
                 doc_ids += batch.column(0).slice(lo, hi - lo).to_pylist()
                 sizes += batch.column(1).slice(lo, hi - lo).to_pylist()
-                parts.append(np.frombuffer(data.tobytes(), "<u4"))
+                parts.append(np.frombuffer(data.tobytes(), width).astype(np.uint32))
                 held += len(parts[-1])
                 if held >= BLOCK * TOGETHER:
                     rows = flush(False)
@@ -304,24 +309,26 @@ def blocks(tokens: DataFrame, table: Table, n_shards: int) -> DataFrame:
 def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
     """Write the ids of ``documents`` below ``path`` in ascending order of doc_id."""
     spark = documents.sparkSession
-    tokens = stored(token_rows(documents, tokenizer_path, end_id), "token-rows")
-    counts = id_counts(tokens).toArrow()                   # at most one row per id of the vocabulary
+    width = id_type(tokenizer_path, end_id)
+    tokens = stored(token_rows(documents, tokenizer_path, width, end_id), "token-rows")
+    counts = id_counts(tokens, width).toArrow()                   # at most one row per id of the vocabulary
     ids, n = counts["id"].to_numpy(), counts["n"].to_numpy()
     table = Table.scaled(ids, n)
     n_shards = max(1, -(-int(n.sum()) * 4 // SHARD_BYTES))
     rows = [(int(i), int(f)) for i, f in zip(table.ids, table.freq)]
     spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    blocks(tokens, table, n_shards).write.option("compression", "none").parquet(f"{path}/ids")
+    blocks(tokens, table, n_shards, width).write.option("compression", "none").parquet(f"{path}/ids")
     per_shard = spark.read.parquet(f"{path}/ids").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)     # one row per SHARD_BYTES of ids
     (per_shard.select("shard", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
      .write.parquet(f"{path}/shards"))
 
 
-def _decoded(block_rows: DataFrame, table: Table, kind: str, whole: bool) -> DataFrame:
+def _decoded(block_rows: DataFrame, table: Table, kind: str, whole: bool, hashed: bool = False) -> DataFrame:
     """(doc_id, start, offset, doc_tokens, ids) of the pieces in blocks: whole documents, or only parts of documents.
 
-    For parts only the segments that hold them are decoded.
+    For parts only the segments that hold them are decoded.  With ``hashed`` the
+    crc32 of the ids (as 32-bit numbers) stands in their place.
     """
     shared = block_rows.sparkSession.sparkContext.broadcast((table.ids, table.freq))
 
@@ -354,28 +361,48 @@ def _decoded(block_rows: DataFrame, table: Table, kind: str, whole: bool) -> Dat
                                     r["doc_tokens"][i], flat[a - k0 * payload.segment: b - k0 * payload.segment]))
                 if out:
                     doc_id, start, offset, total, lists = zip(*out)
-                    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                    if hashed:
+                        ids = pa.array([zlib.crc32(x) for x in lists], pa.int64())
+                    else:
+                        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                        ids = _text.int_lists(np.concatenate(lists).astype(np.int32), sizes, pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc_id, batch.schema.field("doc_id").type.value_type), pa.array(start, pa.int64()),
-                         pa.array(offset, pa.int64()), pa.array(total, pa.int64()),
-                         _text.int_lists(np.concatenate(lists).astype(np.int32), sizes, pa.int32())],
+                         pa.array(offset, pa.int64()), pa.array(total, pa.int64()), ids],
                         ["doc_id", "start", "offset", "doc_tokens", "ids"])
 
-    return block_rows.mapInArrow(run, f"doc_id {kind}, start long, offset long, doc_tokens long, ids array<int>")
+    return block_rows.mapInArrow(run, f"doc_id {kind}, start long, offset long, doc_tokens long, ids {'long' if hashed else 'array<int>'}")
 
 
-def read(spark, path: str) -> DataFrame:
-    """(doc_id, start, ids array<int>) of all documents of the files at ``path``; start: ids of the documents before."""
+def _opened(spark, path: str):
+    """(frequency table, block rows with the ids before their shard, type of doc_id)."""
     table = spark.read.parquet(f"{path}/table").toArrow()      # at most one row per id of the vocabulary
-    table = Table(table["id"].to_numpy(), table["freq"].to_numpy())
     stream = spark.read.parquet(f"{path}/ids")
-    kind = stream.schema["doc_id"].dataType.elementType.simpleString()
     placed = stream.join(spark.read.parquet(f"{path}/shards").select("shard", "start"), "shard")
+    return (Table(table["id"].to_numpy(), table["freq"].to_numpy()), placed,
+            stream.schema["doc_id"].dataType.elementType.simpleString())
+
+
+def _joined_parts(placed: DataFrame, table: Table, kind: str) -> DataFrame:
+    """(doc_id, start, ids) of the documents that lie in several blocks."""
+    return (_decoded(placed, table, kind, False).groupBy("start")
+            .agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+            .select("doc_id", "start", F.flatten("p.ids").alias("ids")))
+
+
+def read(spark, path: str) -> DataFrame:
+    """(doc_id, start, ids array<int>) of all documents of the files at ``path``; start: ids of the documents before."""
+    table, placed, kind = _opened(spark, path)
     whole = _decoded(placed, table, kind, True).select("doc_id", "start", "ids")
-    parts = (_decoded(placed, table, kind, False).groupBy("start")
-             .agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
-             .select("doc_id", "start", F.flatten("p.ids").alias("ids")))
-    return whole.union(parts)
+    return whole.union(_joined_parts(placed, table, kind))
+
+
+def read_digests(spark, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of all documents; ids leave the decoding task for cut documents only."""
+    table, placed, kind = _opened(spark, path)
+    whole = _decoded(placed, table, kind, True, hashed=True)
+    return (whole.select("doc_id", "start", F.col("doc_tokens").alias("n_tokens"), F.col("ids").alias("ids_crc32"))
+            .union(digests(_joined_parts(placed, table, kind))))
 
 
 def digests(documents: DataFrame) -> DataFrame:
