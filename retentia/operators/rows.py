@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import event_date, flag_page, state_of
+from retentia.operators.skew import salted_join
 from retentia.schema import DEFAULT_SPEC, FeatureSpec
 
 
@@ -33,18 +34,17 @@ def mark_last_rows(events: DataFrame, spec: FeatureSpec = DEFAULT_SPEC,
     """Row form of "value on the user's last event, NULL elsewhere".
 
     Every row keeps its columns and gets ``last_<c>`` for each named column.
-    The per-user last ts is joined back on (user, ts) rather than on the user
-    alone, so a user with a large share of all rows is spread over many join
-    partitions instead of landing in one.  Rows of one user that share the last
-    ts do meet in one task; a bulk import that stamps all of a user's rows with
-    one ts needs a finer ts or ``user_rows``, which reduces before it joins.
+    The per-user last ts is joined back on (user, ts), each such key salted by
+    the row's columns and the partition it was read in: a user with a large
+    share of all rows is spread over many tasks, also if a bulk import stamped
+    all of them with one ts or they are equal in every column.
     """
-    lasts = user_extremes(events, spec).select(
-        F.col(spec.user).alias("_u"), F.col("last_ts").alias("_t"), F.lit(True).alias("_is_last"))
-    j = events.join(lasts, (F.col(spec.user) == F.col("_u")) & (F.col(spec.ts) == F.col("_t")), "left")
+    lasts = user_extremes(events, spec).select(F.col(spec.user).alias("_u"), F.col("last_ts").alias("_t"),
+                                               F.lit(True).alias("_is_last"))
+    rows = events.withColumns({"_u": F.col(spec.user), "_t": F.col(spec.ts)})
+    j = salted_join(rows, lasts, ["_u", "_t"], (F.spark_partition_id(), *events.columns), "left")
     hit = F.coalesce(F.col("_is_last"), F.lit(False))
-    out = j.withColumns({f"last_{c}": F.when(hit, F.col(c)) for c in columns})
-    return out.drop("_u", "_t", "_is_last")
+    return j.select(*events.columns, *[F.when(hit, F.col(c)).alias(f"last_{c}") for c in columns])
 
 
 def drop_null_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:

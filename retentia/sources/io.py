@@ -58,3 +58,18 @@ def request_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     data = [tuple(r.get(c) for c in cols) for r in rows]
     df = spark.createDataFrame(data, FEATURES)
     return df.withColumn("last_level", F.lower("last_level"))
+
+
+def request_rows(table: DataFrame) -> DataFrame:
+    """Scoring requests in any table, as rows of the request schema.
+
+    Columns are matched by name in any case; one that is missing is NULL, others
+    are dropped.  Values typed as text are cast, and one that is no number is
+    NULL, so that the scorer leaves that row without an answer; level is
+    lower-cased to match the training data.
+    """
+    given = {c.lower(): c for c in table.columns}
+    rows = table.select(*[
+        (F.col(f"`{given[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in given else F.lit(None).cast(f.dataType))
+        .alias(f.name) for f in FEATURES.fields])
+    return rows.withColumn("last_level", F.lower("last_level"))

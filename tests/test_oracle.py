@@ -6,25 +6,32 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tools.check_oracle import TABLES, digest, type_diffs
 
 
+# The twins of the logistic regression hold where its optimum has zero weights: not on the few users of the small tables.
+ON_MID = {"lr_score", "lr_optimality"}
+
+
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
-    for t in TABLES:
-        p = f"{SF_SMALL}/{t}.parquet"
-        if os.path.exists(p):
-            c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-    return c
+    made = {}
+    for sf in (SF_SMALL, SF_MID):
+        made[sf] = duckdb.connect()
+        for t in TABLES:
+            p = f"{sf}/{t}.parquet"
+            if os.path.exists(p):
+                made[sf].execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return made
 
 
 @pytest.mark.parametrize("name", sorted(se.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    df = se.queries()[name](spark, SF_SMALL)
+    sf = SF_MID if name in ON_MID else SF_SMALL
+    df = se.queries()[name](spark, sf)
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(se.oracle_sql()[name])
+    res = con[sf].execute(se.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
