@@ -23,6 +23,8 @@ from retentia.llm._columns import fresh
 from retentia.llm._store import stored
 from retentia.llm.queries import WORD_TOKENIZER, table
 
+#: Bytes of a repeated passage: about forty words, so that one of over fifty is found wherever it starts.
+PASSAGE = 200
 
 #: Columns that the two filtering operators add.
 OUTPUTS = ("score", "predicted", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -54,8 +56,8 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def repeated_passages(spark, docs, sf_dir):
-    """The documents without passages that also occur elsewhere."""
-    return suffix_dedup.clean(docs)
+    """The documents without passages of ``PASSAGE`` bytes that also occur elsewhere."""
+    return suffix_dedup.clean(docs, PASSAGE)
 
 
 def pack(spark, docs, sf_dir):

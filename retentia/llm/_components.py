@@ -22,7 +22,7 @@ def _with_min(edges: DataFrame) -> DataFrame:
     least = (edges.groupBy("a").agg(F.min("b").alias("m"))
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["a", "salt"]).select("a", "b", "m")
+    return salted.join(least.hint("merge"), ["a", "salt"]).select("a", "b", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import threading
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.session import scratch_path
@@ -13,9 +16,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made().append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+_LOCAL = threading.local()
+
+
+def _made() -> list[str]:
+    """Paths of the tables stored by this thread and not released yet."""
+    if not hasattr(_LOCAL, "made"):
+        _LOCAL.made = []
+    return _LOCAL.made
+
+
+def tidy(function):
+    """An operator whose stored tables are deleted when it returns, but for those that its result still reads."""
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        mark = len(_made())
+        out = function(*args, **kwargs)
+        needed = [f for df in (out if isinstance(out, tuple) else (out,)) if isinstance(df, DataFrame)
+                  for f in df.inputFiles()]
+        kept = []
+        for path in _made()[mark:]:
+            name = path.rsplit("/", 1)[-1]           # unique: it ends with a random id
+            if any(f"/{name}/" in f for f in needed):
+                kept.append(path)
+            else:
+                spark = SparkSession.active()
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made()[mark:] = kept
+        return out
+
+    return run
+
+
 def shuffle_width(spark) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm._store import stored
+from retentia.llm._store import stored, tidy
 
 SCALE = 256
 COMPONENTS = 4
@@ -278,6 +278,7 @@ def fit(numbers: DataFrame, n_components: int = COMPONENTS) -> Whitener | None:
     return model
 
 
+@tidy
 def whiten(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding",
            n_components: int = COMPONENTS) -> DataFrame:
     """One row per usable vector and component: key, component, n, deviation, whitened, explained, identity_error."""

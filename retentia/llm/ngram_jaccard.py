@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from retentia.llm import _text
 from retentia.llm._columns import add_columns, fresh
 from retentia.llm._components import components
-from retentia.llm._store import salted_join, shuffle_width, stored
+from retentia.llm._store import salted_join, shuffle_width, stored, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -457,7 +457,7 @@ def _tile_pairs(tiled: DataFrame, partners: DataFrame, n_groups: int) -> DataFra
 
     Column task: blocks of one tile share groups, a pair of tiles of a large block is a group of its own.
     """
-    work = tiled.join(partners, ["block", "tile"]).withColumns({
+    work = tiled.join(partners.hint("merge"), ["block", "tile"]).withColumns({
         "tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})
     return work.withColumn("task", F.when(F.col("n_tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(n_groups))).otherwise(
         F.xxhash64("block", "tile_a", "tile_b")))
@@ -544,11 +544,11 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     overlap = F.ceil(F.col("size") * PERCENT / 100)
     need = F.greatest(F.lit(1), F.floor(overlap / 8))
     shared = shared_counts(docs.select("text"), _sets_of_texts, _eighth, n)
-    wanted = stored(sets.join(shared, "set_key").where(F.col("n") >= need).select("set_key", "at_doc"), "wanted")
+    wanted = stored(sets.join(shared.hint("merge"), "set_key").where(F.col("n") >= need).select("set_key", "at_doc"), "wanted")
     texts = stored(full_sets(docs, wanted), "full-sets")
     # the same once more among these, with all their shingles
     shared = shared_counts(texts.select("set_key", "shingles"), _sets_of_sets, lambda size: size, n)
-    mutual = (stored(shared, "mutual").join(texts.select("set_key", F.col("n_shingles").alias("size")), "set_key")
+    mutual = (stored(shared, "mutual").join(texts.select("set_key", F.col("n_shingles").alias("size")).hint("merge"), "set_key")
               .where(F.col("n") >= overlap).select("set_key").distinct())
     texts = stored(texts.join(stored(mutual, "candidates").hint("merge"), "set_key").dropDuplicates(["set_key"]),
                    "candidate-sets")
@@ -556,7 +556,7 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     in_block = stored(blocks(texts, ranks, n).select(F.col("vertex").alias("set_key"), F.col("component").alias("block")),
                       "in-block")
     sizes = in_block.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("n_tiles"))
-    tiled = salted_join(in_block, sizes, "block", ["set_key"], "inner").withColumn(
+    tiled = salted_join(in_block, sizes.hint("merge"), "block", ["set_key"], "inner").withColumn(
         "tile", F.pmod("set_key", F.col("n_tiles")).cast("int"))
     each = sizes.select("block", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("t"))
     own = each.select("block", F.col("t").alias("tile"), F.col("t").alias("other"), F.lit(0).alias("side"))
@@ -575,7 +575,7 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
 
 def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: int, n: int) -> DataFrame:
     """Links between sets of a large block of which one at least is outside the block's main component."""
-    member = large.join(linked, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    member = large.join(linked.hint("merge"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     member = stored(member, "members")
     per = member.groupBy("block", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("block").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
@@ -583,7 +583,7 @@ def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: i
                        F.ceil((F.col("all") - F.col("m.n")) / tile).cast("int").alias("n_out")).where("n_out > 0")
     # tiles 0 .. n_out-1 hold the others, n_out .. n_out+n_in-1 the main component
     is_out = F.col("component") != F.col("main")
-    tiled = salted_join(member, main, "block", ["set_key"], "inner").withColumn(
+    tiled = salted_join(member, main.hint("merge"), "block", ["set_key"], "inner").withColumn(
         "tile", F.when(is_out, F.pmod("set_key", F.col("n_out"))).otherwise(
             F.pmod("set_key", F.col("n_in")) + F.col("n_out")).cast("int"))
     tiled = tiled.select("set_key", "block", "component", "tile", F.lit(2).alias("n_tiles"))
@@ -600,30 +600,32 @@ def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: i
 
     signatures = texts.select("set_key", "n_shingles", "shingles").mapInArrow(
         run, "set_key long, n_shingles long, bits binary")
-    work = _tile_pairs(tiled.join(signatures, "set_key"), sides, 4 * n)
+    work = _tile_pairs(tiled.join(signatures.hint("merge"), "set_key"), sides, 4 * n)
     pairs = (work.select("task", "block", "tile_a", "tile_b", "side", "set_key", "component", "n_shingles", "bits")
              .groupBy("task").applyInPandas(_pairs_task, "a long, b long, task long"))
     return _verified(stored(pairs, "pairs"), texts)
 
 
+@tidy
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links), set_key, component."""
     light, linked = join(documents)
     least = (light.where("set_key is not null").groupBy("set_key")
              .agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     # a set that one document has and that links with nothing needs no lookup
-    named = (least.join(linked, "set_key", "left").where(F.col("component").isNotNull() | (F.col("n") > 1))
+    named = (least.join(linked.hint("merge"), "set_key", "left").where(F.col("component").isNotNull() | (F.col("n") > 1))
              .withColumn("component", F.coalesce("component", "set_key")))
     named = stored(named.drop("n"), "named-sets")
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_set = stored(salted_join(named, top, "component", ["set_key"], "inner")
+    per_set = stored(salted_join(named, top.hint("merge"), "component", ["set_key"], "inner")
                      .select("set_key", "component_id", "component"), "set-ids")
-    out = salted_join(light, per_set, "set_key", ["doc_id"])
+    out = salted_join(light, per_set.hint("merge"), "set_key", ["doc_id"])
     return out.select("doc_id", "n_shingles",
                       F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
                       .alias("component_id"), "set_key", F.coalesce("component", "set_key").alias("component"))
 
 
+@tidy
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents of which one row per component stays: its least doc_id; documents without words all stay.
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from retentia.llm import _ngrams, _text
 from retentia.llm._columns import add_columns, fresh
-from retentia.llm._store import stored
+from retentia.llm._store import stored, tidy
 
 ORDER = 5
 MOST = 4_000_000
@@ -269,6 +269,7 @@ def judge(annotated: DataFrame, bands: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.coalesce(inside, F.lit(False))).drop(lang, low, high, salt, row_salt)
 
 
+@tidy
 def apply_rules(documents: DataFrame, order: int = ORDER, most: int = MOST) -> DataFrame:
     """``documents`` (with text, lang, doc_id) plus base columns, log_ppl and kept."""
     annotated = stored(annotate(documents, fit(documents, order, most), order), "rules")

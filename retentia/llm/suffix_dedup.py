@@ -1,14 +1,17 @@
-"""Suffix-array deduplication: bytes covered by a string of ``LENGTH`` bytes that also starts elsewhere go.
+"""Suffix-array deduplication: bytes covered by a string of a given length that also starts elsewhere go.
+
+The length is a parameter (``LENGTH`` bytes unless told otherwise); below,
+WIDE is the number of window starts around an anchor.
 
 Sorting every suffix of a corpus would move it many times over, so only the
 suffixes that can decide are sorted:
 
 1. Equal texts are one text with a number of copies.
-2. Anchors: in every window of LENGTH bytes the least-hashed GRAM-byte string
+2. Anchors: in every window the least-hashed string of a fraction of its length
    (leftmost if equal).  Equal windows have their anchor at the same place, so
    each repeated window lies around an anchor whose string repeats.
-3. For each repeated anchor a task takes the suffix from the anchor (LENGTH
-   bytes) and the bytes before it, sorts its suffixes and sends them as
+3. For each repeated anchor a task takes the suffix from the anchor (as long
+   as a window) and the bytes before it, sorts its suffixes and sends them as
    front-coded runs (common prefix with the one before, rest) to the partition
    of their first bytes.  Equal suffixes of a run are one entry.
 4. A partition merges its runs with a loser tree that keeps the common prefix
@@ -23,9 +26,11 @@ the more occurrences the smaller; a block is keyed by the bytes that all its
 windows share, so a passage with a huge number of copies is spread over
 partitions and its equal suffixes are merged before they are sent.
 
-Defined results: a null text is empty; texts shorter than LENGTH keep all;
-repeated rows and equal texts lose all bytes if they have LENGTH or more;
-matches never cross documents; an empty table gives no rows; other columns
+Defined results: a null text is empty; texts shorter than a window keep all;
+repeated rows and equal texts lose all bytes if they are as long or longer;
+matches never cross documents; a very long text is read by one task, 8 MB of
+it at a time (some tens of bytes of memory a byte of the text for its hashes);
+an empty table gives no rows; other columns
 pass through ``clean``, and cannot clash.
 """
 
@@ -41,36 +46,46 @@ from pyspark.sql import functions as F
 
 from retentia.llm import _text
 from retentia.llm._columns import fresh
-from retentia.llm._store import SALTS, shuffle_width, stored
+from retentia.llm._store import SALTS, shuffle_width, stored, tidy
 
 LENGTH = 400
-GRAM = 64
-WIDE = LENGTH - GRAM + 1        # window starts around an anchor
+GRAM = 64                       # longest anchor string
 PER_BLOCK = 256                 # occurrences of an anchor string that one block handles whole
 _PLACE = 24                     # bits for the place in a segment
 _SEGMENT = 1 << 23
 
 
-def anchors_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gram_of(length: int) -> int:
+    """Length of the anchor strings of windows of ``length`` bytes."""
+    return min(GRAM, max(1, length // 4))
+
+
+def wide_of(length: int) -> int:
+    """Window starts around an anchor."""
+    return length - gram_of(length) + 1
+
+
+def anchors_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash of the anchor string) of the anchors of a chunk, in order."""
-    if len(data) < LENGTH:
+    if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    gram, wide = gram_of(length), wide_of(length)
     hashes = _text.RollingHash(data)
     places = []
-    for lo in range(0, len(data) - LENGTH + 1, _SEGMENT):
-        hi = min(lo + _SEGMENT, len(data) - LENGTH + 1)          # window starts lo .. hi-1
-        at = np.arange(lo, hi + WIDE - 1)
-        least = (hashes.spans(at, at + GRAM) >> np.uint64(_PLACE) << np.uint64(_PLACE)) | (at - lo).astype(np.uint64)
+    for lo in range(0, len(data) - length + 1, _SEGMENT):
+        hi = min(lo + _SEGMENT, len(data) - length + 1)          # window starts lo .. hi-1
+        at = np.arange(lo, hi + wide - 1)
+        least = (hashes.spans(at, at + gram) >> np.uint64(_PLACE) << np.uint64(_PLACE)) | (at - lo).astype(np.uint64)
         span = 1
-        while span * 2 <= WIDE:
+        while span * 2 <= wide:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
-        least = np.minimum(least[: hi - lo], least[WIDE - span: WIDE - span + hi - lo])
+        least = np.minimum(least[: hi - lo], least[wide - span: wide - span + hi - lo])
         start = np.arange(lo, hi)
-        whole = start + LENGTH <= offs[_text.rows_of(offs, start) + 1]
+        whole = start + length <= offs[_text.rows_of(offs, start) + 1]
         places.append(np.unique(least[whole] & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + lo)
     place = np.unique(np.concatenate(places))
-    return place, hashes.spans(place, place + GRAM)
+    return place, hashes.spans(place, place + gram)
 
 
 def distinct_texts(documents: DataFrame) -> DataFrame:
@@ -81,12 +96,12 @@ def distinct_texts(documents: DataFrame) -> DataFrame:
                     F.xxhash64(F.lit(1), F.col("text")).alias("g"), "copies", "text"))
 
 
-def anchors(texts: DataFrame) -> DataFrame:
+def anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, place, gram): places count bytes from the start of the text."""
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in _text.chunks(batch.column(1)):
-                place, gram = anchors_of(data, offs)
+                place, gram = anchors_of(data, offs, length)
                 row = _text.rows_of(offs, place)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(place - offs[row]),
@@ -95,22 +110,23 @@ def anchors(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, place long, gram long")
 
 
-def block_size(count: int) -> int:
+def block_size(count: int, wide: int) -> int:
     """Window starts per block for an anchor string with ``count`` occurrences."""
-    blocks = min(WIDE, max(1, -(-count // PER_BLOCK)))
-    return -(-WIDE // blocks)
+    blocks = min(wide, max(1, -(-count // PER_BLOCK)))
+    return -(-wide // blocks)
 
 
-def entries_of(raw: bytes, place: int, size: int):
+def entries_of(raw: bytes, place: int, size: int, length: int = LENGTH):
     """(block size, suffix, bytes before it reversed, place) for each block of window starts of an anchor."""
-    for first in range(0, WIDE, size):
+    wide = wide_of(length)
+    for first in range(0, wide, size):
         here = place - first
         if here < 0:
             return
-        width = min(size, WIDE - first)
-        suffix = raw[here: here + LENGTH]
+        width = min(size, wide - first)
+        suffix = raw[here: here + length]
         before = raw[max(0, here - width + 1): here]
-        if len(suffix) + len(before) >= LENGTH:
+        if len(suffix) + len(before) >= length:
             yield width, suffix, before[::-1], here
 
 
@@ -218,7 +234,7 @@ def merge_runs(blobs: list[bytes]):
             node //= 2
 
 
-def _reach(group: list, width: int) -> list:
+def _reach(group: list, width: int, length: int) -> list:
     """For each entry of a group [(common prefix with the one before, suffix length, before, members)]:
 
     (bytes before, bytes after) of the union of its repeated windows, or None.
@@ -229,15 +245,15 @@ def _reach(group: list, width: int) -> list:
 
     def whole(k):
         _, n, before, _ = group[k]
-        return min(len(before), width - 1), min(n, LENGTH)
+        return min(len(before), width - 1), min(n, length)
 
     if m * m <= 40 * width:
         for i in range(m):
-            least = LENGTH
+            least = length
             for j in range(i + 1, m):
                 least = min(least, group[j][0])
                 back = common(group[i][2], group[j][2])
-                if least + back >= LENGTH:
+                if least + back >= length:
                     for k in (i, j):
                         left[k], right[k] = max(left[k], back), max(right[k], least)
     else:
@@ -249,13 +265,13 @@ def _reach(group: list, width: int) -> list:
         blcp = np.array([0] + [common(group[order[k - 1]][2], group[order[k]][2]) for k in range(1, m)])
         far, near = np.full(m, -1), np.full(m, -1)
         for t in range(width):
-            ok = np.flatnonzero((sizes >= LENGTH - t) & (backs >= t))
-            key = np.cumsum(lcp < LENGTH - t)[ok] * (m + 1) + np.cumsum(blcp < t)[place][ok]
+            ok = np.flatnonzero((sizes >= length - t) & (backs >= t))
+            key = np.cumsum(lcp < length - t)[ok] * (m + 1) + np.cumsum(blcp < t)[place][ok]
             _, of, count = np.unique(key, return_inverse=True, return_counts=True)
             hit = ok[count[of] > 1]
             far[hit] = t
             near[hit] = np.where(near[hit] < 0, t, near[hit])
-        left, right = far.tolist(), np.where(near >= 0, LENGTH - near, -1).tolist()
+        left, right = far.tolist(), np.where(near >= 0, length - near, -1).tolist()
     out = []
     for k in range(m):
         if len(group[k][3]) > 1:
@@ -265,13 +281,13 @@ def _reach(group: list, width: int) -> list:
     return out
 
 
-def merged_spans(blobs: list[bytes]):
+def merged_spans(blobs: list[bytes], length: int = LENGTH):
     """(id, start, end) spans covered by repeated windows, from the runs of one partition."""
     group, width = [], 0
 
     def close():
         if len(group) > 1 or (group and len(group[0][3]) > 1):
-            for reach, (_, _, _, members) in zip(_reach(group, width), group):
+            for reach, (_, _, _, members) in zip(_reach(group, width, length), group):
                 if reach:
                     for text, place in members:
                         yield text, place - reach[0], place + reach[1]
@@ -281,7 +297,7 @@ def merged_spans(blobs: list[bytes]):
     for lcp, key, before, members in merge_runs(blobs):
         lcp = max(0, lcp - 2)
         w = int.from_bytes(key[:2], "big")
-        if group and (w != width or lcp < LENGTH - w + 1):
+        if group and (w != width or lcp < length - w + 1):
             yield from close()
             group, fresh = [], []
         width = w
@@ -308,7 +324,7 @@ def _find(entries: list, before: bytes):
     return table[2].get(before)
 
 
-def runs(texts: DataFrame, wanted: DataFrame, n_parts: int) -> DataFrame:
+def runs(texts: DataFrame, wanted: DataFrame, n_parts: int, length: int = LENGTH) -> DataFrame:
     """(part, run): the front-coded runs of the wanted anchors (id, places, counts)."""
     def run(batches):
         for batch in batches:
@@ -318,39 +334,39 @@ def runs(texts: DataFrame, wanted: DataFrame, n_parts: int) -> DataFrame:
                                                  batch.column(3).to_pylist()):
                 raw = raw.as_py()
                 for place, count in zip(places, counts):
-                    for width, suffix, before, here in entries_of(raw, place, block_size(count)):
+                    for width, suffix, before, here in entries_of(raw, place, block_size(count, wide_of(length)), length):
                         key = width.to_bytes(2, "big") + suffix
                         entries.setdefault((key, before), set()).add((text, here))
             parts: dict = {}
             for (key, before), members in sorted(entries.items(), key=lambda e: e[0]):
                 width = int.from_bytes(key[:2], "big")
-                core = hashlib.blake2b(key[: 2 + LENGTH - width + 1], digest_size=8).digest()
+                core = hashlib.blake2b(key[: 2 + length - width + 1], digest_size=8).digest()
                 parts.setdefault(int.from_bytes(core, "big") % n_parts, []).append((key, before, sorted(members)))
             if parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(parts), pa.int32()), pa.array([Run.encode(e) for e in parts.values()], pa.binary())],
                     ["part", "run"])
 
-    return (texts.select("id", "text").join(wanted, "id").select("id", "text", "places", "counts")
+    return (texts.select("id", "text").join(wanted.hint("merge"), "id")       # the same plan at every size.select("id", "text", "places", "counts")
             .mapInArrow(run, "part int, run binary"))
 
 
-def spans(texts: DataFrame) -> DataFrame:
+def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, starts, ends): spans of each text that repeated windows cover; they may overlap."""
     n = shuffle_width(texts.sparkSession)
-    found = stored(anchors(texts), "anchors")
+    found = stored(anchors(texts, length), "anchors")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     many = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     wanted = (found.withColumn("salt", F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).cast("int"))
-              .join(many, ["gram", "salt"]).groupBy("id")
+              .join(many.hint("merge"), ["gram", "salt"]).groupBy("id")
               .agg(F.collect_list(F.struct("place", "n")).alias("a"))     # anchors of one text
               .select("id", F.col("a.place").alias("places"), F.col("a.n").alias("counts")))
 
     def merge(key, pdf):
-        rows = list(merged_spans(list(pdf["run"])))
+        rows = list(merged_spans(list(pdf["run"]), length))
         return pd.DataFrame(rows, columns=["id", "start", "end"]).astype("int64")
 
-    return (runs(texts, wanted, n).groupBy("part").applyInPandas(merge, "id long, start long, end long")
+    return (runs(texts, wanted, n, length).groupBy("part").applyInPandas(merge, "id long, start long, end long")
             .groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
             .select("id", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")))
 
@@ -371,7 +387,7 @@ def _cut(raw: bytes, starts, ends) -> tuple[bytes, int]:
     return b"".join(kept), n
 
 
-def deduplicate(documents: DataFrame, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+def deduplicate(documents: DataFrame, with_text: bool = False, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(distinct texts, results): results has h, g, n_bytes, n_removed, n_spans, kept_sha256[, kept_text] per text."""
     texts = stored(distinct_texts(documents), "texts")
 
@@ -382,7 +398,7 @@ def deduplicate(documents: DataFrame, with_text: bool = False) -> tuple[DataFram
             for copies, raw, starts, ends in zip(batch.column(2).to_pylist(), raws, batch.column(4).to_pylist(),
                                                  batch.column(5).to_pylist()):
                 raw = raw.as_py()
-                if copies > 1 and len(raw) >= LENGTH:
+                if copies > 1 and len(raw) >= length:
                     starts, ends = [0], [len(raw)]
                 kept, n = _cut(raw, starts or [], ends or [])
                 row = (len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest())
@@ -395,7 +411,7 @@ def deduplicate(documents: DataFrame, with_text: bool = False) -> tuple[DataFram
     schema = "h long, g long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_text string" * with_text
     names = [f.split()[0] for f in schema.split(", ")]
-    results = (texts.join(stored(spans(texts), "spans"), "id", "left")
+    results = (texts.join(stored(spans(texts, length), "spans").hint("merge"), "id", "left")
                .select("h", "g", "copies", "text", "starts", "ends").mapInArrow(run, schema))
     return texts, results
 
@@ -409,19 +425,21 @@ def _joined(documents: DataFrame, results: DataFrame, salts: int = SALTS) -> Dat
             .withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     rows = documents.withColumns({dh: F.xxhash64(text), dg: F.xxhash64(F.lit(1), text),
                                   dsalt: F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")}).drop("text")
-    return rows.join(many, (F.col(dh) == F.col(h)) & (F.col(dg) == F.col(g)) & (F.col(dsalt) == F.col(salt))
+    return rows.join(many.hint("merge"), (F.col(dh) == F.col(h)) & (F.col(dg) == F.col(g)) & (F.col(dsalt) == F.col(salt))
                      ).drop(h, g, salt, dh, dg, dsalt)
 
 
-def report(documents: DataFrame) -> DataFrame:
+@tidy
+def report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    _, results = deduplicate(documents)
+    _, results = deduplicate(documents, length=length)
     return _joined(documents.select("doc_id", "text"), stored(results, "cut-texts"))
 
 
-def clean(documents: DataFrame) -> DataFrame:
+@tidy
+def clean(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with the remaining text; bytes of a character that was cut in two are left out too."""
-    _, results = deduplicate(documents, with_text=True)
+    _, results = deduplicate(documents, True, length)
     (name,) = fresh(documents.columns, "kept_text")
     kept = stored(results.select("h", "g", F.col("kept_text").alias(name)), "cut-texts")
     # texts are not replicated for salts; Spark splits a text that very many rows share on the side of the rows

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from retentia.llm import _text
 from retentia.llm._columns import add_columns
-from retentia.llm._store import stored
+from retentia.llm._store import stored, tidy
 from retentia.llm._tokens import WordTokens
 
 CHUNK = 2 << 20     # bytes of text whose distinct pairs are numbered together
@@ -394,6 +394,7 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     return counts.join(most, a == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+@tidy
 def corpus_alignment(documents: DataFrame, path_a: str, path_b: str, hashed: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum of every document.
 

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retentia.llm import _text
-from retentia.llm._store import stored
+from retentia.llm._store import stored, tidy
 from retentia.llm._tokens import word_tokens
 
 END_ID = 1
@@ -306,6 +306,7 @@ def blocks(tokens: DataFrame, table: Table, n_shards: int, width: str) -> DataFr
             .select("doc_id", "n", "ids").mapInArrow(run, schema))
 
 
+@tidy
 def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
     """Write the ids of ``documents`` below ``path`` in ascending order of doc_id."""
     spark = documents.sparkSession

@@ -30,12 +30,18 @@ def roots(n, links):
     return [find(i) for i in range(n)]
 
 
+def _thue_morse(n, first="a"):
+    """Words that polynomial hashes modulo a power of two do not tell from their complement."""
+    return first if n == 0 else _thue_morse(n - 1, first) + _thue_morse(n - 1, "b" if first == "a" else "a")
+
+
 ODD = [
     (1001, None, "en", "s", 0), (1002, "", "en", "s", 0), (1003, "  \t\n ", None, None, None),
     (1004, "one two three", "en", "s", 13), (1005, "one two three", "en", "s", 13), (1006, "One  two\nTHREE", "xx", "s", 1),
     (1007, "no rhyme " * 4000, "en", "s", None), (1008, "é中🎉 ß\u2581x <|endoftext|> \x00 end", "fr", "s", 1),
     (1009, "same line\nsame line\n same line\nother", "en", "s", 1), (None, "an id is missing here", "en", "s", 2),
     (None, None, None, None, None), (1010, "x" * 30000, "de", "s", 1),
+    (1011, _thue_morse(10), "en", "s", 1), (1012, _thue_morse(10, "b"), "en", "s", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -1,6 +1,7 @@
 """The corpus pipeline, each stage against brute force on what the stage before it kept."""
 
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -64,7 +65,7 @@ def test_stages_against_brute_force(spark, folder):
 
     before, step = step, stored(STAGES["suffix_dedup"](spark, step, folder), "t4")
     was, now = before.collect(), {(r.doc_id): r for r in step.collect()}
-    cut = dict(zip((r.doc_id for r in was), cut_brute([r.text for r in was])))
+    cut = dict(zip((r.doc_id for r in was), cut_brute([r.text for r in was], corpus_pipeline.PASSAGE)))
     assert step.columns == columns and len(now) == len(was)
     assert all(len(now[r.doc_id].text.encode()) == cut[r.doc_id][0] - cut[r.doc_id][1] for r in was)
     assert any(c[1] for c in cut.values()) and all(r.n_chars == len(r.text) and r.score == "mine" for r in now.values())
@@ -82,6 +83,22 @@ def test_stages_against_brute_force(spark, folder):
     assert collections.Counter((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces) == want
 
 
+def test_passages_of_51_words_are_cut(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(4)]
+    docs = [(i, " ".join(word() for _ in range(60)) + " " + passages[i % 4] + " " + " ".join(word() for _ in range(40)))
+            for i in range(12)] + [(100 + i, " ".join(word() for _ in range(120))) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, df, str(tmp_path)).collect()}
+    for i, text in docs:
+        if i >= 100:
+            assert out[i] == text
+        else:
+            assert passages[i % 4][4:-4] not in out[i] and len(out[i]) < len(text) - 200
+            assert out[i].startswith(text[:150]) and out[i].endswith(text[-100:])
+
+
 def test_run_equals_the_stages(spark, folder):
     whole = corpus_pipeline.run(spark, folder)
     assert whole.count() > 80 and whole.agg(F.max("length")).first()[0] <= packing.SIZE
