@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -22,6 +22,7 @@ LOWER[65:91] += 32
 _P = np.uint64(2**61 - 1)
 _BASE = int(np.random.default_rng(20240229).integers(2**59, 2**60))
 _BASE_INV = pow(_BASE, -1, 2**61 - 1)
+_AT_ONCE = 1 << 14      # spans whose working arrays are held at a time
 _POWERS: dict = {}
 
 
@@ -86,6 +87,12 @@ class RollingHash:
             self._prefix.append(prefix)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.empty(len(start), np.uint64)
+        for lo in range(0, len(start), _AT_ONCE):
+            out[lo: lo + _AT_ONCE] = self._spans(start[lo: lo + _AT_ONCE], end[lo: lo + _AT_ONCE])
+        return out
+
+    def _spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         total = np.zeros(len(start), np.uint64)
         for k, prefix in enumerate(self._prefix):
             total = _mod(total + _rotated(_mod(prefix[end] - prefix[start]), self._bits * k))
