@@ -110,7 +110,7 @@ def anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, place long, gram long")
 
 
-def block_size(count: int, wide: int) -> int:
+def block_size(count: int, wide: int = wide_of(LENGTH)) -> int:
     """Window starts per block for an anchor string with ``count`` occurrences."""
     blocks = min(wide, max(1, -(-count // PER_BLOCK)))
     return -(-wide // blocks)
