@@ -30,10 +30,10 @@ def test_flagship_prunes_columns_and_hashes_raw_rows(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_last_row_join_is_keyed_by_user_and_ts(spark):
+def test_last_row_join_is_keyed_by_user_ts_and_salt(spark):
     plan = _plan(catalog.q_last_level_rows(spark, SF_SMALL))
     joins = [ln for ln in plan.splitlines() if "Join" in ln and "_u#" in ln]
-    assert joins and all(re.search(r"\[userId#\d+, ts#\d+L?\]", ln) for ln in joins)
+    assert joins and all(re.search(r"\[_u#\d+, _t#\d+L?, _salt#\d+\]", ln) for ln in joins)    # salted: hot (user, ts) pairs are split
 
 
 def test_top_k_is_bounded(spark):
