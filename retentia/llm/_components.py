@@ -26,15 +26,15 @@ def _with_min(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     star = _with_min(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-    return star.where("a != b").distinct()
+    return star.where("a != b")            # repeated edges go with those of the small star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    star = _with_min(down)
-    out = star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b")))
+    out = _with_min(down).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+                                                  F.struct(F.col("a"), F.col("m").alias("b")))))
     return out.where("a != b").distinct()
 
 
