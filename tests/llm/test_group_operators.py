@@ -4,10 +4,12 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from retentia.llm import embedding_dedup, ngram_jaccard, packing, sharding, suffix_dedup, url_filters
@@ -348,6 +350,93 @@ def test_seeds_weigh_alike_at_any_size(spark):
         assert url_filters.host_words(hosts, *url_filters.with_seeds(counts)).first().words == ["poker", "club"]
 
 
+def test_viterbi_equals_all_splits():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        run = "".join(rng.choice(list("abc"), rng.integers(1, 10)))
+        words = {run[i:j]: float(-rng.exponential(4)) for i, j in
+                 ((i, j) for i in range(len(run)) for j in range(i + 1, len(run) + 1)) if rng.random() < 0.3}
+        unknown = float(-rng.exponential(6))
+
+        def score(parts):
+            return sum(max(words.get(w, -np.inf), unknown - len(w) * np.log(10)) for w in parts)
+
+        splits = []
+        for cuts in itertools.product((0, 1), repeat=len(run) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(run)]
+            splits.append([run[i:j] for i, j in zip(at, at[1:])])
+        found = {(i, len(w)): n for w, n in words.items() for i in range(len(run)) if run.startswith(w, i)}
+        got = url_filters.viterbi(run, found, unknown)
+        assert "".join(got) == run
+        assert score(got) == pytest.approx(max(score(x) for x in splits), abs=1e-9)
+
+
+def bayes_by_loop(pages):
+    """Score of each (page_id, host, tokens, seeds), every host judged without its own example."""
+    kinds, own = {}, {}
+    for _, host, tokens, seeds in pages:
+        kinds[host] = bool(seeds)
+        skip = "h:" + seeds[0] if len(seeds) == 1 else None
+        own.setdefault(host, set()).update(t for t in tokens if t != skip)
+    count = {k: collections.Counter(t for h in own if kinds[h] == k for t in own[h]) for k in (True, False)}
+    total = {k: sum(c.values()) for k, c in count.items()}
+    before = {"h:" + s: np.log(url_filters.SEED_ODDS) for s in url_filters.SEEDS}
+    smooth = url_filters.SMOOTHING
+    used = smooth * len(set(count[True]) | set(count[False]))
+    hosts = collections.Counter(kinds.values())
+    out = {}
+    for page, host, tokens, seeds in pages:
+        k = kinds[host]
+        score = np.log(hosts[True] + (not k)) - np.log(hosts[False] + k)
+        for t in tokens:
+            n = {c: count[c][t] - (c == k and t in own[host]) for c in (True, False)}
+            score += before.get(t, 0)
+            if n[True] + n[False] > 0:
+                score += np.log((n[True] + smooth) / (total[True] + used))
+                score -= np.log((n[False] + smooth) / (total[False] + used))
+        out[page] = score
+    return out
+
+
+def test_verdicts_go_beyond_the_seeds_and_equal_a_loop(spark):
+    """Words that stand beside seeds block a host without one; hosts whose words do not are allowed."""
+    html = "<p>" + " ".join(["lucky jackpot spin quiet garden news roses tulips", "x"] * 30) + "</p>"
+    bad = ["lucky-casino%s.com", "jackpot-poker%s.com", "luckyjackpot%s-bets.com", "spin-casino-poker%s.com"]
+    good = ["quietgarden%s.com", "garden-news%s.com", "roses%s.com", "tulips.roses%s.com"]
+    hosts = [h % k for h in bad + good for k in range(6)] + ["lucky-spin-jackpot.com", "luckyjackpot.com", "newsgarden.com"]
+    rows = [(i, "http://%s/en/%d" % (h, i), html) for i, h in enumerate(hosts)]
+    rows += [(1000 + i, "http://quietgarden0.com/spin/%d.html" % i, None) for i in range(50)] + [(2000, None, html)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filters.judge(df, []).collect()}
+    verdict = {h: got[i].verdict for i, h in enumerate(hosts)}
+    assert all(verdict[h % k] == "block" for h in bad for k in range(6))
+    assert all(verdict[h % k] == "allow" for h in good for k in range(6))
+    assert verdict["lucky-spin-jackpot.com"] == verdict["luckyjackpot.com"] == "block"
+    assert verdict["newsgarden.com"] == got[2000].verdict == "allow"
+    assert got[hosts.index("luckyjackpot.com")].words == ["lucky", "jackpot"]
+    pages = []
+    for r in got.values():
+        tokens = ["h:" + w for w in r.words or ()] + ["h:-"] * r.host.count("-")
+        tokens += ["p:" + w for w in re.findall("[a-z#]+", re.sub("[0-9]+", "#", r.path.lower()))]
+        pages.append((r.page_id, r.host, tokens, [s for s in dict.fromkeys(r.words or ()) if s in url_filters.SEEDS]))
+    want = bayes_by_loop(pages)
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want, abs=1e-9)
+
+
+def test_words_of_pages_are_decoded_and_of_any_length(spark):
+    long = "donaudampfschifffahrtskapitaen"
+    rows = [(0, "http://a.org/", "<p>salt&amp;pepper caf&eacute; &#110;ew &nosuch; %s</p>" % long),
+            (1, "http://win-more.org/salt", "<p>win</p>"), (2, "http://win-less.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parsed = url_filters.parsed(pages)
+    counts = {r.word: r.n for r in url_filters.word_counts(pages, parsed.select("host", "path").distinct()).collect()}
+    assert counts == {"salt": 2, "pepper": 1, "café": 1, "new": 1, "nosuch": 1, long: 1, "win": 2, "more": 1, "less": 1}
+    hosts = spark.createDataFrame([("salt%s.org" % long,), ("%s.org" % ("ab" * 200),)], "host string")
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r.host: r.words for r in url_filters.host_words(hosts, *url_filters.with_seeds(table)).collect()}
+    assert got == {"salt%s.org" % long: ["salt", long], "%s.org" % ("ab" * 200): ["ab" * 200]}
+
+
 # -- sharding -------------------------------------------------------------------------
 
 def test_shards_are_even_and_places_gapless(spark, corpus, documents, no_documents):
