@@ -39,6 +39,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +88,17 @@ def _decoded(counts: DataFrame) -> DataFrame:
     """(word, n) of counts of raw words, in which entities may still stand."""
     def run(batches):
         for batch in batches:
+            has_entity = pc.match_substring(batch.column(0), "&")
+            yield batch.filter(pc.invert(has_entity))
+            raw = batch.filter(has_entity)
             words, n = [], []
-            for raw, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in re.findall(r"[^\W\d_]+", html.unescape(raw)):
-                    words.append(word)
-                    n.append(k)
+            for word, k in zip(raw.column(0).to_pylist(), raw.column(1).to_pylist()):
+                found = re.findall(r"[^\W\d_]+", html.unescape(word))
+                words += found
+                n += [k] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
 
-    with_entity = F.instr("word", "&") > 0
-    return (counts.where(~with_entity).union(counts.where(with_entity).mapInArrow(run, "word string, n long"))
+    return (counts.mapInArrow(run, "word string, n long")
             .groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")))
 
 
