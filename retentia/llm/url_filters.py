@@ -89,7 +89,8 @@ def _decoded(counts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             has_entity = pc.match_substring(batch.column(0), "&")
-            yield batch.filter(pc.invert(has_entity))
+            plain = batch.filter(pc.invert(has_entity))
+            yield pa.RecordBatch.from_arrays(plain.columns, ["word", "n"])
             raw = batch.filter(has_entity)
             words, n = [], []
             for word, k in zip(raw.column(0).to_pylist(), raw.column(1).to_pylist()):
