@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retentia.llm import embedding_dedup, ngram_jaccard, packing, sharding, suffix_dedup, url_filters
-from retentia.llm._components import components
+from retentia.llm._components import components, forest
 from retentia.llm.queries import URL_RULES
 from tests.llm.conftest import lower, roots, words
 
@@ -28,6 +28,29 @@ def test_components_on_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_over_many_tasks_and_chunks(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(1000 + i, 1001 + i) for i in range(120)]
+    edges += [(2000, None), (None, 3)]
+    want = {}
+    for v in {x for e in edges if None not in e and e[0] != e[1] for x in e}:
+        want[v] = v
+    for _ in range(200):
+        for a, b in edges:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    shuffled = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for chunk in (4, 1 << 20):
+        got = components(shuffled, chunk=chunk).collect()
+        assert {r.vertex: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_forest_has_least_vertices():
+    a, b = np.array([9, 7, 3, 50, 50, 7]), np.array([7, 3, 9, 60, 60, 7])
+    assert [x.tolist() for x in forest(a, b)] == [[7, 9, 60], [3, 3, 50]]
+    assert [len(x) for x in forest(a[:0], b[:0])] == [0, 0]
+
+
 # -- embeddings ------------------------------------------------------------------------
 
 def vectors():
