@@ -52,6 +52,8 @@ TILE = 128
 SLOT_BITS = 22
 BITS = 4096
 LEAF, FANOUT = 8, 8
+WIDE = 4             # tiles of the second round hold so many times TILE sets: signatures are small
+SLICE = 1 << 14
 
 
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +344,10 @@ def _possible(left, right, a, b) -> np.ndarray:
     b2, lo2, hi2, s2 = right
     lo1, lo2 = lo1[a], lo2[b]
     fits = (100 * hi1[a] >= PERCENT * lo2) & (100 * hi2[b] >= PERCENT * lo1)
-    shared = np.bitwise_count(b1[a] & b2[b]).sum(1).astype(np.int64) + np.minimum(s1[a], s2[b])
+    shared = np.minimum(s1[a], s2[b])
+    for lo in range(0, len(a), SLICE):                               # bitmaps of so many pairs at a time
+        at = slice(lo, lo + SLICE)
+        shared[at] += np.bitwise_count(b1[a[at]] & b2[b[at]]).sum(1).astype(np.int64)
     return fits & ((100 + PERCENT) * shared >= PERCENT * (lo1 + lo2))
 
 
@@ -575,6 +580,7 @@ def join(documents: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
 
 def _second_round(large: DataFrame, linked: DataFrame, texts: DataFrame, tile: int, n: int) -> DataFrame:
     """Links between sets of a large block of which one at least is outside the block's main component."""
+    tile *= WIDE
     member = large.join(linked.hint("merge"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     member = stored(member, "members")
     per = member.groupBy("block", "component").agg(F.count("*").alias("n"))
