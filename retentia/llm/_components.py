@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from retentia.llm._store import stored
 
 SALTS = 16
-CHUNK = 1 << 20      # edges that a task contracts at a time
+CHUNK = 1 << 18      # edges that a task contracts at a time
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,8 @@ def components(edges: DataFrame, name: str = "components", chunk: int = CHUNK) -
     """
     now = stored(_contracted(edges.where("a != b"), chunk), name)
     while True:
-        now = stored(_contracted(now, chunk), name)           # files of many tasks are read together
+        tasks = -(-now.count() // chunk)                      # small files of many tasks are read together
+        now = stored(_contracted(now.coalesce(max(1, tasks)), chunk), name)
         if _are_stars(now):
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(
                 now.select(F.col("b").alias("vertex"), F.col("b").alias("component"))).distinct()
