@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.llm import embedding_dedup, ngram_jaccard, packing, sharding, suffix_dedup, url_filters
+from retentia.llm import _store, embedding_dedup, ngram_jaccard, packing, sharding, suffix_dedup, url_filters
 from retentia.llm._components import components, forest
 from retentia.llm.queries import URL_RULES
 from tests.llm.conftest import lower, roots, words
@@ -140,6 +141,22 @@ def test_jaccard_with_small_tiles(spark, corpus, documents):
     assert group(linked) == group(whole)
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.rsplit("/", 1)[-1] for f in disk.getAllFiles().mkString(",").split(",") if "/shuffle_" in f}
+
+    setting, before = spark.conf.get(_store._CLEANUP), shuffles()
+    table = _store.stored(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.max("id").alias("m")), "t")
+    for _ in range(50):                  # files go in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert spark.conf.get(_store._CLEANUP) == setting
+    assert table.count() == 700 and table.groupBy("m").count().count() == 700
+
+
 def _grouped(df):
     out = collections.defaultdict(set)
     for r in df.collect():
@@ -222,8 +239,7 @@ def test_suffix_dedup_equals_brute_force(spark):
 def test_blocks_of_frequent_anchors_equal_brute_force(monkeypatch):
     """Small blocks and many distinct surroundings, merged from several runs without Spark."""
     monkeypatch.setattr(suffix_dedup, "PER_BLOCK", 10)
-    import pyarrow as pa
-
+    
     from retentia.llm import _text
 
     docs = [d[1] or "" for d in passages()]
