@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm import _text
-from retentia.llm._columns import add_columns, fresh
+from retentia.llm._columns import add_columns, fresh, slices
 from retentia.llm._components import components
 from retentia.llm._store import salted_join, shuffle_width, stored, tidy
 
@@ -56,6 +56,12 @@ WIDE = 4             # tiles of the second round hold so many times TILE sets: s
 SLICE = 1 << 14
 
 
+def _parts(batches):
+    """The batches in parts of a few MB: the working arrays of a task hold several times the bytes of one."""
+    for batch in batches:
+        yield from slices(batch)
+
+
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     """(row of each shingle, shingle) over a batch: distinct per row, sorted by row and hash."""
     rows, shingles = [], []
@@ -105,7 +111,7 @@ def signed(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             key, size = _set_keys(*shingle_sets(batch.column(1)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key, mask=size == 0)],
                                              ["doc_id", "n_shingles", "set_key"])
@@ -139,6 +145,50 @@ def _sets_of_sets(batch):
     return np.repeat(np.arange(len(lists)), size), s, batch.column(0).to_numpy(), size
 
 
+def _sent_rows(rows, s, key, size, share, n_buckets: int) -> list[tuple]:
+    """Rows of ``_SENT`` for a chunk of sets: its shingles by bucket, and the counts it knows itself."""
+    if not len(s):
+        return []
+    first = np.cumsum(size) - size
+    _, once = np.unique(key, return_index=True)              # equal sets of the chunk go as one
+    copies = np.bincount(np.searchsorted(key[once], key[size > 0]), minlength=len(once))
+    is_once = np.zeros(len(size), bool)
+    is_once[once] = True
+    at = np.arange(len(s)) - first[rows]
+    use = is_once[rows] & (at < share(size)[rows])
+    t, r = s[use], rows[use]
+    order = np.argsort(t, kind="stable")
+    t, r = t[order], r[order]
+    new = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    times = np.diff(np.r_[new, len(t)])
+    count = np.zeros(len(size), np.int64)
+    many = np.repeat(times > 1, times)
+    count += np.bincount(r[many], minlength=len(size))
+    held = once[copies > 1]                                  # copies share everything
+    count[held] = size[held]
+    alone = ~many                                            # counted by the bucket if another chunk has it
+    marker = new[times > 1]
+    token = np.r_[t[alone], t[marker]]
+    owner = np.r_[r[alone], np.full(len(marker), len(size))]
+    bucket = (token >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+    order = np.lexsort((owner, bucket))
+    token, owner, bucket = token[order], owner[order], bucket[order].astype(np.int64)
+    small = (token & np.uint64(2**32 - 1)).astype(np.uint32)
+    keys = np.append(key, 0)
+    cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+    out = []
+    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        o = owner[cut[b]: cut[b + 1]]
+        start = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        out.append((b, small[cut[b]: cut[b + 1]].tobytes(),
+                    np.diff(np.r_[start, len(o)]).astype(np.uint32).tobytes(), keys[o[start]].tobytes(), None))
+    known = np.flatnonzero(count)
+    if len(known):
+        out.append((int(key[known[0]] % n_buckets), None, None, key[known].tobytes(),
+                    count[known].tobytes()))
+    return out
+
+
 def shared_counts(source: DataFrame, sets_of, share, n_buckets: int) -> DataFrame:
     """(set_key, n): at least as many of its first ``share(size)`` shingles as occur in another set.
 
@@ -149,48 +199,10 @@ def shared_counts(source: DataFrame, sets_of, share, n_buckets: int) -> DataFram
     look alike only let a set through.
     """
     def local(batches):
-        for batch in batches:
-            rows, s, key, size = sets_of(batch)
-            if not len(s):
-                continue
-            first = np.cumsum(size) - size
-            _, once = np.unique(key, return_index=True)              # equal sets of the chunk go as one
-            copies = np.bincount(np.searchsorted(key[once], key[size > 0]), minlength=len(once))
-            is_once = np.zeros(len(size), bool)
-            is_once[once] = True
-            at = np.arange(len(s)) - first[rows]
-            use = is_once[rows] & (at < share(size)[rows])
-            t, r = s[use], rows[use]
-            order = np.argsort(t, kind="stable")
-            t, r = t[order], r[order]
-            new = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            times = np.diff(np.r_[new, len(t)])
-            count = np.zeros(len(size), np.int64)
-            many = np.repeat(times > 1, times)
-            count += np.bincount(r[many], minlength=len(size))
-            held = once[copies > 1]                                  # copies share everything
-            count[held] = size[held]
-            alone = ~many                                            # counted by the bucket if another chunk has it
-            marker = new[times > 1]
-            token = np.r_[t[alone], t[marker]]
-            owner = np.r_[r[alone], np.full(len(marker), len(size))]
-            bucket = (token >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-            order = np.lexsort((owner, bucket))
-            token, owner, bucket = token[order], owner[order], bucket[order].astype(np.int64)
-            small = (token & np.uint64(2**32 - 1)).astype(np.uint32)
-            keys = np.append(key, 0)
-            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out = []
-            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                o = owner[cut[b]: cut[b + 1]]
-                start = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-                out.append((b, small[cut[b]: cut[b + 1]].tobytes(),
-                            np.diff(np.r_[start, len(o)]).astype(np.uint32).tobytes(), keys[o[start]].tobytes(), None))
-            known = np.flatnonzero(count)
-            if len(known):
-                out.append((int(key[known[0]] % n_buckets), None, None, key[known].tobytes(),
-                            count[known].tobytes()))
-            yield _packed(out)
+        for batch in _parts(batches):
+            rows = _sent_rows(*sets_of(batch), share, n_buckets)
+            if rows:
+                yield _packed(rows)
 
     def merge(key, pdf):
         done = pdf[pdf["tokens"].isna()]
@@ -269,10 +281,8 @@ _EDGE = "bucket int, tokens binary, keys binary, edges binary"
 def blocks(sets: DataFrame, ranks, n_buckets: int) -> DataFrame:
     """(vertex = set_key, component = block) of the sets that share a prefix shingle with another set."""
     def local(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             lists = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            if not lists:
-                continue
             size = np.array([len(x) for x in lists])
             s, rows = np.concatenate(lists), np.repeat(np.arange(len(size)), size)
             order = np.lexsort((s, ranks.value[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], rows))
@@ -522,7 +532,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted, "at_doc"))
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             text = batch.column(0).filter(pa.array(_in_bitmap(shared.value, batch.column(1).to_numpy())))
             rows, s = shingle_sets(text)
             key, size = _set_keys(rows, s, len(text))

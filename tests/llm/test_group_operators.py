@@ -6,12 +6,15 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from retentia.llm import _store, embedding_dedup, ngram_jaccard, packing, sharding, suffix_dedup, url_filters
 from retentia.llm._components import components, forest
@@ -141,6 +144,52 @@ def test_jaccard_with_small_tiles(spark, corpus, documents):
     assert group(linked) == group(whole)
 
 
+class _Caught:
+    """Stands in for a DataFrame and keeps the functions given to its mapInArrow."""
+
+    def __init__(self):
+        self.functions, self.schema = [], {"doc_id": type("Field", (), {"dataType": LongType()})}
+
+    def mapInArrow(self, function, schema):
+        self.functions.append(function)
+        return self
+
+    def select(self, *columns):
+        return self
+
+    groupBy = applyInPandas = select
+
+
+def test_jaccard_tasks_hold_a_few_mb_of_a_batch():
+    """20 MB of texts in one batch: working arrays of the first two scans and of the blocks (over 180 MB before)."""
+    rng = np.random.default_rng(3)
+    word = rng.integers(97, 123, (20 << 20) // 6 * 6, np.uint8).reshape(-1, 6)
+    word[:, 5] = 32
+    raw = word.tobytes().decode()
+    texts = [raw[i: i + 2040] for i in range(0, len(raw) - 2040, 2040)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    caught = _Caught()
+    ngram_jaccard.signed(caught)
+    ngram_jaccard.shared_counts(caught, ngram_jaccard._sets_of_texts, ngram_jaccard._eighth, 12)
+    for function, given in zip(caught.functions, [batch, batch.select(["text"])]):
+        tracemalloc.start()
+        for _ in function(iter([given])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6
+
+
+def test_jaccard_over_the_parts_of_a_batch(spark):
+    """A text and its near copy lie megabytes apart in one task; a third of the texts has none."""
+    rng = random.Random(21)
+    base = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(900)) for _ in range(450)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, "other " + t) for i, t in enumerate(base) if i % 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.near_duplicates(df).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     def shuffles():
         disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
@@ -239,7 +288,8 @@ def test_suffix_dedup_equals_brute_force(spark):
 def test_blocks_of_frequent_anchors_equal_brute_force(monkeypatch):
     """Small blocks and many distinct surroundings, merged from several runs without Spark."""
     monkeypatch.setattr(suffix_dedup, "PER_BLOCK", 10)
-    
+    import pyarrow as pa
+
     from retentia.llm import _text
 
     docs = [d[1] or "" for d in passages()]
