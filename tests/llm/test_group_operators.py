@@ -161,7 +161,7 @@ class _Caught:
 
 
 def test_jaccard_tasks_hold_a_few_mb_of_a_batch():
-    """20 MB of texts in one batch: working arrays of the first two scans and of the blocks (over 180 MB before)."""
+    """20 MB of texts in one batch: working arrays of the first two scans (125 MB in the first of them before)."""
     rng = np.random.default_rng(3)
     word = rng.integers(97, 123, (20 << 20) // 6 * 6, np.uint8).reshape(-1, 6)
     word[:, 5] = 32
